@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize, small_or_shuffled
+from .storage import materialize
 
 
 def _accepted(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -33,34 +33,46 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.where(_accepted(shared, F.size("ta"), F.size("tb"), percent)).select("a", "b")
 
 
+def _fitting(a: Column, b: Column, percent: int) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
 def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, root) of every class linked with another.
 
-    ``keys``: (key, cls, need) - the classes under each key; a pair of classes is a candidate when it shares at least
-    the smaller ``need`` of the two. ``fetch(classes)``: (cls, tokens) for the classes in column ``cls``.
+    ``keys``: (key, cls, need, n) - the classes under each key, and the size of a class's set; a pair of classes is a
+    candidate when it shares at least the smaller ``need`` of the two and its sizes fit. ``fetch(classes)``: (cls,
+    tokens) for the classes in column ``cls``.
     """
     spans = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    shared = materialize(keys.join(spans.select("key", "lo"), "key").select("key", "cls", "need", "lo").distinct(), "keys")
-    votes = shared.where("cls <> lo").groupBy("cls", "lo").count()
+    shared = materialize(keys.join(spans.select("key", "lo"), "key").select("key", "cls", "need", "n", "lo").distinct(), "keys")
+    classes = shared.select("cls", "n", "need").distinct()
+    votes = shared.where("cls <> lo").groupBy("cls", "lo").count().where("count > 1")
     stars = votes.groupBy(F.col("cls").alias("b")).agg(F.max(F.struct("count", "lo"))["lo"].alias("a"))
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_fitting(F.col("na"), F.col("nb"), percent))
     stars = materialize(stars.select("a", "b"), "stars")
-    # Classes that share a key with a class of another component may still be needed in step 3.
-    sets = materialize(fetch(shared.select("cls").distinct()), "sets")
+    ends = lambda pairs: pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = materialize(fetch(ends(stars)), "sets")
     linked = materialize(connected_components(confirm(stars, sets, percent)), "stars-linked")
 
     of = shared.join(linked.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
-    of = of.select("key", "cls", "need", "comp")
+    of = of.select("key", "cls", "need", "n", "comp")
     mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    of = materialize(of.join(small_or_shuffled(materialize(mixed, "mixed")), "key", "left_semi"), "mixed-keys")
-    if of.isEmpty():
-        return linked
+    of = materialize(of.join(mixed, "key", "left_semi"), "mixed")
     # Pairs of components under a key first, then their classes: no pair inside a component is ever made.
-    groups = of.select("key", "comp").distinct()
-    met = groups.withColumnRenamed("comp", "ca").join(groups.withColumnRenamed("comp", "cb"), "key").where("ca < cb")
-    side = lambda x: of.select("key", F.col("comp").alias(f"c{x}"), F.col("cls").alias(x), F.col("need").alias(f"n{x}"))
-    pairs = met.join(side("a"), ["key", "ca"]).join(side("b"), ["key", "cb"])
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("na", "nb")).alias("need"))
-    more = materialize(confirm(pairs.where("n >= need").select("a", "b"), sets, percent), "cross")
+    groups = of.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    group = lambda x: groups.select("key", F.col("comp").alias(f"c{x}"), F.col("least").alias(f"least{x}"), F.col("most").alias(f"most{x}"))
+    fit = (100 * F.col("mosta") >= percent * F.col("leastb")) & (100 * F.col("mostb") >= percent * F.col("leasta"))
+    met = group("a").join(group("b"), "key").where((F.col("ca") < F.col("cb")) & fit).select("key", "ca", "cb")
+    member = lambda x: of.select("key", F.col("comp").alias(f"c{x}"), F.col("cls").alias(x), F.col("need").alias(f"need{x}"), F.col("n").alias(f"n{x}"))
+    pairs = met.join(member("a"), ["key", "ca"]).join(member("b"), ["key", "cb"]).where(_fitting(F.col("na"), F.col("nb"), percent))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("needa", "needb")).alias("need"))
+    pairs = materialize(pairs.where("shared >= need").select("a", "b"), "pairs")
+    if pairs.isEmpty():
+        return linked
+    more = materialize(confirm(pairs, materialize(fetch(ends(pairs)), "sets"), percent), "cross")
     if more.isEmpty():
         return linked
     stars = linked.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))

@@ -9,6 +9,7 @@ candidates is lowest for a longer prefix that demands more shared shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,13 @@ from .storage import materialize, prepare_tasks, small_or_shuffled
 PERCENT = 90
 SHINGLE_WORDS = 3
 #: A shingle under more prefix pools than this is frequent. Only the order of shingles, so speed, depends on it.
-FREQUENT = 24
+FREQUENT = 4
 #: At most so many of the frequent shingles (the most frequent) are sent to the tasks: 16 MB. Only speed depends on it.
 FREQUENT_ROWS = 1_000_000
 #: Longest prefix extension, and the cost of checking a candidate against that of meeting it.
-MOST_MATCHES, CHECK_COST = 6, 50.0
+MOST_MATCHES, CHECK_COST = 8, 50.0
+#: Documents assumed to share a shingle that isn't frequent.
+RARE_PARTNERS = 1.0
 
 _CLS = "doc_id long, n_shingles long, cls long, need int, prefix array<long>"
 
@@ -77,16 +80,22 @@ def _prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
         df.append(counts[at[hot]] if len(tokens) else np.empty(0, np.int64))
         found += int((~hot).sum())
         upto += len(part)
-    order = np.concatenate([*rare, *frequent])[:want]
-    cost = np.concatenate([np.ones(found), *df])[:want]
+    late, times = np.concatenate(frequent), np.concatenate(df)
+    if found < want:  # by count, then by hash
+        by = np.lexsort((late, times))
+        late, times = late[by], times[by]
+    order = np.concatenate([*rare, late])[:want]
+    partners = np.concatenate([np.full(found, RARE_PARTNERS), times])[:want]
     best, need = np.inf, 1
-    total = np.cumsum(cost)
+    total = np.cumsum(partners)
     for m in range(1, want - base + 1):
-        scanned = total[base + m - 1]
-        # Documents that share m of these shingles: no more than the m-th most frequent allows.
-        checked = min(scanned / m, np.partition(cost[: base + m], -m)[-m])
-        if scanned + CHECK_COST * checked < best:
-            best, need = scanned + CHECK_COST * checked, m
+        size = base + m
+        # Candidates sharing m shingles: by chance ever fewer; through a common passage as many as its m-th shingle has.
+        chance = total[size - 1] / math.factorial(m)
+        passage = np.partition(partners[:size], -m)[-m]
+        cost = size + total[size - 1] + CHECK_COST * (chance + passage)
+        if cost < best:
+            best, need = cost, m
     return order[: base + need], need
 
 
@@ -150,7 +159,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_W
         held = texts.join(small_or_shuffled(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
         return held.mapInArrow(_token_sets(k), "cls long, tokens array<long>").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
-    keys = rows.select(F.explode("prefix").alias("key"), "cls", "need")
+    keys = rows.select(F.explode("prefix").alias("key"), "cls", "need", F.col("n_shingles").cast("int").alias("n"))
     linked = link_classes(keys, fetch, percent)
     grouped = classes.join(linked.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("group_cls"), "first_id", "copies", F.col("root").isNotNull().alias("linked"))
     named = grouped.where("linked").groupBy("group_cls").agg(F.min("first_id").alias("least_id"))
