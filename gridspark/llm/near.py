@@ -2,9 +2,9 @@
 
 Shared by the paragraph MinHash and the prefix join. A key's classes are never paired with each other all at once:
 
-1. every class meets the smallest class of one of its keys (a star), so copies of one text cost one check each;
-2. components of the confirmed stars are formed;
-3. only classes of *different* components that share enough keys are paired and checked.
+1. in a few rounds every class meets one hub of its keys (a star), so a group of copies costs a check each a round;
+   after each round the confirmed stars form components;
+2. only classes of *different* components that share enough keys are paired and checked.
 
 Every pair that shares enough keys is then either checked or already in one component, so the components are exact.
 """
@@ -20,6 +20,10 @@ from .components import connected_components
 from .storage import materialize
 
 
+#: Most star rounds, and the share of a round's checks that must confirm for another.
+ROUNDS, WORTHWHILE = 4, 0.1
+
+
 def _accepted(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (a + b - shared)
 
@@ -38,42 +42,63 @@ def _fitting(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _reach(rest_a: Column, rest_b: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether two sets of sizes a, b can be similar if they share at most the smaller rest."""
+    return (100 + percent) * F.least(rest_a, rest_b) >= percent * (a + b)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+
+
+def _stars(shared: DataFrame, round_: int, percent: int) -> DataFrame:
+    """(a, b): for each class b the hub a, of another component, of most of its keys. The hub of a key is the class
+    with the most keys at first (the one with the fewest shingles of its own), then one by chance."""
+    rank = F.struct(F.col("weight") if round_ == 0 else F.xxhash64(F.lit(round_), "cls"), "cls", "comp", "n")
+    hubs = shared.groupBy("key").agg(F.max(rank).alias("hub"))
+    met = shared.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _fitting(F.col("n"), F.col("hub.n"), percent))
+    votes = met.groupBy(F.col("cls").alias("b"), F.col("hub.cls").alias("a")).count()
+    return votes.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
+
+
 def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, root) of every class linked with another.
 
-    ``keys``: (key, cls, need, n) - the classes under each key, and the size of a class's set; a pair of classes is a
-    candidate when it shares at least the smaller ``need`` of the two and its sizes fit. ``fetch(classes)``: (cls,
-    tokens) for the classes in column ``cls``.
+    ``keys``: (key, cls, need, n, rest) - the classes under each key, the size n of a class's set, and how many of its
+    tokens do not come before the key. A pair of classes is a candidate when it shares at least the smaller ``need`` of
+    the two, and sizes and rests allow the similarity. ``fetch(classes)``: (cls, tokens) for the classes in ``cls``.
     """
-    spans = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    shared = materialize(keys.join(spans.select("key", "lo"), "key").select("key", "cls", "need", "n", "lo").distinct(), "keys")
-    classes = shared.select("cls", "n", "need").distinct()
-    votes = shared.where("cls <> lo").groupBy("cls", "lo").count().where("count > 1")
-    stars = votes.groupBy(F.col("cls").alias("b")).agg(F.max(F.struct("count", "lo"))["lo"].alias("a"))
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"))
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_fitting(F.col("na"), F.col("nb"), percent))
-    stars = materialize(stars.select("a", "b"), "stars")
-    ends = lambda pairs: pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = materialize(fetch(ends(stars)), "sets")
-    linked = materialize(connected_components(confirm(stars, sets, percent)), "stars-linked")
-
-    of = shared.join(linked.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
-    of = of.select("key", "cls", "need", "n", "comp")
-    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    of = materialize(of.join(mixed, "key", "left_semi"), "mixed")
+    spans = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
+    shared = materialize(keys.join(spans, "key", "left_semi").distinct(), "keys")
+    weights = shared.groupBy("cls").agg(F.count("*").alias("weight"))
+    of = shared.join(weights, "cls").withColumn("comp", F.col("cls"))
+    linked, links = None, None
+    for round_ in range(ROUNDS):
+        of = materialize(of, "members")
+        stars = materialize(_stars(of, round_, percent), "stars")
+        found = materialize(confirm(stars, materialize(fetch(_ends(stars)), "sets"), percent), "confirmed")
+        tried, new = stars.count(), found.count()
+        if new:
+            links = found if links is None else links.union(found)
+            linked = materialize(connected_components(links), "linked")
+            links = linked.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
+            of = of.drop("comp").join(linked.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+            mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            of = of.join(mixed, "key", "left_semi")
+        if new < WORTHWHILE * tried or not tried:
+            break
+    of = materialize(of, "members")
     # Pairs of components under a key first, then their classes: no pair inside a component is ever made.
-    groups = of.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    group = lambda x: groups.select("key", F.col("comp").alias(f"c{x}"), F.col("least").alias(f"least{x}"), F.col("most").alias(f"most{x}"))
-    fit = (100 * F.col("mosta") >= percent * F.col("leastb")) & (100 * F.col("mostb") >= percent * F.col("leasta"))
-    met = group("a").join(group("b"), "key").where((F.col("ca") < F.col("cb")) & fit).select("key", "ca", "cb")
-    member = lambda x: of.select("key", F.col("comp").alias(f"c{x}"), F.col("cls").alias(x), F.col("need").alias(f"need{x}"), F.col("n").alias(f"n{x}"))
-    pairs = met.join(member("a"), ["key", "ca"]).join(member("b"), ["key", "cb"]).where(_fitting(F.col("na"), F.col("nb"), percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("needa", "needb")).alias("need"))
-    pairs = materialize(pairs.where("shared >= need").select("a", "b"), "pairs")
-    if pairs.isEmpty():
-        return linked
-    more = materialize(confirm(pairs, materialize(fetch(ends(pairs)), "sets"), percent), "cross")
-    if more.isEmpty():
-        return linked
-    stars = linked.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
-    return materialize(connected_components(stars.union(more)), "linked")
+    groups = of.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    group = lambda x: groups.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "least", "most", "rest")))
+    c = F.col
+    fit = (100 * c("mosta") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("leasta")) & _reach(c("resta"), c("restb"), c("leasta"), c("leastb"), percent)
+    met = group("a").join(group("b"), "key").where((c("compa") < c("compb")) & fit).select("key", "compa", "compb")
+    member = lambda x: of.select("key", c("comp").alias(f"comp{x}"), c("cls").alias(x), *(c(y).alias(f"{y}{x}") for y in ("need", "n", "rest")))
+    pairs = met.join(member("a"), ["key", "compa"]).join(member("b"), ["key", "compb"]).where(_fitting(c("na"), c("nb"), percent))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("needa", "needb")).alias("need"), F.max(_reach(c("resta"), c("restb"), c("na"), c("nb"), percent)).alias("reached"))
+    pairs = materialize(pairs.where("shared >= need and reached").select("a", "b"), "pairs")
+    if not pairs.isEmpty():
+        more = confirm(pairs, materialize(fetch(_ends(pairs)), "sets"), percent)
+        linked = materialize(connected_components(more if links is None else links.union(more)), "linked")
+    return linked if linked is not None else pairs.select(c("a").alias("id"), c("b").alias("root"))

@@ -26,8 +26,8 @@ PERCENT = 90
 SHINGLE_WORDS = 3
 #: A shingle under more prefix pools than this is frequent. Only the order of shingles, so speed, depends on it.
 FREQUENT = 4
-#: At most so many of the frequent shingles (the most frequent) are sent to the tasks: 16 MB. Only speed depends on it.
-FREQUENT_ROWS = 1_000_000
+#: At most so many of the frequent shingles (the most frequent) are sent to the tasks: 48 MB. Only speed depends on it.
+FREQUENT_ROWS = 4_000_000
 #: Longest prefix extension, and the cost of checking a candidate against that of meeting it.
 MOST_MATCHES, CHECK_COST = 8, 50.0
 #: Documents assumed to share a shingle that isn't frequent.
@@ -87,13 +87,16 @@ def _prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
     order = np.concatenate([*rare, late])[:want]
     partners = np.concatenate([np.full(found, RARE_PARTNERS), times])[:want]
     best, need = np.inf, 1
-    total = np.cumsum(partners)
+    met = np.cumsum(partners)
     for m in range(1, want - base + 1):
         size = base + m
-        # Candidates sharing m shingles: by chance ever fewer; through a common passage as many as its m-th shingle has.
-        chance = total[size - 1] / math.factorial(m)
-        passage = np.partition(partners[:size], -m)[-m]
-        cost = size + total[size - 1] + CHECK_COST * (chance + passage)
+        # Partners met at the prefix's shingles, and checks. By chance ever fewer partners share m shingles; through a
+        # common passage as many as its m-th rarest shingle has.
+        chance = met[size - 1] / math.factorial(m)
+        passage = np.partition(partners[:size], -m)[-m] - RARE_PARTNERS
+        cost = size + met[size - 1] + CHECK_COST * (chance + passage)
+        if m > 1 and partners[size - 1] > RARE_PARTNERS:
+            break  # every document with that shingle would meet every other: no longer prefix is cheaper
         if cost < best:
             best, need = cost, m
     return order[: base + need], need
@@ -132,10 +135,13 @@ def _token_sets(k: int):
 def _frequent(texts: DataFrame, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles and their counts over all documents, ascending by hash; bounded by FREQUENT_ROWS."""
     counted = texts.mapInArrow(_pools(percent, k), "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
-    rows = counted.orderBy(F.desc("count"), "token").limit(FREQUENT_ROWS).toArrow()
+    counted = materialize(counted, "frequent")
+    if counted.limit(FREQUENT_ROWS + 1).count() > FREQUENT_ROWS:
+        counted = counted.orderBy(F.desc("count"), "token").limit(FREQUENT_ROWS)
+    rows = counted.toArrow()
     tokens = rows.column("token").combine_chunks().to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], rows.column("count").combine_chunks().to_numpy()[order]
+    return tokens[order], rows.column("count").combine_chunks().to_numpy()[order].astype(np.int32)
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -159,7 +165,8 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_W
         held = texts.join(small_or_shuffled(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
         return held.mapInArrow(_token_sets(k), "cls long, tokens array<long>").groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
-    keys = rows.select(F.explode("prefix").alias("key"), "cls", "need", F.col("n_shingles").cast("int").alias("n"))
+    size = F.col("n_shingles").cast("int")
+    keys = rows.select(F.posexplode("prefix").alias("at", "key"), "cls", "need", size.alias("n")).select("key", "cls", "need", "n", (F.col("n") - F.col("at")).alias("rest"))
     linked = link_classes(keys, fetch, percent)
     grouped = classes.join(linked.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("group_cls"), "first_id", "copies", F.col("root").isNotNull().alias("linked"))
     named = grouped.where("linked").groupBy("group_cls").agg(F.min("first_id").alias("least_id"))
