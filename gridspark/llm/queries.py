@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, quality_rules, toxicity
+from . import decontaminate, line_dedup, ngram_join, quality_rules, secret_scan, toxicity
 from .storage import read_table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    spans = secret_scan.span_text(F.col("base_spans"))
+    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
