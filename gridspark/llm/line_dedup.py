@@ -32,7 +32,7 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     """A row for each line of enough characters: the text's key, the line's place and length, site and hash."""
     # Lines are equal if they differ in case and in blanks at their ends only.
     plain = F.lower(F.trim("line"))
-    each = docs.select(*_KEY, F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode("__lines").alias("at", "line"))
+    each = docs.select(*_KEY, F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode_outer("__lines").alias("at", "line"))
     return each.where(F.length(plain) >= LEAST_CHARS).select(*_KEY, "site", "at", F.length("line").alias("chars"), F.xxhash64(plain).alias("line_hash"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, toxicity
+from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, secret_scan, toxicity
 from .storage import read_table
 
 
@@ -44,6 +44,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_quality_rules": op4_quality_rules,
@@ -52,7 +56,9 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": line_dedup.sql(),
+    "op10_source_mixing": mixing.sql(),
 }
