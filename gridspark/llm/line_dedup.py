@@ -72,7 +72,7 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     text = F.array_join(F.when(apply, kept).otherwise(F.col("__lines")), "\n")
     removed = F.when(apply, F.size("__gone").cast("long")).otherwise(F.lit(0))
     counts = [F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines").cast("long")), F.lit(0)).alias("n_lines"), removed.alias("n_removed_lines")]
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *counts)
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed_lines")], *counts)
 
 
 def sql(sites: int = SITES) -> str:

@@ -15,11 +15,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .components import connected_components
 from .storage import materialize
 
 
+#: Keys of a class that are compared to find the first one that two classes share.
+EARLIER = 32
 #: Most star rounds, and the share of a round's checks that must confirm for another.
 ROUNDS, WORTHWHILE = 4, 0.1
 
@@ -88,16 +91,24 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
         if new < WORTHWHILE * tried or not tried:
             break
     of = materialize(of, "members")
-    # Pairs of components under a key first, then their classes: no pair inside a component is ever made.
-    groups = of.groupBy("key", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    group = lambda x: groups.select("key", *(F.col(c).alias(f"{c}{x}") for c in ("comp", "least", "most", "rest")))
+    # Pairs of components under a key first, then their classes: no pair inside a component is ever made. Two components
+    # of one class each meet at the first key they share only, as far as the EARLIER keys before it tell.
+    before = W.partitionBy("cls").orderBy(F.desc("rest"), "key").rowsBetween(-EARLIER, -1)
+    groups = of.withColumn("earlier", F.collect_list("key").over(before)).groupBy("key", "comp")
+    groups = groups.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.count("*").alias("size"), F.first("earlier").alias("earlier"))
+    groups = groups.withColumn("earlier", F.when(F.col("size") == 1, F.col("earlier")).otherwise(F.array().cast("array<long>"))).drop("size")
+    group = lambda x: groups.select("key", *(F.col(y).alias(f"{y}{x}") for y in ("comp", "least", "most", "rest", "earlier")))
     c = F.col
     fit = (100 * c("mosta") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("leasta")) & _reach(c("resta"), c("restb"), c("leasta"), c("leastb"), percent)
+    fit = fit & ~F.arrays_overlap("earliera", "earlierb")
     met = group("a").join(group("b"), "key").where((c("compa") < c("compb")) & fit).select("key", "compa", "compb")
-    member = lambda x: of.select("key", c("comp").alias(f"comp{x}"), c("cls").alias(x), *(c(y).alias(f"{y}{x}") for y in ("need", "n", "rest")))
-    pairs = met.join(member("a"), ["key", "compa"]).join(member("b"), ["key", "compb"]).where(_fitting(c("na"), c("nb"), percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("needa", "needb")).alias("need"), F.max(_reach(c("resta"), c("restb"), c("na"), c("nb"), percent)).alias("reached"))
-    pairs = materialize(pairs.where("shared >= need and reached").select("a", "b"), "pairs")
+    member = lambda x: of.select("key", c("comp").alias(f"comp{x}"), c("cls").alias(x), *(c(y).alias(f"{y}{x}") for y in ("n", "rest")))
+    pairs = met.join(member("a"), ["key", "compa"]).join(member("b"), ["key", "compb"])
+    pairs = pairs.where(_fitting(c("na"), c("nb"), percent) & _reach(c("resta"), c("restb"), c("na"), c("nb"), percent)).select("a", "b").distinct()
+    held = of.groupBy("cls").agg(F.collect_set("key").alias("keys"), F.first("need").alias("need"))
+    side = lambda x: held.select(c("cls").alias(x), c("keys").alias(f"keys{x}"), c("need").alias(f"need{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("keysa", "keysb")) >= F.least("needa", "needb"))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
     if not pairs.isEmpty():
         more = confirm(pairs, materialize(fetch(_ends(pairs)), "sets"), percent)
         linked = materialize(connected_components(more if links is None else links.union(more)), "linked")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, toxicity
+from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, toxicity, warc_revisits
 from .storage import read_table
 
 
@@ -20,6 +20,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve_revisits(warc_revisits.crawl_records(read_table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_quality_rules": op4_quality_rules,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_license_scan": op6_license_scan,
@@ -64,6 +71,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": warc_revisits.sql(),
     "op8_line_dedup": line_dedup.sql(),
     "op10_source_mixing": mixing.sql(),
 }

@@ -146,7 +146,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     base = F.sort_array(F.concat(*[_base_spans(text, i) for i in range(len(BASE))]).cast(_SPAN))
     more = _entropy_spans(text).cast(_SPAN)
     added = _let(base, lambda b: F.struct(b.alias("base_spans"), F.sort_array(F.concat(b, F.filter(more, lambda s: ~F.exists(b, lambda x: (x["start"] <= s["start"]) & (x["end"] >= s["end"]))))).alias("spans")))
-    return docs.withColumn("__found", added).select(*docs.columns, "__found.base_spans", "__found.spans")
+    return docs.withColumn("__found", added).select(*[c for c in docs.columns if c not in ("base_spans", "spans")], "__found.base_spans", "__found.spans")
 
 
 def span_text(spans: Column) -> Column:
