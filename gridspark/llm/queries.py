@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, toxicity, warc_revisits
@@ -15,7 +15,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     spans = secret_scan.span_text(F.col("base_spans"))
     return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
 

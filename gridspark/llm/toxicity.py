@@ -20,7 +20,7 @@ from . import textscan as ts
 from .storage import prepare_tasks
 
 #: Bound of the training sample: so many labelled rows that are clean, toxic; the first by a hash of their ids.
-SAMPLE_ROWS = (5000, 3000)
+SAMPLE_ROWS = (6000, 2000)
 #: Hash slots of the embedding table; also the most features that one training text can have.
 SLOT_BITS = 18
 NGRAMS = (3, 4, 5)
@@ -91,21 +91,23 @@ def _features(data: np.ndarray, off: np.ndarray, bits: int) -> Iterator[tuple[np
 
 
 def _bags(bits: int):
-    """Task: (label, slots, weights) of each text; weights are shares of its n-grams, so they sum to 1."""
+    """Task: (label, slots, counts, n) of each text: its distinct slots as int32 bytes, how often it has each as uint16
+    bytes, and all its n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, shares = [], []
+            slots, counts, total = [], [], []
             for _, _, raw, off in ts.slices(batch.column("text")):
                 data, at = _spaced(raw, off)
                 found = list(_features(data, at, bits))
                 for d in range(len(off) - 1):
                     own = [s[np.searchsorted(p, at[d]) : np.searchsorted(p, at[d + 1])] for p, s in found]
                     slot, count = np.unique(np.concatenate(own), return_counts=True)
-                    slots.append(slot.astype(np.int32))
-                    shares.append((count / (count.sum() + PRIOR)).astype(np.float32))
-            columns = [batch.column("toxic"), pa.array(slots, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "slots", "shares"])
+                    slots.append(slot.astype(np.int32).tobytes())
+                    counts.append(np.minimum(count, 65535).astype(np.uint16).tobytes())
+                    total.append(int(count.sum()))
+            columns = [batch.column("toxic"), pa.array(slots, pa.binary()), pa.array(counts, pa.binary()), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "slots", "counts", "n"])
 
     return run
 
@@ -122,15 +124,18 @@ def _cut(said: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = SLOT_BITS, seed: int = 7) -> Model:
-    """Fit embeddings and softmax weights by Adagrad on (label, slots, shares) bags."""
+    """Fit embeddings and softmax weights by Adagrad on (label, slots, shares) bags; ``bags`` loses its rare slots."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-0.05, 0.05, (1 << bits, DIMENSIONS)).astype(np.float32)
     weights, bias = rng.uniform(-0.05, 0.05, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_table, g_weights, g_bias = np.full(1 << bits, 1e-8, np.float32), np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
     labels = np.array([b[0] for b in bags], np.int64)
-    held = np.bincount(np.concatenate([b[1] for b in bags]), minlength=1 << bits) if len(bags) else np.zeros(1 << bits, np.int64)
+    held = np.zeros(1 << bits, np.int32)
+    for _, slots, _ in bags:
+        held[slots] += 1
     used = held >= LEAST_TEXTS
-    bags = [(y, slots[used[slots]], shares[used[slots]]) for y, slots, shares in bags]
+    for i, (y, slots, shares) in enumerate(bags):  # in place, so that what is left out is freed
+        bags[i] = (y, slots[used[slots]], shares[used[slots]])
     for epoch in range(EPOCHS if len(bags) else 0):
         rate = RATE * (1 - epoch / EPOCHS) + 0.01
         order = rng.permutation(len(bags))
@@ -184,9 +189,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPL
     picked = [rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows[c]) for c in (0, 1)]
     sample = F.broadcast(picked[0].union(picked[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bags = texts.join(sample, "doc_id").select("toxic", "text").mapInArrow(_bags(SLOT_BITS), "toxic int, slots array<int>, shares array<float>").toArrow()
-    rows = zip(bags.column("toxic"), bags.column("slots"), bags.column("shares"), strict=True)
-    found = [(t.as_py(), s.values.to_numpy(), w.values.to_numpy()) for t, s, w in rows]
+    bags = texts.join(sample, "doc_id").select("toxic", "text").mapInArrow(_bags(SLOT_BITS), "toxic int, slots binary, counts binary, n long")
+    # Bounded by the sample: a few kilobytes for each of its texts.
+    found = []
+    rows = bags.collect()
+    while rows:
+        r = rows.pop()
+        shares = np.frombuffer(r.counts, np.uint16).astype(np.float32) / np.float32(r.n + PRIOR)
+        found.append((r.toxic, np.frombuffer(r.slots, np.int32), shares))
     # The same order whatever the partitions were.
     found.sort(key=lambda b: (b[0], len(b[1]), b[1][:64].tobytes(), b[2][:64].tobytes()))
     return train(found)
