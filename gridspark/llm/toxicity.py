@@ -24,16 +24,19 @@ SAMPLE_ROWS = (6000, 2000)
 #: Hash slots of the embedding table; also the most features that one training text can have.
 SLOT_BITS = 18
 NGRAMS = (3, 4, 5)
-DIMENSIONS, EPOCHS, BATCH, RATE, DECAY = 4, 4, 64, 0.15, 1e-4
+DIMENSIONS, BATCH, RATE, DECAY = 4, 64, 0.15, 1e-4
+#: Passes over the sample: as many as make this many steps, within bounds.
+STEPS, EPOCHS = 500, (4, 20)
 #: The mean is multiplied by this before the softmax: a few words in a hundred must be able to decide.
 GAIN = 100.0
 #: N-grams without a vector that every text has besides its own: a few chance ones cannot decide a short text.
 PRIOR = 150
-#: A slot in fewer training texts than this keeps no vector: it could only be learned by heart.
-LEAST_TEXTS = 20
+#: A slot in fewer training texts than this share of them, and than three, keeps no vector: it could only be learned by
+#: heart.
+LEAST_SHARE = 0.0025
 #: After training, slots whose say is under this share of the strongest one's are noise: they are dropped, and the
 #: bias is set anew over the training sample.
-NOISE = 0.1
+NOISE = 0.15
 
 
 @dataclass
@@ -133,11 +136,12 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = SLOT_BITS,
     held = np.zeros(1 << bits, np.int32)
     for _, slots, _ in bags:
         held[slots] += 1
-    used = held >= LEAST_TEXTS
+    used = held >= max(3, LEAST_SHARE * len(bags))
     for i, (y, slots, shares) in enumerate(bags):  # in place, so that what is left out is freed
         bags[i] = (y, slots[used[slots]], shares[used[slots]])
-    for epoch in range(EPOCHS if len(bags) else 0):
-        rate = RATE * (1 - epoch / EPOCHS) + 0.01
+    epochs = min(EPOCHS[1], max(EPOCHS[0], -(-STEPS * BATCH // len(bags)))) if bags else 0
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs) + 0.01
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
