@@ -21,8 +21,8 @@ from .components import connected_components
 from .storage import materialize
 
 
-#: Keys of a class that are compared to find the first one that two classes share.
-EARLIER = 32
+#: Keys of a class that are compared under each of its keys; a class with more is compared later, by all of them.
+KEYS = 48
 #: Most star rounds, and the share of a round's checks that must confirm for another.
 ROUNDS, WORTHWHILE = 4, 0.1
 
@@ -57,10 +57,12 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _stars(shared: DataFrame, round_: int, percent: int) -> DataFrame:
     """(a, b): for each class b the hub a, of another component, of most of its keys. The hub of a key is the class
     with the most keys at first (the one with the fewest shingles of its own), then one by chance."""
-    rank = F.struct(F.col("weight") if round_ == 0 else F.xxhash64(F.lit(round_), "cls"), "cls", "comp", "n")
+    rank = F.struct(F.col("weight") if round_ == 0 else F.xxhash64(F.lit(round_), "cls"), "cls", "comp", "n", "need")
     hubs = shared.groupBy("key").agg(F.max(rank).alias("hub"))
     met = shared.join(hubs, "key").where((F.col("comp") != F.col("hub.comp")) & _fitting(F.col("n"), F.col("hub.n"), percent))
-    votes = met.groupBy(F.col("cls").alias("b"), F.col("hub.cls").alias("a")).count()
+    votes = met.groupBy(F.col("cls").alias("b"), F.col("hub.cls").alias("a")).agg(F.count("*").alias("count"), F.first("need").alias("need"), F.first("hub.need").alias("hub_need"))
+    # Likely ones only; pairs that share enough keys by way of other classes are met later.
+    votes = votes.where(F.col("count") >= F.least("need", "hub_need"))
     return votes.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a"))
 
 
@@ -92,15 +94,20 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
             break
     of = materialize(of, "members")
     # Pairs of components under a key first, then their classes: no pair inside a component is ever made. Two components
-    # of one class each meet at the first key they share only, as far as the EARLIER keys before it tell.
-    before = W.partitionBy("cls").orderBy(F.desc("rest"), "key").rowsBetween(-EARLIER, -1)
-    groups = of.withColumn("earlier", F.collect_list("key").over(before)).groupBy("key", "comp")
-    groups = groups.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.count("*").alias("size"), F.first("earlier").alias("earlier"))
-    groups = groups.withColumn("earlier", F.when(F.col("size") == 1, F.col("earlier")).otherwise(F.array().cast("array<long>"))).drop("size")
-    group = lambda x: groups.select("key", *(F.col(y).alias(f"{y}{x}") for y in ("comp", "least", "most", "rest", "earlier")))
+    # of one class each meet at the first key they share only, and only if they share enough, as far as KEYS keys tell.
     c = F.col
+    whole = W.partitionBy("cls").orderBy(F.desc("rest"), "key")
+    own = of.withColumns({"earlier": F.collect_list("key").over(whole.rowsBetween(-KEYS, -1)), "held": F.collect_list("key").over(W.partitionBy("cls").orderBy(F.desc("rest"), "key").rowsBetween(-KEYS, KEYS)), "all": F.count("*").over(W.partitionBy("cls"))})
+    own = own.where(_reach(c("rest"), c("rest"), c("n"), F.ceil(c("n") * percent / 100), percent))
+    groups = own.groupBy("key", "comp").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.min("need").alias("need"), F.count("*").alias("size"), F.first("earlier").alias("earlier"), F.first(F.when(c("all") <= KEYS, c("held"))).alias("held")
+    )
+    lone = c("size") == 1
+    groups = groups.withColumns({"earlier": F.when(lone, c("earlier")).otherwise(F.array().cast("array<long>")), "held": F.when(lone, c("held"))}).drop("size")
+    group = lambda x: groups.select("key", *(c(y).alias(f"{y}{x}") for y in ("comp", "least", "most", "rest", "need", "earlier", "held")))
     fit = (100 * c("mosta") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("leasta")) & _reach(c("resta"), c("restb"), c("leasta"), c("leastb"), percent)
     fit = fit & ~F.arrays_overlap("earliera", "earlierb")
+    fit = fit & F.coalesce(F.size(F.array_intersect("helda", "heldb")) >= F.least("needa", "needb"), F.lit(True))
     met = group("a").join(group("b"), "key").where((c("compa") < c("compb")) & fit).select("key", "compa", "compb")
     member = lambda x: of.select("key", c("comp").alias(f"comp{x}"), c("cls").alias(x), *(c(y).alias(f"{y}{x}") for y in ("n", "rest")))
     pairs = met.join(member("a"), ["key", "compa"]).join(member("b"), ["key", "compb"])

@@ -25,9 +25,11 @@ from .storage import materialize, prepare_tasks, small_or_shuffled
 PERCENT = 90
 SHINGLE_WORDS = 3
 #: A shingle under more prefix pools than this is frequent. Only the order of shingles, so speed, depends on it.
-FREQUENT = 4
+FREQUENT = 2
 #: At most so many of the frequent shingles (the most frequent) are sent to the tasks: 48 MB. Only speed depends on it.
 FREQUENT_ROWS = 4_000_000
+#: Shingles that a task gathers before it counts them: 16 MB.
+COUNTED_TOKENS = 2_000_000
 #: Longest prefix extension, and the cost of checking a candidate against that of meeting it.
 MOST_MATCHES, CHECK_COST = 8, 50.0
 #: Documents assumed to share a shingle that isn't frequent.
@@ -53,13 +55,29 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from ts.document_shingles(ts.scan(raw, off, ts.BLANK_SEPARATED), k)
 
 
+def _counted(tokens: list[np.ndarray], pooled: list[np.ndarray]) -> pa.RecordBatch:
+    """(token, n) of what a task has gathered: shingles of pools, and any others that it has met more than once."""
+    token, n = np.unique(np.concatenate(tokens), return_counts=True)
+    keep = n > 1
+    keep[np.searchsorted(token, np.concatenate(pooled))] = True
+    return pa.RecordBatch.from_arrays([pa.array(ts.signed(token[keep])), pa.array(n[keep].astype(np.int64))], ["token", "n"])
+
+
 def _pools(percent: int, k: int):
-    """Task: the shingles that can come into a prefix, as rows to be counted: a quarter of each set and a few."""
+    """Task: counts of shingles that can come into a prefix. A set's pool is the part of it that comes first by hash; a
+    shingle beyond all pools can come into a prefix where rare ones are few, so it counts where copies stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, pooled, size = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
         for batch in batches:
-            parts = [s[: 2 * (len(s) - _least(len(s), percent)) + len(s) // 20 + 8] for s in _sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([pa.array(ts.signed(np.concatenate(parts) if parts else np.empty(0, np.uint64)))], ["token"])
+            for s in _sets(batch.column("text"), k):
+                tokens.append(s)
+                pooled.append(s[: len(s) - _least(len(s), percent) + len(s) // 20 + MOST_MATCHES])
+                size += len(s)
+            if size > COUNTED_TOKENS:
+                yield _counted(tokens, pooled)
+                tokens, pooled, size = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], 0
+        yield _counted(tokens, pooled)
 
     return run
 
@@ -95,8 +113,6 @@ def _prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
         chance = met[size - 1] / math.factorial(m)
         passage = np.partition(partners[:size], -m)[-m] - RARE_PARTNERS
         cost = size + met[size - 1] + CHECK_COST * (chance + passage)
-        if m > 1 and partners[size - 1] > RARE_PARTNERS:
-            break  # every document with that shingle would meet every other: no longer prefix is cheaper
         if cost < best:
             best, need = cost, m
     return order[: base + need], need
@@ -134,7 +150,7 @@ def _token_sets(k: int):
 
 def _frequent(texts: DataFrame, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles and their counts over all documents, ascending by hash; bounded by FREQUENT_ROWS."""
-    counted = texts.mapInArrow(_pools(percent, k), "token long").groupBy("token").count().where(F.col("count") > FREQUENT)
+    counted = texts.mapInArrow(_pools(percent, k), "token long, n long").groupBy("token").agg(F.sum("n").alias("count")).where(F.col("count") > FREQUENT)
     counted = materialize(counted, "frequent")
     if counted.limit(FREQUENT_ROWS + 1).count() > FREQUENT_ROWS:
         counted = counted.orderBy(F.desc("count"), "token").limit(FREQUENT_ROWS)
@@ -160,10 +176,14 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_W
     rows = materialize(texts.mapInArrow(_prefixes(percent, k, frequent), _CLS), "prefixes")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
+    # Where ids stand on one row each, a class is fetched once and needs no shuffle to be told from its copies.
+    unique = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
     def fetch(wanted: DataFrame) -> DataFrame:
         ids = materialize(classes.join(wanted, "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "fetch")
         held = texts.join(small_or_shuffled(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-        return held.mapInArrow(_token_sets(k), "cls long, tokens array<long>").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        sets = held.mapInArrow(_token_sets(k), "cls long, tokens array<long>")
+        return sets if unique else sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
 
     size = F.col("n_shingles").cast("int")
     keys = rows.select(F.posexplode("prefix").alias("at", "key"), "cls", "need", size.alias("n")).select("key", "cls", "need", "n", (F.col("n") - F.col("at")).alias("rest"))
