@@ -40,9 +40,14 @@ def metric_bundle(rows: DataFrame, forecast: str, calendar: DataFrame) -> DataFr
     return r.groupingSets([[F.col(c) for c in s] for s in sets], "series_id", "regime", "band").agg(*metric_columns())
 
 
-def scorecard(rows: DataFrame, model: str, reference: str, *by: Column) -> DataFrame:
+#: Forecasts are close if their MAEs (MW) and WAPEs (percent) differ by no more; a better mean with an RMSE that is worse
+#: by more than RISK (MW) is a mixed result.
+CLOSE, RISK = (100.0, 0.2), 300.0
+
+
+def scorecard(rows: DataFrame, model: str, reference: str, *by: Column, scale: float = 1.0) -> DataFrame:
     """Model against reference for each group: MAE, WAPE and RMSE of both, hour of the model's largest error (the first
-    of equals), wins and ties, and a verdict."""
+    of equals), wins and ties, and a verdict. ``scale`` multiplies the verdict's limits in MW."""
     m, r = F.abs(F.col(model) - F.col("actual_mw")), F.abs(F.col(reference) - F.col("actual_mw"))
     total = F.sum("actual_mw")
     out = rows.groupBy(*by).agg(
@@ -57,10 +62,10 @@ def scorecard(rows: DataFrame, model: str, reference: str, *by: Column) -> DataF
         F.count_if(m < r).alias("wins"),
         F.count_if(r < m).alias("losses"),
     )
-    better = [F.col(f"model_{x}") < F.col(f"reference_{x}") for x in ("mae", "wape", "rmse")]
-    votes = sum((b.cast("int") for b in better[1:]), better[0].cast("int"))
-    close = F.abs(F.col("model_mae") - F.col("reference_mae")) <= 0.03 * F.col("reference_mae")
-    verdict = F.when(F.col("n") < 6, "insufficient").when(close, "close").when(votes == 3, "model_better").when(votes == 0, "reference_better").otherwise("mixed")
+    gap, wape, rmse = (F.col(f"model_{x}") - F.col(f"reference_{x}") for x in ("mae", "wape", "rmse"))
+    close = (F.abs(gap) <= CLOSE[0] * scale) & (F.abs(wape) <= CLOSE[1])
+    model, other = (gap < 0) & (wape < 0), (gap > 0) & (wape > 0)
+    verdict = F.when(gap.isNull() | wape.isNull(), "insufficient").when(close, "close").when(model & (rmse <= RISK * scale), "model_better").when(other & (rmse >= -RISK * scale), "reference_better").otherwise("mixed")
     return out.withColumns({"ties": F.col("n") - F.col("wins") - F.col("losses"), "verdict": verdict})
 
 

@@ -11,7 +11,7 @@ from . import tables as tb
 from .functions import constants as C
 from .functions import scalars as S
 from .operators import anomaly, features, intervals, intraday, joins, metrics, quality, weather_prep
-from .plans import baseline, evaluation
+from .plans import baseline, evaluation, reports
 from .sources import files, sinks
 
 DIGITS = 4
@@ -19,6 +19,8 @@ DIGITS = 4
 OFF_TIES = 1.37e-8
 #: Alert limits at the scale of these tables: MW and percent for a warning and a critical breach, MW for drift.
 BREACH, DRIFT = ((3.0, 1.0), (5.0, 2.0)), 8.0
+#: And of the reports' limits in MW.
+SCALE = 0.01
 
 
 def _out(df: DataFrame, *keep: str) -> DataFrame:
@@ -282,17 +284,17 @@ def _card_sql(by: str, name: str) -> str:
     return tb.with_ctes("pairs", more=f"""ab AS (SELECT *, abs(model_mw - actual_mw) AS m, abs(reference_mw - actual_mw) AS r FROM pairs),
     sc AS (SELECT series_id, {by} AS {name}, count(*) AS n, avg(m) AS model_mae, avg(r) AS reference_mae, sum(m) / sum(actual_mw) * 100 AS model_wape, sum(r) / sum(actual_mw) * 100 AS reference_wape, sqrt(avg(m * m)) AS model_rmse, sqrt(avg(r * r)) AS reference_rmse,
       first(hour(ts) ORDER BY round(m, 6) DESC, ts) AS worst_hour, count(*) FILTER (m < r) AS wins, count(*) FILTER (r < m) AS losses FROM ab GROUP BY 1, 2)""") + f"""SELECT series_id, CAST({name} AS {'VARCHAR' if name == 'day' else 'BIGINT'}) AS {name}, n, {_r('model_mae', 'reference_mae', 'model_wape', 'reference_wape', 'model_rmse', 'reference_rmse')}, worst_hour, wins, losses, n - wins - losses AS ties,
-      CASE WHEN n < 6 THEN 'insufficient' WHEN abs(model_mae - reference_mae) <= 0.03 * reference_mae THEN 'close' WHEN model_mae < reference_mae AND model_wape < reference_wape AND model_rmse < reference_rmse THEN 'model_better' WHEN NOT (model_mae < reference_mae OR model_wape < reference_wape OR model_rmse < reference_rmse) THEN 'reference_better' ELSE 'mixed' END AS verdict FROM sc"""
+      CASE WHEN abs(model_mae - reference_mae) <= {100.0 * SCALE} AND abs(model_wape - reference_wape) <= 0.2 THEN 'close' WHEN model_mae < reference_mae AND model_wape < reference_wape AND model_rmse - reference_rmse <= {300.0 * SCALE} THEN 'model_better' WHEN model_mae > reference_mae AND model_wape > reference_wape AND model_rmse - reference_rmse >= -{300.0 * SCALE} THEN 'reference_better' ELSE 'mixed' END AS verdict FROM sc"""
 
 
 @_register(_card_sql("CAST(ts AS DATE)", "day"))
 def ev01_daily_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(metrics.scorecard(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", F.col("series_id"), F.to_date("ts").alias("day")))
+    return _out(metrics.scorecard(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", F.col("series_id"), F.to_date("ts").alias("day"), scale=SCALE))
 
 
 @_register(_card_sql("hour(ts)", "hour"))
 def a21_hourly_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(metrics.scorecard(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", F.col("series_id"), F.hour("ts").alias("hour")))
+    return _out(metrics.scorecard(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", F.col("series_id"), F.hour("ts").alias("hour"), scale=SCALE))
 
 
 @_register(tb.with_ctes("pairs") + f"SELECT series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_r('max(actual_mw) AS actual_mw_peak')}, first(hour(ts) ORDER BY actual_mw DESC, ts) AS actual_mw_peak_hour, {_r('max(model_mw) AS model_mw_peak')}, first(hour(ts) ORDER BY model_mw DESC, ts) AS model_mw_peak_hour FROM pairs GROUP BY series_id, CAST(ts AS DATE)")
@@ -447,3 +449,33 @@ def i02_conformal_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(intervals.conformal_floors(p, targets, tb.calendar(_days(p)), least=3))
 
 
+# Reports ---------------------------------------------------------------------------------------------------------------
+
+_SHAPE = "st AS (SELECT * FROM (SELECT series_id, CAST(ts AS DATE) AS day, hour(ts) AS to_hour, lag(hour(ts)) OVER w AS from_hour, actual_mw - lag(actual_mw) OVER w AS actual_delta, model_mw - lag(model_mw) OVER w AS model_delta, reference_mw - lag(reference_mw) OVER w AS reference_delta FROM pairs WINDOW w AS (PARTITION BY series_id, CAST(ts AS DATE) ORDER BY ts)) WHERE to_hour = from_hour + 1)"
+_BREAKS = "sb AS (SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY round(abs(model_delta - actual_delta), 6) DESC, to_hour) AS rank FROM st WHERE abs(model_delta - actual_delta) >= 15)"
+
+
+@_register(tb.with_ctes("pairs") + f"""SELECT series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {_BAND_SQL.replace("'morning'", "'morning_ramp'")} AS band, count(*) AS hours, {_r('avg(abs(model_mw - actual_mw)) AS model_mae', 'avg(abs(reference_mw - actual_mw)) AS reference_mae', 'avg(model_mw - actual_mw) AS model_bias')},
+    CASE WHEN abs(avg(model_mw - actual_mw)) < greatest(100, 0.35 * avg(abs(model_mw - actual_mw))) THEN 'mixed' WHEN avg(model_mw - actual_mw) > 0 THEN 'over' ELSE 'under' END AS direction FROM pairs GROUP BY ALL""")
+def rp03_band_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(reports.band_summary(tb.pairs(spark, sf_dir)))
+
+
+@_register(tb.with_ctes("pairs", more=_SHAPE) + f"SELECT series_id, CAST(day AS VARCHAR) AS day, to_hour, from_hour, {_r('actual_delta', 'model_delta', 'reference_delta', 'model_delta - actual_delta AS model_delta_error', 'reference_delta - actual_delta AS reference_delta_error')} FROM st")
+def rp04_shape_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(reports.shape_transitions(tb.pairs(spark, sf_dir)))
+
+
+@_register(tb.with_ctes("pairs", more=f"{_SHAPE}, {_BREAKS}") + f"SELECT series_id, CAST(day AS VARCHAR) AS day, to_hour, from_hour, {_r('actual_delta', 'model_delta', 'reference_delta', 'model_delta - actual_delta AS model_delta_error', 'reference_delta - actual_delta AS reference_delta_error')}, rank FROM sb WHERE rank <= 5")
+def tk02_shape_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(reports.shape_breaks(reports.shape_transitions(tb.pairs(spark, sf_dir)), 15.0))
+
+
+@_register(tb.with_ctes("pairs", more="pk AS (SELECT series_id, CAST(ts AS DATE) AS day, max(actual_mw) AS actual_peak, first(hour(ts) ORDER BY actual_mw DESC, ts) AS actual_hour, max(model_mw) AS model_peak, first(hour(ts) ORDER BY model_mw DESC, ts) AS model_hour, first(model_mw - actual_mw ORDER BY actual_mw DESC, ts) AS error_at_peak FROM pairs GROUP BY 1, 2)") + f"SELECT series_id, CAST(day AS VARCHAR) AS day, {_r('actual_peak')}, actual_hour, {_r('model_peak')}, model_hour, {_r('error_at_peak')}, model_hour - actual_hour AS time_error FROM pk")
+def rp02_peak_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(reports.peak_summary(tb.pairs(spark, sf_dir)))
+
+
+@_register()
+def rp05_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(reports.insights(tb.pairs(spark, sf_dir), scale=SCALE))
