@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, secret_scan, substring_dedup, toxicity, warc_revisits
+from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, oracles, quality_rules, secret_scan, substring_dedup, toxicity, warc_revisits
 from .storage import read_table
 
 
@@ -76,6 +76,9 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_revisits": warc_revisits.sql(),
+    "op4_quality_rules": oracles.QUALITY,
+    "op5_ngram_jaccard_join": oracles.NGRAM_JOIN,
     "op8_line_dedup": line_dedup.sql(),
+    "op9_benchmark_decontamination": oracles.CONTAMINATION,
     "op10_source_mixing": mixing.sql(),
 }
