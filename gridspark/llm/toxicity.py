@@ -20,7 +20,7 @@ from . import textscan as ts
 from .storage import prepare_tasks
 
 #: Bound of the training sample: so many labelled rows that are clean, toxic; the first by a hash of their ids.
-SAMPLE_ROWS = (6000, 2000)
+SAMPLE_ROWS = (4000, 1500)
 #: Hash slots of the embedding table; also the most features that one training text can have.
 SLOT_BITS = 18
 NGRAMS = (3, 4, 5)
@@ -36,7 +36,7 @@ PRIOR = 150
 LEAST_SHARE = 0.0025
 #: After training, slots whose say is under this share of the strongest one's are noise: they are dropped, and the
 #: bias is set anew over the training sample.
-NOISE = 0.15
+NOISE = 0.2
 
 
 @dataclass
@@ -126,19 +126,20 @@ def _cut(said: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[at] + edges[at + 1]) / 2)
 
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = SLOT_BITS, seed: int = 7) -> Model:
-    """Fit embeddings and softmax weights by Adagrad on (label, slots, shares) bags; ``bags`` loses its rare slots."""
+def train(bags: list[tuple[int, np.ndarray, np.ndarray, int]], bits: int = SLOT_BITS, seed: int = 7) -> Model:
+    """Fit embeddings and softmax weights by Adagrad on (label, slots, counts, n-grams in all) bags; ``bags`` loses its rare slots."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-0.05, 0.05, (1 << bits, DIMENSIONS)).astype(np.float32)
     weights, bias = rng.uniform(-0.05, 0.05, (DIMENSIONS, 2)).astype(np.float32), np.zeros(2, np.float32)
     g_table, g_weights, g_bias = np.full(1 << bits, 1e-8, np.float32), np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
     labels = np.array([b[0] for b in bags], np.int64)
     held = np.zeros(1 << bits, np.int32)
-    for _, slots, _ in bags:
+    for _, slots, _, _ in bags:
         held[slots] += 1
     used = held >= max(3, LEAST_SHARE * len(bags))
-    for i, (y, slots, shares) in enumerate(bags):  # in place, so that what is left out is freed
-        bags[i] = (y, slots[used[slots]], shares[used[slots]])
+    for i, (y, slots, counts, n) in enumerate(bags):  # in place, so that what is left out is freed
+        bags[i] = (y, slots[used[slots]], counts[used[slots]], n)
+    shares_of = lambda b: b[2].astype(np.float32) / np.float32(b[3] + PRIOR)
     epochs = min(EPOCHS[1], max(EPOCHS[0], -(-STEPS * BATCH // len(bags)))) if bags else 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs) + 0.01
@@ -146,7 +147,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = SLOT_BITS,
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             slots = np.concatenate([bags[i][1] for i in own])
-            shares = np.concatenate([bags[i][2] for i in own])
+            shares = np.concatenate([shares_of(bags[i]) for i in own])
             row = np.repeat(np.arange(len(own)), [len(bags[i][1]) for i in own])
             hidden = np.stack([np.bincount(row, shares * table[slots, j], len(own)) for j in range(DIMENSIONS)], 1).astype(np.float32) * GAIN
             logit = hidden @ weights + bias
@@ -166,7 +167,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = SLOT_BITS,
             bias -= rate * grad_b / np.sqrt(g_bias)
     slots = table @ (weights[:, 1] - weights[:, 0]) * np.float32(GAIN)
     slots[~used | (np.abs(slots) < NOISE * np.abs(slots).max())] = 0
-    said = np.array([float((slots[s] * w).sum()) for _, s, w in bags])
+    said = np.array([float((slots[b[1]] * shares_of(b)).sum()) for b in bags])
     return Model(slots.astype(np.float32), -_cut(said, labels) if len(bags) else float(bias[1] - bias[0]), bits)
 
 
@@ -195,12 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPL
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     bags = texts.join(sample, "doc_id").select("toxic", "text").mapInArrow(_bags(SLOT_BITS), "toxic int, slots binary, counts binary, n long")
     # Bounded by the sample: a few kilobytes for each of its texts.
-    found = []
-    rows = bags.collect()
-    while rows:
-        r = rows.pop()
-        shares = np.frombuffer(r.counts, np.uint16).astype(np.float32) / np.float32(r.n + PRIOR)
-        found.append((r.toxic, np.frombuffer(r.slots, np.int32), shares))
+    found = [(r.toxic, np.frombuffer(r.slots, np.int32), np.frombuffer(r.counts, np.uint16), r.n) for r in bags.collect()]
     # The same order whatever the partitions were.
     found.sort(key=lambda b: (b[0], len(b[1]), b[1][:64].tobytes(), b[2][:64].tobytes()))
     return train(found)
