@@ -3,12 +3,13 @@
 Paragraphs (lines of enough words) get MinHash bands over their five-word shingles; colliding paragraphs are joined and
 their exact Jaccard similarity is checked. A passage that stands inside a longer paragraph has no paragraph of its own,
 so every text also gets anchored sub-paragraphs: windows of 25 words chosen by winnowing, such that any 50 words that
-two texts have in common hold at least one window that both have chosen. Components of the links are the clusters; the
-first place of a cluster stays, the others are removals. Only hashes are shuffled, never text.
+two texts have in common hold at least one window that both have chosen. The first paragraph of a component of links
+stays; of passages each window's first place stays, and the others are removals. Hashes are shuffled, not text.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ LEAST_WORDS = 20
 RECALL = 0.995
 #: Words of a window, and how many neighbouring windows choose one: 50 common words always share a chosen window.
 WINDOW, CHOICE = 25, 26
+#: Windows looked up in all texts at once: 16 MB.
+LOOKED_UP = 2_000_000
 
-_UNITS = "key long, doc_id long, starts array<int>, sizes array<int>, set_sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>"
+_UNITS = "key long, doc_id long, sig long, starts array<int>, sizes array<int>, set_sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>"
 
 
 def tune(similarity: float, recall: float, rows: int = 3) -> tuple[int, int]:
@@ -109,9 +112,9 @@ def _units(bands: int, rows: int):
                     for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), lengths[a:b], classes[a:b], list(keys[a:b]), chosen.astype(np.int32), ts.signed(own[chosen])), strict=True):
                         column.append(x)
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64()]
-            columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), *(pa.array(x, pa.list_(t)) for x, t in zip(out, kinds, strict=True))]
+            columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("sig"), *(pa.array(x, pa.list_(t)) for x, t in zip(out, kinds, strict=True))]
             key += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "starts", "sizes", "set_sizes", "classes", "bands", "places", "prints"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "sig", "starts", "sizes", "set_sizes", "classes", "bands", "places", "prints"])
 
     return run
 
@@ -146,39 +149,150 @@ def _near_paragraphs(units: DataFrame, texts: DataFrame) -> DataFrame:
     return each.join(shared, "cls").select("key", "doc_id", "first_word", "past_word", "cluster")
 
 
-def _equal_passages(units: DataFrame) -> DataFrame:
-    """The same for maximal runs of chosen windows that another document has chosen too."""
-    each = units.select("key", "doc_id", F.explode(F.arrays_zip("places", "prints")).alias("x")).select("key", "doc_id", F.col("x.places").alias("at"), F.col("x.prints").alias("print"))
+def _hits(prints):
+    """Task: (sig, at, print) of every window of a text, chosen or not, that is among ``prints`` (ascending)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = prints.value
+        for batch in batches:
+            sigs, sig, place, found = batch.column("sig").to_numpy(), [], [], []
+            for begin, _, raw, off in ts.slices(batch.column("text")):
+                w = ts.scan(raw, off, ts.ALPHANUMERIC)
+                windows = ts.shingles(w.hashes(), WINDOW)
+                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, windows), len(wanted) - 1)] == windows)
+                doc = np.searchsorted(w.ptr, at, side="right") - 1
+                inside = at + WINDOW <= w.ptr[doc + 1]
+                at, doc = at[inside], doc[inside]
+                sig.append(sigs[begin + doc])
+                place.append((at - w.ptr[doc]).astype(np.int32))
+                found.append(ts.signed(windows[at]))
+            if sum(map(len, sig)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, place, found)], ["sig", "at", "print"])
+
+    return run
+
+
+def _left(first: int, past: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a span without ``cuts``, which are disjoint and ascending."""
+    for a, b in cuts[max(bisect.bisect(cuts, (first,)) - 1, 0) :]:
+        if a >= past:
+            break
+        if first < a:
+            yield first, a
+        first = max(first, b)
+    if first < past:
+        yield first, past
+
+
+def _merged(spans: list[tuple]) -> list[list]:
+    """Overlapping and touching spans (first, past, *more) as one, with what the first of them has."""
+    out: list[list] = []
+    for first, past, *more in sorted(spans, key=lambda x: x[:2]):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], past)
+        else:
+            out.append([first, past, *more])
+    return out
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of one text in each row: removed spans without the windows that are safe, and the kept windows that stand
+    whole, merged."""
+    for batch in batches:
+        out: list[tuple] = []
+        for r in batch.to_pylist():
+            by = [[x for x in r["spans"] if x["kind"] == kind] for kind in range(3)]
+            safe = [(a, b) for a, b in _merged([(x["first"], x["past"]) for x in by[2]])]
+            gone = [(a, b, x) for x in by[0] for a, b in _left(x["first"], x["past"], safe)]
+            gone.sort(key=lambda x: x[:2])
+            cuts = [(a, b) for a, b, _ in gone]
+            whole = [(x["first"], x["past"], x) for x in by[1] if list(_left(x["at"], x["at"] + WINDOW, cuts)) == [(x["at"], x["at"] + WINDOW)]]
+            out += [(r["key"], r["doc_id"], a, b, x["keep_doc_id"], x["node"], True) for a, b, x in gone]
+            out += [(r["key"], r["doc_id"], a, b, r["doc_id"], x["node"], False) for first, past, x in _merged(whole) for a, b in _left(first, past, cuts)]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "doc_id", "first_word", "past_word", "keep_doc_id", "node", "removed"])
+
+
+def _cut(places: DataFrame, gone: DataFrame) -> DataFrame:
+    """``places`` (key, at, ..) with ``cut``: whether a removed span takes a word of their window."""
+    spans = gone.groupBy("key").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+    meets = F.exists("spans", lambda x: (x["first"] < F.col("at") + WINDOW) & (x["past"] > F.col("at")))
+    return places.join(spans, "key", "left").withColumn("cut", F.coalesce(meets, F.lit(False))).drop("spans")
+
+
+def _unsafe(kept: DataFrame, gone: DataFrame, texts: DataFrame, units: DataFrame) -> DataFrame:
+    """(key, doc_id, at) of the kept windows that a removed span cuts and that stand whole nowhere else."""
+    cut = materialize(_cut(kept, gone).where("cut").select("key", "doc_id", "at", "print"), "cut")
+    blocks = -(-cut.count() // LOOKED_UP)
+    for b in range(blocks):
+        rows = cut.where(F.pmod(F.xxhash64("print"), F.lit(blocks)) == b).select("print").toArrow()
+        prints = texts.sparkSession.sparkContext.broadcast(np.sort(rows.column("print").to_numpy().view(np.uint64)))
+        hits = materialize(texts.select("sig", "text").mapInArrow(_hits(prints), "sig long, at int, print long").distinct(), "hits") if len(rows) else None
+        if hits is not None:
+            # Of equal texts the first one has the fewest removals.
+            order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+            found = units.join(hits.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(order)["key"].alias("key"))
+            whole = _cut(hits.join(found, "sig"), gone).where("not cut").select("print").distinct()
+            cut = materialize(cut.join(whole, "print", "left_anti"), "unsafe")
+    return cut.select("key", "doc_id", "at")
+
+
+def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for windows that another document has chosen too, with keep_doc_id and removed.
+
+    Each print has one keeper, its first place. The other places of the print are removed, neighbouring ones as one. A
+    keeper whose words other removals would take stays whole unless the same words stand whole elsewhere, so every
+    common window is left in one place at least. Components of maximal runs are a label only.
+    """
+    each = units.select("key", "doc_id", "sig", F.explode(F.arrays_zip("places", "prints")).alias("x")).select("key", "doc_id", "sig", F.col("x.places").alias("at"), F.col("x.prints").alias("print"))
     common = each.groupBy("print").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("print")
     held = materialize(each.join(common, "print", "left_semi"), "windows")
     by = W.partitionBy("key").orderBy("at")
-    upto = F.max("at").over(by.rowsBetween(W.unboundedPreceding, -1)) + WINDOW
+    upto = F.lag("at").over(by) + WINDOW
     runs = held.withColumn("run", F.sum(F.when(F.col("at") <= upto + 1, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    runs = materialize(runs.withColumn("node", F.xxhash64("key", "run")), "passage-windows")
-    first = runs.groupBy("print").agg(F.min("node").alias("a"))
-    links = runs.join(first, "print").select("a", F.col("node").alias("b")).distinct()
-    clusters = connected_components(links).withColumnRenamed("root", "cluster")
-    passages = runs.groupBy("node", "key", "doc_id").agg(F.min("at").alias("first_word"), (F.max("at") + WINDOW).alias("past_word"))
+    runs = materialize(runs.withColumn("node", F.xxhash64("key", "run")).drop("run"), "passage-windows")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "at", "sig")
+    first = runs.groupBy("print").agg(F.min("node").alias("a"), F.min(order).alias("keep"))
+    windows = materialize(runs.join(first, "print").withColumn("kept", (F.col("keep.key") == F.col("key")) & (F.col("keep.at") == F.col("at"))), "kept-windows")
+    clusters = connected_components(windows.select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "cluster")
+
+    apart = F.sum(F.when(F.col("at") <= upto, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
+    ends = F.struct("at", "keep", "node")
+    gone = windows.where("not kept").withColumn("run", apart).groupBy("key", "doc_id", "sig", "run").agg(F.min(ends).alias("head"), F.max(ends).alias("tail"))
+    gone = gone.select("key", "doc_id", F.col("head.at").alias("first"), (F.col("tail.at") + WINDOW).alias("past"), F.col("head.keep.doc_id").alias("keep_doc_id"), F.col("head.node").alias("node"))
+    gone = materialize(gone, "gone")
+    kept = windows.where("kept").select("key", "doc_id", "sig", "at", "print", "node", F.col("at").alias("first"), (F.col("at") + WINDOW).alias("past"))
+
+    safe = _unsafe(kept.select("key", "doc_id", "at", "print"), gone, texts, units)
+    span = lambda df, kind, **x: df.select("key", "doc_id", F.struct(F.lit(kind).alias("kind"), *(F.expr(x.get(c, c)).cast(t).alias(c) for c, t in (("first", "int"), ("past", "int"), ("at", "int"), ("keep_doc_id", "long"), ("node", "long")))).alias("span"))
+    spans = span(gone, 0, at="first").union(span(kept, 1, keep_doc_id="doc_id")).union(span(safe, 2, first="at", past=f"at + {WINDOW}", keep_doc_id="doc_id", node="null"))
+    places = spans.groupBy("key", "doc_id").agg(F.collect_list("span").alias("spans")).mapInArrow(_settle, "key long, doc_id long, first_word int, past_word int, keep_doc_id long, node long, removed boolean")
     # A run may meet its likes in its own text only, where a print also stands in another text by way of another run.
-    return passages.join(clusters, passages.node == clusters.id, "left").select("key", "doc_id", "first_word", "past_word", F.coalesce("cluster", "node").alias("cluster"))
+    places = places.join(clusters, places.node == clusters.id, "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("node", "id")
+    places = materialize(places, "passages")
+    sizes = materialize(places.groupBy("cluster").agg(F.count("*").alias("n_places")), "passage-clusters")
+    return places.join(small_or_shuffled(sizes), "cluster")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per repeated place of ``docs`` (doc_id, text; other columns are ignored): doc_id, kind ('paragraph' or
     'passage'), first_word, past_word (words of letters and digits, from 0), cluster, keep_doc_id, n_places, removed.
 
-    Each row of docs is a document, so repeated rows repeat each other. The first place of a cluster in the order of
-    doc_id (nulls last), then word, stays; the others are removed. Null and blank texts, and texts of fewer than 20
+    Each row of docs is a document, so repeated rows repeat each other. The first paragraph of a cluster in the order of
+    doc_id (nulls last), then word, stays; the others are removed. Of passages, the first place of each window stays; a
+    cluster of passages may keep several places, and keep_doc_id is the document that keeps the place's first window. Null and blank texts, and texts of fewer than 20
     words, have no places. A cluster of any size is sums and minima, pre-aggregated for each task; prints, bands and
     classes of many documents cost a row for each document, never a pair.
     """
     prepare_tasks(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Equal texts have equal windows at equal places: sig tells texts from each other.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
     units = materialize(texts.mapInArrow(_units(*tune(PERCENT / 100, RECALL)), _UNITS), "units")
-    places = _near_paragraphs(units, texts).withColumn("kind", F.lit("paragraph")).unionByName(_equal_passages(units).withColumn("kind", F.lit("passage")))
-    places = materialize(places, "places")
+    paragraphs = materialize(_near_paragraphs(units, texts), "paragraphs")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "first_word")
-    clusters = places.groupBy("kind", "cluster").agg(F.min(order).alias("keep"), F.count("*").alias("n_places"))
-    out = places.join(small_or_shuffled(materialize(clusters, "clusters")), ["kind", "cluster"])
+    clusters = paragraphs.groupBy("cluster").agg(F.min(order).alias("keep"), F.count("*").alias("n_places"))
+    out = paragraphs.join(small_or_shuffled(materialize(clusters, "clusters")), "cluster")
     stays = (F.col("keep.key") == F.col("key")) & (F.col("keep.first_word") == F.col("first_word"))
-    return out.select("doc_id", "kind", F.col("first_word").cast("long").alias("first_word"), F.col("past_word").cast("long").alias("past_word"), "cluster", F.col("keep.doc_id").alias("keep_doc_id"), "n_places", (~stays).alias("removed"))
+    row = lambda df, kind, keep, removed: df.select("doc_id", F.lit(kind).alias("kind"), F.col("first_word").cast("long").alias("first_word"), F.col("past_word").cast("long").alias("past_word"), "cluster", F.col(keep).alias("keep_doc_id"), "n_places", removed.alias("removed"))
+    return row(out, "paragraph", "keep.doc_id", ~stays).union(row(_equal_passages(units, texts), "passage", "keep_doc_id", F.col("removed")))

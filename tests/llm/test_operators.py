@@ -272,3 +272,30 @@ def test_contract_columns(spark):
     for name, make in queries.QUERIES.items():
         if columns := want.get(re.match(r"op\d+_", name)[0]):
             assert set(columns.split()) <= set(make(spark, SF).columns)
+
+
+def windows_left(texts, places, n=25):
+    """Prints of windows of n words in several texts, and those of them that stand whole in some text after removal."""
+    seen, left = {}, set()
+    for d, text in texts.items():
+        w = brute.ALNUM.findall(brute.small(text))
+        gone = {i for r in places if r.doc_id == d and r.removed for i in range(r.first_word, r.past_word)}
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(d)
+            if not gone.intersection(range(i, i + n)):
+                left.add(tuple(w[i : i + n]))
+    return {p for p, of in seen.items() if len(of) > 1}, left
+
+
+def test_a_short_keeper_does_not_take_long_copies_away(spark):
+    """A chain by one short common passage: the long copies hold more than the first document does."""
+    rng = random.Random(11)
+    short, more = words(rng, 60, 10**6), words(rng, 300, 10**6)
+    texts = {1: f"{words(rng, 20, 10**6)} {short}", 2: f"{short} {more}", 3: f"{words(rng, 9, 10**6)} {short} {more}", 4: "of " * 200, 5: "of " * 180}
+    got = [r for r in substring_dedup.repeated_passages(table(spark, [(d, t, "s") for d, t in texts.items()])).collect() if r.kind == "passage"]
+    common, left = windows_left(texts, got)
+    held = {d: brute.ALNUM.findall(t) for d, t in texts.items()}
+    chosen = {tuple(held[r.doc_id][r.first_word : r.first_word + 25]) for r in got}
+    assert chosen & common <= left and any(" ".join(p) in more for p in left)
+    removed = {d: sum(r.past_word - r.first_word for r in got if r.doc_id == d and r.removed) for d in texts}
+    assert removed[3] > 300 and removed[2] < 61 and removed[1] == 0 and removed[5] > 100
