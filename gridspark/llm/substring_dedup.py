@@ -33,6 +33,8 @@ RECALL = 0.995
 WINDOW, CHOICE = 25, 26
 #: Windows looked up in all texts at once: 16 MB.
 LOOKED_UP = 2_000_000
+#: Ends of runs, with 25 word hashes on each side, that are broadcast at most: 8 MB.
+AROUND_ROWS = 20_000
 
 _UNITS = "key long, doc_id long, sig long, starts array<int>, sizes array<int>, set_sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>"
 
@@ -172,6 +174,42 @@ def _hits(prints):
     return run
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, at, before, after) of the windows in ``ats``: hashes of the words before and after them, the nearest first."""
+    reach = CHOICE - 1
+    for batch in batches:
+        sigs, ats = batch.column("sig").to_pylist(), batch.column("ats").to_pylist()
+        sig, place, before, after = [], [], [], []
+        for begin, _, raw, off in ts.slices(batch.column("text")):
+            w = ts.scan(raw, off, ts.ALPHANUMERIC)
+            h = w.hashes()
+            for d in range(len(off) - 1):
+                own = h[w.ptr[d] : w.ptr[d + 1]]
+                for at in ats[begin + d]:
+                    sig.append(sigs[begin + d])
+                    place.append(at)
+                    before.append(own[max(at - reach, 0) : at][::-1])
+                    after.append(own[at + WINDOW : at + WINDOW + reach])
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(place, pa.int32()), ts.list_array(before), ts.list_array(after)], ["sig", "at", "before", "after"])
+
+
+def _grown(ends: DataFrame, texts: DataFrame) -> DataFrame:
+    """``ends`` (sig, at, keep_sig, keep_at, later: whether the run ends here, else it begins) with ``more``: the words
+    beyond the window in which the text and its keeper agree. Chosen windows are at most CHOICE apart, so a match goes
+    on for less than CHOICE words beyond the last window that both have chosen."""
+    ends = materialize(ends.distinct(), "ends")
+    wanted = ends.select("sig", "at").union(ends.select("keep_sig", "keep_at")).distinct().groupBy("sig").agg(F.collect_list("at").alias("ats"))
+    wanted = small_or_shuffled(materialize(wanted, "wanted-ends"), AROUND_ROWS)
+    around = texts.join(wanted, "sig").select("sig", "text", "ats").mapInArrow(_around, "sig long, at int, before array<long>, after array<long>")
+    around = small_or_shuffled(materialize(around.groupBy("sig", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")), "around"), AROUND_ROWS)
+    side = lambda x, y: around.select(F.col("sig").alias(x), F.col("at").alias(y), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
+    both = ends.join(side("sig", "at"), ["sig", "at"]).join(side("keep_sig", "keep_at"), ["keep_sig", "keep_at"])
+    own, keepers = (F.when(F.col("later"), F.col(f"after_{x}")).otherwise(F.col(f"before_{x}")) for x in ("sig", "keep_sig"))
+    # zip_with pads the shorter one with nulls, which equal no word.
+    differs = F.array_position(F.transform(F.zip_with(own, keepers, lambda a, b: a.eqNullSafe(b)), lambda x: F.when(x, 1).otherwise(0)), 0)
+    return materialize(both.select("sig", "at", "keep_sig", "keep_at", "later", F.when(differs > 0, differs - 1).otherwise(F.size(own)).cast("int").alias("more")), "grown")
+
+
 def _left(first: int, past: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """What is left of a span without ``cuts``, which are disjoint and ascending."""
     for a, b in cuts[max(bisect.bisect(cuts, (first,)) - 1, 0) :]:
@@ -241,7 +279,8 @@ def _unsafe(kept: DataFrame, gone: DataFrame, texts: DataFrame, units: DataFrame
 def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
     """The same for windows that another document has chosen too, with keep_doc_id and removed.
 
-    Each print has one keeper, its first place. The other places of the print are removed, neighbouring ones as one. A
+    Each print has one keeper, its first place. The other places of the print are removed, neighbouring ones as one, with the
+    words at both ends in which the text and its keeper agree. A
     keeper whose words other removals would take stays whole unless the same words stand whole elsewhere, so every
     common window is left in one place at least. Components of maximal runs are a label only.
     """
@@ -259,10 +298,23 @@ def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
 
     apart = F.sum(F.when(F.col("at") <= upto, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
     ends = F.struct("at", "keep", "node")
-    gone = windows.where("not kept").withColumn("run", apart).groupBy("key", "doc_id", "sig", "run").agg(F.min(ends).alias("head"), F.max(ends).alias("tail"))
-    gone = gone.select("key", "doc_id", F.col("head.at").alias("first"), (F.col("tail.at") + WINDOW).alias("past"), F.col("head.keep.doc_id").alias("keep_doc_id"), F.col("head.node").alias("node"))
-    gone = materialize(gone, "gone")
-    kept = windows.where("kept").select("key", "doc_id", "sig", "at", "print", "node", F.col("at").alias("first"), (F.col("at") + WINDOW).alias("past"))
+    runs = windows.where("not kept").withColumn("run", apart).groupBy("key", "doc_id", "sig", "run").agg(F.min(ends).alias("head"), F.max(ends).alias("tail"))
+    runs = materialize(runs, "removed-runs")
+    end = lambda x, later: runs.select("sig", F.col(f"{x}.at").alias("at"), F.col(f"{x}.keep.sig").alias("keep_sig"), F.col(f"{x}.keep.at").alias("keep_at"), F.lit(later).alias("later"))
+    grown = _grown(end("head", False).union(end("tail", True)), texts)
+    more = lambda x, y, later, name: grown.where(F.col("later") == later).groupBy(F.col(x).alias("sig"), F.col(y).alias("at")).agg(F.max("more").alias(name))
+    gone = runs.withColumn("at", F.col("head.at")).join(small_or_shuffled(more("sig", "at", False, "before")), ["sig", "at"])
+    gone = gone.withColumn("at", F.col("tail.at")).join(small_or_shuffled(more("sig", "at", True, "after")), ["sig", "at"])
+    gone = gone.select("key", "doc_id", (F.col("head.at") - F.col("before")).alias("first"), (F.col("tail.at") + WINDOW + F.col("after")).alias("past"), F.col("head.keep.doc_id").alias("keep_doc_id"), F.col("head.node").alias("node"))
+    # Runs with a word or two between them, or none, may have grown into each other.
+    by_first = W.partitionBy("key").orderBy("first", "past").rowsBetween(W.unboundedPreceding, -1)
+    gone = gone.withColumn("new", F.when(F.col("first") <= F.max("past").over(by_first), 0).otherwise(1))
+    gone = gone.withColumn("run", F.sum("new").over(W.partitionBy("key").orderBy("first", "past").rowsBetween(W.unboundedPreceding, 0)))
+    gone = gone.groupBy("key", "doc_id", "run").agg(F.min(F.struct("first", "keep_doc_id", "node")).alias("head"), F.max("past").alias("past"))
+    gone = materialize(gone.select("key", "doc_id", "head.first", "past", "head.keep_doc_id", "head.node"), "gone")
+    kept = windows.where("kept").select("key", "doc_id", "sig", "at", "print", "node")
+    kept = kept.join(small_or_shuffled(more("keep_sig", "keep_at", False, "before")), ["sig", "at"], "left").join(small_or_shuffled(more("keep_sig", "keep_at", True, "after")), ["sig", "at"], "left")
+    kept = kept.select("key", "doc_id", "at", "print", "node", (F.col("at") - F.coalesce("before", F.lit(0))).alias("first"), (F.col("at") + WINDOW + F.coalesce("after", F.lit(0))).alias("past"))
 
     safe = _unsafe(kept.select("key", "doc_id", "at", "print"), gone, texts, units)
     span = lambda df, kind, **x: df.select("key", "doc_id", F.struct(F.lit(kind).alias("kind"), *(F.expr(x.get(c, c)).cast(t).alias(c) for c, t in (("first", "int"), ("past", "int"), ("at", "int"), ("keep_doc_id", "long"), ("node", "long")))).alias("span"))

@@ -299,3 +299,11 @@ def test_a_short_keeper_does_not_take_long_copies_away(spark):
     assert chosen & common <= left and any(" ".join(p) in more for p in left)
     removed = {d: sum(r.past_word - r.first_word for r in got if r.doc_id == d and r.removed) for d in texts}
     assert removed[3] > 300 and removed[2] < 61 and removed[1] == 0 and removed[5] > 100
+
+
+def test_passages_grow_to_the_whole_match(spark):
+    rng = random.Random(12)
+    shared = {60: words(rng, 60, 10**6), 51: words(rng, 51, 10**6), 120: words(rng, 120, 10**6)}
+    rows = [(10 * n + i, f"{words(rng, 70, 10**6)} {t} {words(rng, 70, 10**6)}", "s") for n, t in shared.items() for i in range(4)]
+    got = [r for r in substring_dedup.repeated_passages(table(spark, rows)).collect() if r.kind == "passage"]
+    assert sorted((r.doc_id, r.first_word, r.past_word, r.removed) for r in got) == sorted((10 * n + i, 70, 70 + n, i > 0) for n in shared for i in range(4))
