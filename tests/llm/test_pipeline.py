@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -48,3 +50,18 @@ def test_contaminated_documents_go(spark, stages):
 def test_mix_keeps_every_document(stages):
     assert {r.doc_id for r in stages[5].collect()} == {r.doc_id for r in stages[4].collect()}
     assert {r.doc_id for r in stages[2].collect()} == {r.doc_id for r in stages[1].collect()}
+
+
+def test_near_duplicates_at_five_words_and_80_percent(spark):
+    """About 10 % of the text added: under 0.9 on three words, at least 0.8 on five."""
+    rng = random.Random(21)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = []
+    for i in range(30):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(60, 200))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + [f"x{rng.randrange(500)}" for _ in range(int(len(base) * rng.choice([0.12, 0.2, 0.3])))]))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], schema)
+    sets = {d: brute.shingle_set(t, 5) for d, t in rows}
+    want = {d for d, _ in rows if not any(e < d and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]) for e in sets)}
+    assert 30 < len(want) < 60
+    assert {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()} == want
