@@ -19,8 +19,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites leave the texts; every document stays, and n_chars follows its text."""
-    out = line_dedup.without_boilerplate(docs)
+    """Lines on many sites leave the texts; every document stays, and n_chars follows its text. A text of such lines
+    alone stays whole, so that the next stage sees copies."""
+    out = line_dedup.without_boilerplate(docs, most_removed=None)
     return out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -50,11 +50,12 @@ def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return materialize(sure.union(exact.where(F.col("n") >= sites).select("line_hash")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, most_removed: float | None = MOST_REMOVED) -> DataFrame:
     """``docs``, with all its columns, plus n_lines and n_removed_lines; ``text`` is without its boilerplate lines.
 
     A line is what stands between \\n. No row is dropped. A null text stays null with no lines, an empty one has one
-    line. Null sites are one site; doc_id is of no account; repeated rows all stay and change alike. Rows are keyed by
+    line. Where boilerplate takes over ``most_removed`` of the characters a text stays whole; if that is None, only a text
+    stays whole of which nothing but blanks would be left. Null sites are one site; doc_id is of no account; repeated rows all stay and change alike. Rows are keyed by
     their texts' hashes, so a group of copies is one case and a null text is none.
     """
     keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(1), "text"), "__k2": F.xxhash64(F.lit(2), "text"), "__lines": F.split("text", "\n")})
@@ -66,9 +67,10 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     # The join stands between the split and its uses, so a text is split once. Unchanged texts are put together again.
     out = keyed.drop("text").join(gone, _KEY, "left")
     total = F.length(F.array_join("__lines", ""))
-    apply = F.col("__gone").isNotNull() & (F.col("__chars") <= MOST_REMOVED * total)
     before, after = F.concat(F.array(F.lit(-1)), "__gone"), F.concat("__gone", F.array(F.size("__lines")))
     kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("__lines", a + 2, b - a - 1)))
+    enough = F.exists(kept, lambda line: F.trim(line) != "") if most_removed is None else F.col("__chars") <= most_removed * total
+    apply = F.col("__gone").isNotNull() & enough
     text = F.array_join(F.when(apply, kept).otherwise(F.col("__lines")), "\n")
     removed = F.when(apply, F.size("__gone").cast("long")).otherwise(F.lit(0))
     counts = [F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines").cast("long")), F.lit(0)).alias("n_lines"), removed.alias("n_removed_lines")]

@@ -65,3 +65,11 @@ def test_near_duplicates_at_five_words_and_80_percent(spark):
     want = {d for d, _ in rows if not any(e < d and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]) for e in sets)}
     assert 30 < len(want) < 60
     assert {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()} == want
+
+
+def test_short_pages_between_boilerplate_are_cleaned(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    head, foot = "Home | About | Contact us today | Imprint", "All rights reserved by the owners of this site"
+    rows = [(i, f"{head}\nown {i}\n{foot}", f"site{i}") for i in range(6)] + [(10, f"{head}\n{foot}", "site1"), (11, f"{head}\n \n{foot}", "site2")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.remove_boilerplate(spark, spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], schema), SF).collect()}
+    assert got == {d: (f"own {d}", 5) if d < 10 else (t, len(t)) for d, t, _ in rows}
