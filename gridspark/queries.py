@@ -316,7 +316,7 @@ def a15_conformal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register()
 def a23_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(metrics.paired_bootstrap(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", draws=500))
+    return _out(metrics.paired_bootstrap(tb.pairs(spark, sf_dir), "model_mw", "reference_mw"))
 
 
 _BUCKET = "CASE WHEN l * 60 <= 120 THEN '0-120' WHEN l * 60 <= 240 THEN '120-240' WHEN l * 60 <= 480 THEN '240-480' ELSE '480-1440' END"

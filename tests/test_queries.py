@@ -42,3 +42,10 @@ def test_runs(spark, name):
 
 def test_names_agree():
     assert set(grid.ORACLE_SQL) <= set(grid.QUERIES)
+
+
+def test_bootstrap_takes_all_draws(spark, monkeypatch):
+    made = grid.metrics.paired_bootstrap
+    seen = []
+    monkeypatch.setattr(grid.metrics, "paired_bootstrap", lambda rows, *x, draws=2000, **y: seen.append(draws) or made(rows, *x, draws=draws, **y))
+    assert grid.QUERIES["a23_paired_bootstrap"](spark, SF).count() > 0 and seen == [2000]
