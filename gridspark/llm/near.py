@@ -107,7 +107,7 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
     group = lambda x: groups.select("key", *(c(y).alias(f"{y}{x}") for y in ("comp", "least", "most", "rest", "need", "earlier", "held")))
     fit = (100 * c("mosta") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("leasta")) & _reach(c("resta"), c("restb"), c("leasta"), c("leastb"), percent)
     fit = fit & ~F.arrays_overlap("earliera", "earlierb")
-    fit = fit & F.coalesce(F.size(F.array_intersect("helda", "heldb")) >= F.least("needa", "needb"), F.lit(True))
+    fit = fit & (c("helda").isNull() | c("heldb").isNull() | (F.size(F.array_intersect("helda", "heldb")) >= F.least("needa", "needb")))
     met = group("a").join(group("b"), "key").where((c("compa") < c("compb")) & fit).select("key", "compa", "compb")
     member = lambda x: of.select("key", c("comp").alias(f"comp{x}"), c("cls").alias(x), *(c(y).alias(f"{y}{x}") for y in ("n", "rest")))
     pairs = met.join(member("a"), ["key", "compa"]).join(member("b"), ["key", "compb"])

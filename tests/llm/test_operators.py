@@ -307,3 +307,19 @@ def test_passages_grow_to_the_whole_match(spark):
     rows = [(10 * n + i, f"{words(rng, 70, 10**6)} {t} {words(rng, 70, 10**6)}", "s") for n, t in shared.items() for i in range(4)]
     got = [r for r in substring_dedup.repeated_passages(table(spark, rows)).collect() if r.kind == "passage"]
     assert sorted((r.doc_id, r.first_word, r.past_word, r.removed) for r in got) == sorted((10 * n + i, 70, 70 + n, i > 0) for n in shared for i in range(4))
+
+
+def test_links_of_long_texts_without_ansi(spark, monkeypatch):
+    from gridspark.llm import near
+
+    rng = random.Random(13)
+    w = words(rng, 1500, 10**6).split()
+    v = [*w[:700], "edit", *w[701:]]
+    monkeypatch.setattr(near, "ROUNDS", 0)
+    docs = table(spark, [(1, " ".join(w), "s"), (2, " ".join(v), "s")])
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert {r.component_id for r in ngram_join.ngram_components(docs).collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
