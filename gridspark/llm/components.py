@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         large = _star(_both(now), large=True)
         turned = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = materialize(_star(turned, large=False), "links")
+        old, now = now, materialize(_star(turned, large=False), "links")
+        discard(old)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -1,6 +1,7 @@
 """Links between classes of equal token sets, from keys that similar classes must share.
 
-Shared by the paragraph MinHash and the prefix join. A key's classes are never paired with each other all at once:
+Shared by the paragraph MinHash and the prefix join; keys are tokens of prefixes. A key's classes are never paired with
+each other all at once:
 
 1. in a few rounds every class meets one hub of its keys (a star), so a group of copies costs a check each a round;
    after each round the confirmed stars form components;
@@ -11,22 +12,79 @@ Every pair that shares enough keys is then either checked or already in one comp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .components import connected_components
-from .storage import materialize
-
+from .storage import discard, materialize, small_or_shuffled
 
+#: Longest prefix extension, and the cost of checking a candidate against that of meeting it.
+MOST_MATCHES, CHECK_COST = 8, 50.0
+#: Classes assumed to share a token that isn't known to be frequent.
+RARE_PARTNERS = 1.0
 #: Keys of a class that are compared under each of its keys; a class with more is compared later, by all of them.
 KEYS = 48
 #: Most star rounds, and the share of a round's checks that must confirm for another.
 ROUNDS, WORTHWHILE = 4, 0.1
 
 
+def least_shared(n: int, percent: int) -> int:
+    """Tokens that a partner at ``percent`` must share with a set of n at least."""
+    return -(-percent * n // 100)
+
+
+def demand(partners: np.ndarray, base: int) -> int:
+    """How many shared tokens a set should ask of its partners: ``base`` tokens of its prefix may be missing, and
+    ``partners`` has the classes under each of the tokens that come first."""
+    best, need = np.inf, 1
+    met = np.cumsum(partners)
+    for m in range(1, len(partners) - base + 1):
+        size = base + m
+        # Partners met at the prefix's tokens, and checks. By chance ever fewer partners share m tokens; through a
+        # common passage as many as its m-th rarest token has.
+        chance = met[size - 1] / math.factorial(m)
+        passage = np.partition(partners[:size], -m)[-m] - RARE_PARTNERS
+        cost = size + met[size - 1] + CHECK_COST * (chance + passage)
+        if cost < best:
+            best, need = cost, m
+    return need
+
+
+def _prefixes(percent: int):
+    """Task: (key, cls, need, n, rest) of the shared tokens in each class's prefix, from its tokens by count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for cls, n, counts, tokens in zip(*(batch.column(c).to_pylist() for c in ("cls", "n", "counts", "tokens")), strict=True):
+                base, lone = n - least_shared(n, percent), n - len(tokens)
+                want = min(n, base + MOST_MATCHES)
+                partners = np.concatenate([np.full(min(lone, want), RARE_PARTNERS), counts[: max(want - lone, 0)]])
+                need = demand(partners, base)
+                held = tokens[: max(base + need - lone, 0)]
+                for column, x in zip(out, (held, [cls] * len(held), [need] * len(held), [n] * len(held), range(n - lone, n - lone - len(held), -1)), strict=True):
+                    column.extend(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["key", "cls", "need", "n", "rest"])
+
+    return run
+
+
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """Keys for link_classes from (cls, tokens): each class's shared tokens of the prefix that its partners must meet,
+    the rarest first. A token of many classes is counted in each task first and then joined, so AQE can split it."""
+    each = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
+    counted = materialize(each.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "token-counts")
+    held = each.join(small_or_shuffled(counted), "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("x"))
+    held = held.select("cls", "n", F.col("x.count").alias("counts"), F.col("x.key").alias("tokens"))
+    return held.mapInArrow(_prefixes(percent), "key long, cls long, need int, n int, rest int")
+
+
 def _accepted(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (a + b - shared)
 
@@ -73,16 +131,19 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
     tokens do not come before the key. A pair of classes is a candidate when it shares at least the smaller ``need`` of
     the two, and sizes and rests allow the similarity. ``fetch(classes)``: (cls, tokens) for the classes in ``cls``.
     """
-    spans = keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key")
-    shared = materialize(keys.join(spans, "key", "left_semi").distinct(), "keys")
+    spans = materialize(keys.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("key"), "spans")
+    shared = materialize(keys.join(small_or_shuffled(spans), "key", "left_semi").distinct(), "keys")
+    discard(spans)
     weights = shared.groupBy("cls").agg(F.count("*").alias("weight"))
     of = shared.join(weights, "cls").withColumn("comp", F.col("cls"))
     linked, links = None, None
     for round_ in range(ROUNDS):
         of = materialize(of, "members")
         stars = materialize(_stars(of, round_, percent), "stars")
-        found = materialize(confirm(stars, materialize(fetch(_ends(stars)), "sets"), percent), "confirmed")
+        sets = materialize(fetch(_ends(stars)), "sets")
+        found = materialize(confirm(stars, sets, percent), "confirmed")
         tried, new = stars.count(), found.count()
+        discard(stars, sets)
         if new:
             links = found if links is None else links.union(found)
             linked = materialize(connected_components(links), "linked")
@@ -108,9 +169,11 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
     fit = (100 * c("mosta") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("leasta")) & _reach(c("resta"), c("restb"), c("leasta"), c("leastb"), percent)
     fit = fit & ~F.arrays_overlap("earliera", "earlierb")
     fit = fit & (c("helda").isNull() | c("heldb").isNull() | (F.size(F.array_intersect("helda", "heldb")) >= F.least("needa", "needb")))
-    met = group("a").join(group("b"), "key").where((c("compa") < c("compb")) & fit).select("key", "compa", "compb")
+    met = group("a").join(group("b"), "key").where((c("compa") < c("compb")) & fit).select("key", "compa", "compb", "leastb", "mostb", c("restb").alias("mostrestb"))
     member = lambda x: of.select("key", c("comp").alias(f"comp{x}"), c("cls").alias(x), *(c(y).alias(f"{y}{x}") for y in ("n", "rest")))
-    pairs = met.join(member("a"), ["key", "compa"]).join(member("b"), ["key", "compb"])
+    # A class of a is kept if it suits the group of b, and a pair if its two classes suit each other.
+    suits = (100 * c("na") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("na")) & _reach(c("resta"), c("mostrestb"), c("na"), c("leastb"), percent)
+    pairs = met.join(member("a"), ["key", "compa"]).where(suits).join(member("b"), ["key", "compb"])
     pairs = pairs.where(_fitting(c("na"), c("nb"), percent) & _reach(c("resta"), c("restb"), c("na"), c("nb"), percent)).select("a", "b").distinct()
     held = of.groupBy("cls").agg(F.collect_set("key").alias("keys"), F.first("need").alias("need"))
     side = lambda x: held.select(c("cls").alias(x), c("keys").alias(f"keys{x}"), c("need").alias(f"need{x}"))

@@ -9,7 +9,6 @@ candidates is lowest for a longer prefix that demands more shared shingles.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textscan as ts
-from .near import link_classes
+from .near import MOST_MATCHES, RARE_PARTNERS, demand, least_shared, link_classes
 from .storage import materialize, prepare_tasks, small_or_shuffled
 
 PERCENT = 90
@@ -30,19 +29,10 @@ FREQUENT = 2
 FREQUENT_ROWS = 4_000_000
 #: Shingles that a task gathers before it counts them: 16 MB.
 COUNTED_TOKENS = 2_000_000
-#: Longest prefix extension, and the cost of checking a candidate against that of meeting it.
-MOST_MATCHES, CHECK_COST = 8, 50.0
-#: Documents assumed to share a shingle that isn't frequent.
-RARE_PARTNERS = 1.0
 
 _CLS = "doc_id long, n_shingles long, cls long, need int, prefix array<long>"
 
 
-def _least(n: int, percent: int) -> int:
-    """Shared shingles that a partner at ``percent`` must have at least."""
-    return -(-percent * n // 100)
-
-
 def _class_of(s: np.ndarray) -> int:
     """Equal sets have equal ids: a hash of the size and the sorted shingles."""
     with np.errstate(over="ignore"):
@@ -72,7 +62,7 @@ def _pools(percent: int, k: int):
         for batch in batches:
             for s in _sets(batch.column("text"), k):
                 tokens.append(s)
-                pooled.append(s[: len(s) - _least(len(s), percent) + len(s) // 20 + MOST_MATCHES])
+                pooled.append(s[: len(s) - least_shared(len(s), percent) + len(s) // 20 + MOST_MATCHES])
                 size += len(s)
             if size > COUNTED_TOKENS:
                 yield _counted(tokens, pooled)
@@ -84,7 +74,7 @@ def _pools(percent: int, k: int):
 
 def _prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The chosen prefix of a set and the matches it demands. tokens, counts: the frequent shingles, ascending."""
-    base = len(s) - _least(len(s), percent)
+    base = len(s) - least_shared(len(s), percent)
     want = min(len(s), base + MOST_MATCHES)
     # Rare shingles by hash come first; look only as far as is needed to find enough of them.
     upto, rare, frequent, df = 0, [], [], []
@@ -104,17 +94,7 @@ def _prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
         late, times = late[by], times[by]
     order = np.concatenate([*rare, late])[:want]
     partners = np.concatenate([np.full(found, RARE_PARTNERS), times])[:want]
-    best, need = np.inf, 1
-    met = np.cumsum(partners)
-    for m in range(1, want - base + 1):
-        size = base + m
-        # Partners met at the prefix's shingles, and checks. By chance ever fewer partners share m shingles; through a
-        # common passage as many as its m-th rarest shingle has.
-        chance = met[size - 1] / math.factorial(m)
-        passage = np.partition(partners[:size], -m)[-m] - RARE_PARTNERS
-        cost = size + met[size - 1] + CHECK_COST * (chance + passage)
-        if cost < best:
-            best, need = cost, m
+    need = demand(partners, base)
     return order[: base + need], need
 
 

@@ -7,13 +7,14 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only when a count has shown that it has at most this many rows.
-BROADCAST_ROWS = 500_000
-#: Rows in one Arrow batch sent to a Python task; texts can be long, so the default of 10,000 is too many.
-ARROW_ROWS = 256
+#: A side of a join is broadcast only when a sum over its rows has shown that it has at most this many bytes.
+BROADCAST_BYTES = 24 << 20
+#: Rows and bytes in one Arrow batch sent to a Python task; texts can be long, so the default of 10,000 rows is too many.
+ARROW_ROWS, ARROW_BYTES = 256, 32 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a temporary one is made, but only for
+    a local master (tests): on a cluster no machine sees another's temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -36,7 +40,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(df.table_path)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -54,16 +69,30 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare_tasks(spark: SparkSession) -> None:
-    """Before Python tasks: serve the package, and keep Arrow batches of texts small (a smaller setting of the session
-    stays)."""
+    """Before Python tasks: serve the package, and keep Arrow batches of texts small (fewer rows stay as the session has
+    them)."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already materialised) with a broadcast hint if it has at most ``limit`` rows, else as it is, so that
-    Spark shuffles both sides."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """About the bytes that a value takes in memory."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.size(c), F.lit(0)) * (8 if not isinstance(kind.elementType, (T.StructType, T.StringType)) else 48) + 24
+    return F.lit(64 if isinstance(kind, T.StructType) else 8)
+
+
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already materialised) with a broadcast hint if its rows have at most ``limit`` bytes, else as it is, so
+    that Spark shuffles both sides."""
+    row = F.lit(16).cast("long")
+    for f in df.schema:
+        row = row + _width(f.name, f.dataType)
+    held = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df

@@ -1,10 +1,13 @@
 """Substring deduplication: near-equal paragraphs by MinHash banding, and equal passages wherever they stand.
 
-Paragraphs (lines of enough words) get MinHash bands over their five-word shingles; colliding paragraphs are joined and
-their exact Jaccard similarity is checked. A passage that stands inside a longer paragraph has no paragraph of its own,
-so every text also gets anchored sub-paragraphs: windows of 25 words chosen by winnowing, such that any 50 words that
-two texts have in common hold at least one window that both have chosen. The first paragraph of a component of links
-stays; of passages each window's first place stays, and the others are removals. Hashes are shuffled, not text.
+Paragraphs (lines of enough words) get MinHash bands over their five-word shingles. Paragraphs that collide in a band
+are dealt anew by their rarest shingles, so that a band of many near copies is not all paired: two sets of the asked
+similarity must share some of these. Pairs that do are joined, their exact Jaccard similarity is checked, and the
+components of links are clusters. A passage that stands inside a longer paragraph has no paragraph of its own, so every
+text also gets anchored sub-paragraphs: windows of 25 words chosen by winnowing, such that any 50 words that two texts
+have in common hold at least one window that both have chosen. Equal windows (two hashes of their words) grow, word by
+word, to the whole match. The first paragraph of a cluster stays; of passages each window's first place stays, and the
+others are removals. Hashes are shuffled, not text.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.taskcontext import TaskContext
 
 from . import textscan as ts
 from .components import connected_components
-from .near import link_classes
-from .storage import materialize, prepare_tasks, small_or_shuffled
+from .near import link_classes, prefix_keys
+from .storage import discard, materialize, prepare_tasks, small_or_shuffled
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Paragraphs of fewer words are left to line deduplication.
@@ -31,12 +34,14 @@ LEAST_WORDS = 20
 RECALL = 0.995
 #: Words of a window, and how many neighbouring windows choose one: 50 common words always share a chosen window.
 WINDOW, CHOICE = 25, 26
+#: A repeated passage has at least so many words; shorter ones, but for whole paragraphs, are left alone.
+LEAST_PASSAGE = 50
 #: Windows looked up in all texts at once: 16 MB.
 LOOKED_UP = 2_000_000
-#: Ends of runs, with 25 word hashes on each side, that are broadcast at most: 8 MB.
-AROUND_ROWS = 20_000
 
-_UNITS = "key long, doc_id long, sig long, starts array<int>, sizes array<int>, set_sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>"
+#: What tells windows from each other.
+_SAME = ["print", "proof"]
+_UNITS = "key long, doc_id long, sig long, starts array<int>, sizes array<int>, set_sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>, proofs array<long>"
 
 
 def tune(similarity: float, recall: float, rows: int = 3) -> tuple[int, int]:
@@ -55,6 +60,14 @@ def _winnow(h: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(view)) + CHOICE - 1 - view[:, ::-1].argmin(1))
 
 
+def _proofs(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A second hash of the words of the windows at these places: windows are equal only if both agree."""
+    out = np.full(len(at), WINDOW, np.uint64)
+    for j in range(WINDOW):
+        out = ts.mix(out + (h[at + j] ^ np.uint64(0xA0761D6478BD642F)))
+    return out
+
+
 def _signatures(s: np.ndarray, cut: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Band keys (paragraphs x bands) of shingles ``s``; paragraph i's begin at cut[i]."""
     out = np.empty((len(cut), bands), np.uint64)
@@ -98,7 +111,7 @@ def _units(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for _, _, raw, off in ts.slices(batch.column("text")):
                 w, h, doc, first, size, s = _paragraphs(raw, off)
                 sets = _sets(s, first, size)
@@ -111,12 +124,12 @@ def _units(bands: int, rows: int):
                     a, b, at = bounds[d], bounds[d + 1], int(w.ptr[d])
                     own = windows[at : max(at, int(w.ptr[d + 1]) - WINDOW + 1)]
                     chosen = _winnow(own)
-                    for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), lengths[a:b], classes[a:b], list(keys[a:b]), chosen.astype(np.int32), ts.signed(own[chosen])), strict=True):
+                    for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), lengths[a:b], classes[a:b], list(keys[a:b]), chosen.astype(np.int32), ts.signed(own[chosen]), ts.signed(_proofs(h, chosen + at))), strict=True):
                         column.append(x)
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("sig"), *(pa.array(x, pa.list_(t)) for x, t in zip(out, kinds, strict=True))]
             key += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "sig", "starts", "sizes", "set_sizes", "classes", "bands", "places", "prints"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "sig", "starts", "sizes", "set_sizes", "classes", "bands", "places", "prints", "proofs"])
 
     return run
 
@@ -132,35 +145,37 @@ def _paragraph_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _near_paragraphs(units: DataFrame, texts: DataFrame) -> DataFrame:
     """(key, doc_id, first_word, past_word, cluster) of paragraphs that another document has, or nearly has."""
-    each = units.select("key", "doc_id", F.explode(F.arrays_zip("starts", "sizes", "set_sizes", "classes")).alias("x"))
+    each = units.select("key", "doc_id", F.explode(F.arrays_zip("starts", "sizes", "classes")).alias("x"))
     each = each.select("key", "doc_id", F.col("x.starts").alias("first_word"), (F.col("x.starts") + F.col("x.sizes")).alias("past_word"), F.col("x.classes").alias("cls"))
-    classes = each.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    banded = units.select(F.explode(F.arrays_zip("classes", "bands", "set_sizes")).alias("x")).select(F.explode("x.bands").alias("key"), F.col("x.classes").alias("cls"), F.col("x.set_sizes").alias("n"))
-    keys = banded.select("key", "cls", F.lit(1).alias("need"), "n", F.col("n").alias("rest"))
-
-    def fetch(wanted: DataFrame) -> DataFrame:
-        wanted = materialize(wanted, "wanted")
-        ids = materialize(classes.join(wanted, "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "fetch")
-        held = texts.join(small_or_shuffled(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
-        sets = held.mapInArrow(_paragraph_sets, "cls long, tokens array<long>").join(small_or_shuffled(wanted), "cls", "left_semi")
-        return sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
-
-    linked = link_classes(keys, fetch, PERCENT)
+    classes = materialize(each.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("lo"), F.max("key").alias("hi")), "paragraph-classes")
+    banded = units.select(F.explode(F.arrays_zip("classes", "bands")).alias("x")).select(F.explode("x.bands").alias("band"), F.col("x.classes").alias("cls"))
+    # Bands of two classes or more, and the classes that collide in one.
+    met = materialize(banded.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("band"), "bands")
+    colliding = materialize(banded.join(small_or_shuffled(met), "band", "left_semi").select("cls").distinct(), "colliding")
+    ids = materialize(classes.join(small_or_shuffled(colliding), "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "fetch")
+    held = texts.join(small_or_shuffled(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
+    sets = held.mapInArrow(_paragraph_sets, "cls long, tokens array<long>").join(small_or_shuffled(colliding), "cls", "left_semi")
+    sets = materialize(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "paragraph-sets")
+    discard(met, colliding, ids)
+
+    keys = materialize(prefix_keys(sets, PERCENT), "prefix-keys")
+    linked = link_classes(keys, lambda wanted: sets.join(wanted, "cls", "left_semi"), PERCENT)
     shared = classes.join(linked.withColumnRenamed("id", "cls"), "cls", "left").where("root is not null or lo < hi")
     shared = small_or_shuffled(materialize(shared.select("cls", F.coalesce("root", "cls").alias("cluster")), "paragraph-clusters"))
     return each.join(shared, "cls").select("key", "doc_id", "first_word", "past_word", "cluster")
 
 
 def _hits(prints):
-    """Task: (sig, at, print) of every window of a text, chosen or not, that is among ``prints`` (ascending)."""
+    """Task: (sig, at, print, proof) of every window of a text, chosen or not, that is among ``prints`` (ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = prints.value
         for batch in batches:
-            sigs, sig, place, found = batch.column("sig").to_numpy(), [], [], []
+            sigs, sig, place, found, proof = batch.column("sig").to_numpy(), [], [], [], []
             for begin, _, raw, off in ts.slices(batch.column("text")):
                 w = ts.scan(raw, off, ts.ALPHANUMERIC)
-                windows = ts.shingles(w.hashes(), WINDOW)
+                h = w.hashes()
+                windows = ts.shingles(h, WINDOW)
                 at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, windows), len(wanted) - 1)] == windows)
                 doc = np.searchsorted(w.ptr, at, side="right") - 1
                 inside = at + WINDOW <= w.ptr[doc + 1]
@@ -168,8 +183,9 @@ def _hits(prints):
                 sig.append(sigs[begin + doc])
                 place.append((at - w.ptr[doc]).astype(np.int32))
                 found.append(ts.signed(windows[at]))
+                proof.append(ts.signed(_proofs(h, at)))
             if sum(map(len, sig)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, place, found)], ["sig", "at", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, place, found, proof)], ["sig", "at", "print", "proof"])
 
     return run
 
@@ -199,9 +215,9 @@ def _grown(ends: DataFrame, texts: DataFrame) -> DataFrame:
     on for less than CHOICE words beyond the last window that both have chosen."""
     ends = materialize(ends.distinct(), "ends")
     wanted = ends.select("sig", "at").union(ends.select("keep_sig", "keep_at")).distinct().groupBy("sig").agg(F.collect_list("at").alias("ats"))
-    wanted = small_or_shuffled(materialize(wanted, "wanted-ends"), AROUND_ROWS)
+    wanted = small_or_shuffled(materialize(wanted, "wanted-ends"))
     around = texts.join(wanted, "sig").select("sig", "text", "ats").mapInArrow(_around, "sig long, at int, before array<long>, after array<long>")
-    around = small_or_shuffled(materialize(around.groupBy("sig", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")), "around"), AROUND_ROWS)
+    around = small_or_shuffled(materialize(around.groupBy("sig", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")), "around"))
     side = lambda x, y: around.select(F.col("sig").alias(x), F.col("at").alias(y), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
     both = ends.join(side("sig", "at"), ["sig", "at"]).join(side("keep_sig", "keep_at"), ["keep_sig", "keep_at"])
     own, keepers = (F.when(F.col("later"), F.col(f"after_{x}")).otherwise(F.col(f"before_{x}")) for x in ("sig", "keep_sig"))
@@ -261,18 +277,20 @@ def _cut(places: DataFrame, gone: DataFrame) -> DataFrame:
 
 def _unsafe(kept: DataFrame, gone: DataFrame, texts: DataFrame, units: DataFrame) -> DataFrame:
     """(key, doc_id, at) of the kept windows that a removed span cuts and that stand whole nowhere else."""
-    cut = materialize(_cut(kept, gone).where("cut").select("key", "doc_id", "at", "print"), "cut")
+    cut = materialize(_cut(kept, gone).where("cut").select("key", "doc_id", "at", "print", "proof"), "cut")
     blocks = -(-cut.count() // LOOKED_UP)
     for b in range(blocks):
         rows = cut.where(F.pmod(F.xxhash64("print"), F.lit(blocks)) == b).select("print").toArrow()
         prints = texts.sparkSession.sparkContext.broadcast(np.sort(rows.column("print").to_numpy().view(np.uint64)))
-        hits = materialize(texts.select("sig", "text").mapInArrow(_hits(prints), "sig long, at int, print long").distinct(), "hits") if len(rows) else None
+        hits = materialize(texts.select("sig", "text").mapInArrow(_hits(prints), "sig long, at int, print long, proof long").distinct(), "hits") if len(rows) else None
         if hits is not None:
             # Of equal texts the first one has the fewest removals.
             order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
             found = units.join(hits.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min(order)["key"].alias("key"))
-            whole = _cut(hits.join(found, "sig"), gone).where("not cut").select("print").distinct()
-            cut = materialize(cut.join(whole, "print", "left_anti"), "unsafe")
+            whole = materialize(_cut(hits.join(found, "sig"), gone).where("not cut").select("print", "proof").distinct(), "whole")
+            cut = materialize(cut.join(small_or_shuffled(whole), ["print", "proof"], "left_anti"), "unsafe")
+            discard(hits)
+        prints.destroy()
     return cut.select("key", "doc_id", "at")
 
 
@@ -284,39 +302,43 @@ def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
     keeper whose words other removals would take stays whole unless the same words stand whole elsewhere, so every
     common window is left in one place at least. Components of maximal runs are a label only.
     """
-    each = units.select("key", "doc_id", "sig", F.explode(F.arrays_zip("places", "prints")).alias("x")).select("key", "doc_id", "sig", F.col("x.places").alias("at"), F.col("x.prints").alias("print"))
-    common = each.groupBy("print").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("print")
-    held = materialize(each.join(common, "print", "left_semi"), "windows")
+    each = units.select("key", "doc_id", "sig", F.explode(F.arrays_zip("places", "prints", "proofs")).alias("x")).select("key", "doc_id", "sig", F.col("x.places").alias("at"), F.col("x.prints").alias("print"), F.col("x.proofs").alias("proof"))
+    # Written before they are joined: a join of two plain shuffles is one that AQE can split at a hot window.
+    common = materialize(each.groupBy(*_SAME).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select(*_SAME), "common")
+    held = materialize(each.join(small_or_shuffled(common), _SAME, "left_semi"), "windows")
     by = W.partitionBy("key").orderBy("at")
     upto = F.lag("at").over(by) + WINDOW
     runs = held.withColumn("run", F.sum(F.when(F.col("at") <= upto + 1, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0)))
     runs = materialize(runs.withColumn("node", F.xxhash64("key", "run")).drop("run"), "passage-windows")
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "at", "sig")
-    first = runs.groupBy("print").agg(F.min("node").alias("a"), F.min(order).alias("keep"))
-    windows = materialize(runs.join(first, "print").withColumn("kept", (F.col("keep.key") == F.col("key")) & (F.col("keep.at") == F.col("at"))), "kept-windows")
+    first = materialize(runs.groupBy(*_SAME).agg(F.min("node").alias("a"), F.min(order).alias("keep")), "keepers")
+    windows = materialize(runs.join(small_or_shuffled(first), _SAME).withColumn("kept", (F.col("keep.key") == F.col("key")) & (F.col("keep.at") == F.col("at"))), "kept-windows")
     clusters = connected_components(windows.select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "cluster")
 
     apart = F.sum(F.when(F.col("at") <= upto, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
     ends = F.struct("at", "keep", "node")
-    runs = windows.where("not kept").withColumn("run", apart).groupBy("key", "doc_id", "sig", "run").agg(F.min(ends).alias("head"), F.max(ends).alias("tail"))
-    runs = materialize(runs, "removed-runs")
+    copies = materialize(windows.where("not kept").withColumn("run", apart), "copied-windows")
+    runs = materialize(copies.groupBy("key", "doc_id", "sig", "run").agg(F.min(ends).alias("head"), F.max(ends).alias("tail")), "removed-runs")
     end = lambda x, later: runs.select("sig", F.col(f"{x}.at").alias("at"), F.col(f"{x}.keep.sig").alias("keep_sig"), F.col(f"{x}.keep.at").alias("keep_at"), F.lit(later).alias("later"))
     grown = _grown(end("head", False).union(end("tail", True)), texts)
     more = lambda x, y, later, name: grown.where(F.col("later") == later).groupBy(F.col(x).alias("sig"), F.col(y).alias("at")).agg(F.max("more").alias(name))
     gone = runs.withColumn("at", F.col("head.at")).join(small_or_shuffled(more("sig", "at", False, "before")), ["sig", "at"])
     gone = gone.withColumn("at", F.col("tail.at")).join(small_or_shuffled(more("sig", "at", True, "after")), ["sig", "at"])
-    gone = gone.select("key", "doc_id", (F.col("head.at") - F.col("before")).alias("first"), (F.col("tail.at") + WINDOW + F.col("after")).alias("past"), F.col("head.keep.doc_id").alias("keep_doc_id"), F.col("head.node").alias("node"))
+    gone = gone.select("key", "doc_id", F.col("run").alias("of"), (F.col("head.at") - F.col("before")).alias("first"), (F.col("tail.at") + WINDOW + F.col("after")).alias("past"), F.col("head.keep.doc_id").alias("keep_doc_id"), F.col("head.node").alias("node"))
+    gone = materialize(gone.where(F.col("past") - F.col("first") >= LEAST_PASSAGE), "grown-runs")
+    # Of the kept windows those count of which a copy is removed.
+    needed = materialize(copies.join(gone.select("key", F.col("of").alias("run")), ["key", "run"], "left_semi").select(*_SAME).distinct(), "needed")
     # Runs with a word or two between them, or none, may have grown into each other.
     by_first = W.partitionBy("key").orderBy("first", "past").rowsBetween(W.unboundedPreceding, -1)
     gone = gone.withColumn("new", F.when(F.col("first") <= F.max("past").over(by_first), 0).otherwise(1))
     gone = gone.withColumn("run", F.sum("new").over(W.partitionBy("key").orderBy("first", "past").rowsBetween(W.unboundedPreceding, 0)))
     gone = gone.groupBy("key", "doc_id", "run").agg(F.min(F.struct("first", "keep_doc_id", "node")).alias("head"), F.max("past").alias("past"))
     gone = materialize(gone.select("key", "doc_id", "head.first", "past", "head.keep_doc_id", "head.node"), "gone")
-    kept = windows.where("kept").select("key", "doc_id", "sig", "at", "print", "node")
+    kept = windows.where("kept").join(small_or_shuffled(needed), _SAME, "left_semi").select("key", "doc_id", "sig", "at", *_SAME, "node")
     kept = kept.join(small_or_shuffled(more("keep_sig", "keep_at", False, "before")), ["sig", "at"], "left").join(small_or_shuffled(more("keep_sig", "keep_at", True, "after")), ["sig", "at"], "left")
-    kept = kept.select("key", "doc_id", "at", "print", "node", (F.col("at") - F.coalesce("before", F.lit(0))).alias("first"), (F.col("at") + WINDOW + F.coalesce("after", F.lit(0))).alias("past"))
+    kept = kept.select("key", "doc_id", "at", *_SAME, "node", (F.col("at") - F.coalesce("before", F.lit(0))).alias("first"), (F.col("at") + WINDOW + F.coalesce("after", F.lit(0))).alias("past"))
 
-    safe = _unsafe(kept.select("key", "doc_id", "at", "print"), gone, texts, units)
+    safe = _unsafe(kept.select("key", "doc_id", "at", *_SAME), gone, texts, units)
     span = lambda df, kind, **x: df.select("key", "doc_id", F.struct(F.lit(kind).alias("kind"), *(F.expr(x.get(c, c)).cast(t).alias(c) for c, t in (("first", "int"), ("past", "int"), ("at", "int"), ("keep_doc_id", "long"), ("node", "long")))).alias("span"))
     spans = span(gone, 0, at="first").union(span(kept, 1, keep_doc_id="doc_id")).union(span(safe, 2, first="at", past=f"at + {WINDOW}", keep_doc_id="doc_id", node="null"))
     places = spans.groupBy("key", "doc_id").agg(F.collect_list("span").alias("spans")).mapInArrow(_settle, "key long, doc_id long, first_word int, past_word int, keep_doc_id long, node long, removed boolean")
@@ -332,9 +354,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     'passage'), first_word, past_word (words of letters and digits, from 0), cluster, keep_doc_id, n_places, removed.
 
     Each row of docs is a document, so repeated rows repeat each other. The first paragraph of a cluster in the order of
-    doc_id (nulls last), then word, stays; the others are removed. Of passages, the first place of each window stays; a
-    cluster of passages may keep several places, and keep_doc_id is the document that keeps the place's first window. Null and blank texts, and texts of fewer than 20
-    words, have no places. A cluster of any size is sums and minima, pre-aggregated for each task; prints, bands and
+    doc_id (nulls last), then word, stays; the others are removed. Of passages of LEAST_PASSAGE words or more, the first
+    place of each window stays; a cluster of passages may keep several places, and keep_doc_id is the document that
+    keeps the place's first window. What one document alone repeats has no places, nor have null and blank texts and
+    texts of fewer than 20 words. A cluster of any size is sums and minima, pre-aggregated for each task; prints, bands and
     classes of many documents cost a row for each document, never a pair.
     """
     prepare_tasks(docs.sparkSession)
@@ -343,7 +366,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     units = materialize(texts.mapInArrow(_units(*tune(PERCENT / 100, RECALL)), _UNITS), "units")
     paragraphs = materialize(_near_paragraphs(units, texts), "paragraphs")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "first_word")
-    clusters = paragraphs.groupBy("cluster").agg(F.min(order).alias("keep"), F.count("*").alias("n_places"))
+    # A line that one text alone repeats, in this or a like form, is not shared by documents.
+    clusters = paragraphs.groupBy("cluster").agg(F.min(order).alias("keep"), F.count("*").alias("n_places"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").drop("lo", "hi")
     out = paragraphs.join(small_or_shuffled(materialize(clusters, "clusters")), "cluster")
     stays = (F.col("keep.key") == F.col("key")) & (F.col("keep.first_word") == F.col("first_word"))
     row = lambda df, kind, keep, removed: df.select("doc_id", F.lit(kind).alias("kind"), F.col("first_word").cast("long").alias("first_word"), F.col("past_word").cast("long").alias("past_word"), "cluster", F.col(keep).alias("keep_doc_id"), "n_places", removed.alias("removed"))
