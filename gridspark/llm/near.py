@@ -137,8 +137,11 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
     weights = shared.groupBy("cls").agg(F.count("*").alias("weight"))
     of = shared.join(weights, "cls").withColumn("comp", F.col("cls"))
     linked, links = None, None
+    held = shared
     for round_ in range(ROUNDS):
         of = materialize(of, "members")
+        discard(held)
+        held = of
         stars = materialize(_stars(of, round_, percent), "stars")
         sets = materialize(fetch(_ends(stars)), "sets")
         found = materialize(confirm(stars, sets, percent), "confirmed")
@@ -147,6 +150,7 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
         if new:
             links = found if links is None else links.union(found)
             linked = materialize(connected_components(links), "linked")
+            discard(found)
             links = linked.where("id <> root").select(F.col("root").alias("a"), F.col("id").alias("b"))
             of = of.drop("comp").join(linked.withColumnRenamed("id", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
             mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -154,6 +158,7 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
         if new < WORTHWHILE * tried or not tried:
             break
     of = materialize(of, "members")
+    discard(held)
     # Pairs of components under a key first, then their classes: no pair inside a component is ever made. Two components
     # of one class each meet at the first key they share only, and only if they share enough, as far as KEYS keys tell.
     c = F.col
@@ -175,10 +180,11 @@ def link_classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], perce
     suits = (100 * c("na") >= percent * c("leastb")) & (100 * c("mostb") >= percent * c("na")) & _reach(c("resta"), c("mostrestb"), c("na"), c("leastb"), percent)
     pairs = met.join(member("a"), ["key", "compa"]).where(suits).join(member("b"), ["key", "compb"])
     pairs = pairs.where(_fitting(c("na"), c("nb"), percent) & _reach(c("resta"), c("restb"), c("na"), c("nb"), percent)).select("a", "b").distinct()
-    held = of.groupBy("cls").agg(F.collect_set("key").alias("keys"), F.first("need").alias("need"))
-    side = lambda x: held.select(c("cls").alias(x), c("keys").alias(f"keys{x}"), c("need").alias(f"need{x}"))
+    all_keys = of.groupBy("cls").agg(F.collect_set("key").alias("keys"), F.first("need").alias("need"))
+    side = lambda x: all_keys.select(c("cls").alias(x), c("keys").alias(f"keys{x}"), c("need").alias(f"need{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("keysa", "keysb")) >= F.least("needa", "needb"))
     pairs = materialize(pairs.select("a", "b"), "pairs")
+    discard(of)
     if not pairs.isEmpty():
         more = confirm(pairs, materialize(fetch(_ends(pairs)), "sets"), percent)
         linked = materialize(connected_components(more if links is None else links.union(more)), "linked")

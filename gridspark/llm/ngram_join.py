@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from . import textscan as ts
 from .near import MOST_MATCHES, RARE_PARTNERS, demand, least_shared, link_classes
-from .storage import materialize, prepare_tasks, small_or_shuffled
+from .storage import free_names, materialize, prepare_tasks, small_or_shuffled
 
 PERCENT = 90
 SHINGLE_WORDS = 3
@@ -154,6 +154,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_W
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(_frequent(texts.select("text"), percent, k))
     rows = materialize(texts.mapInArrow(_prefixes(percent, k, frequent), _CLS), "prefixes")
+    frequent.destroy()
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
 
     # Where ids stand on one row each, a class is fetched once and needs no shuffle to be told from its copies.
@@ -177,13 +178,13 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_W
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cls", F.coalesce("group_cls", "cls").alias("group_cls"))
 
 
-def _with_class(k: int, place: int):
+def _with_class(k: int, place: int, name: str):
     """Task: every column as it is, and the class of the text as the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cls = [_class_of(s) if len(s) else None for s in _sets(batch.column(place), k)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, "__cls"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, name])
 
     return run
 
@@ -204,7 +205,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE_WORDS) ->
     single = kept.join(again(several), kept.doc_id.eqNullSafe(several.doc_id), "left_anti").select("doc_id")
     out = docs.join(small_or_shuffled(materialize(single, "single")), "doc_id", "left_semi").select(docs.columns)
     rest = docs.join(again(several), docs.doc_id.eqNullSafe(several.doc_id), "left_semi")
-    rest = rest.mapInArrow(_with_class(k, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())]))
-    rest = rest.join(kept, rest.doc_id.eqNullSafe(kept.doc_id) & rest["__cls"].eqNullSafe(kept.cls), "left_semi")
-    worded = rest.where("__cls is not null").dropDuplicates(["doc_id", "__cls"])
-    return out.union(worded.select(docs.columns)).union(rest.where("__cls is null").select(docs.columns))
+    of, nth = free_names(docs, "cls", "first")
+    rest = rest.mapInArrow(_with_class(k, docs.columns.index("text"), of), T.StructType([*docs.schema.fields, T.StructField(of, T.LongType())]))
+    rest = rest.join(kept, rest.doc_id.eqNullSafe(kept.doc_id) & rest[of].eqNullSafe(kept.cls), "left_semi")
+    # Of texts with one id and one set (they differ in case or blanks at most) the first in the order of texts stays.
+    worded = rest.where(F.col(of).isNotNull()).groupBy("doc_id", of).agg(F.min_by(F.struct(*docs.columns), "text").alias(nth)).select(f"{nth}.*")
+    return out.union(worded.select(docs.columns)).union(rest.where(F.col(of).isNull()).select(docs.columns))

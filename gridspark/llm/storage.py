@@ -78,6 +78,17 @@ def prepare_tasks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own: ``names``, with more underscores where ``df`` has them already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _width(name: str, kind: T.DataType) -> Column:
     """About the bytes that a value takes in memory."""
     c = F.col(f"`{name}`")

@@ -25,13 +25,15 @@ from pyspark.taskcontext import TaskContext
 
 from . import textscan as ts
 from .components import connected_components
-from .near import link_classes, prefix_keys
+from .near import confirm, link_classes, prefix_keys
 from .storage import discard, materialize, prepare_tasks, small_or_shuffled
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Paragraphs of fewer words are left to line deduplication.
 LEAST_WORDS = 20
 RECALL = 0.995
+#: Classes of a band that are paired with each other; a larger band's are compared under their rarest shingles.
+SMALL_BAND = 4
 #: Words of a window, and how many neighbouring windows choose one: 50 common words always share a chosen window.
 WINDOW, CHOICE = 25, 26
 #: A repeated passage has at least so many words; shorter ones, but for whole paragraphs, are left alone.
@@ -120,11 +122,14 @@ def _units(bands: int, rows: int):
                 lengths = np.array([len(x) for x in sets], np.int32)
                 windows = ts.shingles(h, WINDOW)
                 bounds = np.searchsorted(doc, np.arange(len(off)))
-                for d in range(len(off) - 1):
-                    a, b, at = bounds[d], bounds[d + 1], int(w.ptr[d])
-                    own = windows[at : max(at, int(w.ptr[d + 1]) - WINDOW + 1)]
-                    chosen = _winnow(own)
-                    for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), lengths[a:b], classes[a:b], list(keys[a:b]), chosen.astype(np.int32), ts.signed(own[chosen]), ts.signed(_proofs(h, chosen + at))), strict=True):
+                ptr = w.ptr.tolist()
+                places = [_winnow(windows[at : max(at, past - WINDOW + 1)]) for at, past in zip(ptr[:-1], ptr[1:], strict=True)]
+                cuts = np.cumsum([0, *map(len, places)]).tolist()
+                every = np.concatenate([x + at for x, at in zip(places, ptr[:-1], strict=True)]) if places else np.empty(0, np.int64)
+                prints, proofs = ts.signed(windows[every]), ts.signed(_proofs(h, every))
+                for d, (at, chosen) in enumerate(zip(ptr[:-1], places, strict=True)):
+                    a, b, i, j = bounds[d], bounds[d + 1], cuts[d], cuts[d + 1]
+                    for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), lengths[a:b], classes[a:b], list(keys[a:b]), chosen.astype(np.int32), prints[i:j], proofs[i:j]), strict=True):
                         column.append(x)
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()]
             columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("sig"), *(pa.array(x, pa.list_(t)) for x, t in zip(out, kinds, strict=True))]
@@ -149,17 +154,26 @@ def _near_paragraphs(units: DataFrame, texts: DataFrame) -> DataFrame:
     each = each.select("key", "doc_id", F.col("x.starts").alias("first_word"), (F.col("x.starts") + F.col("x.sizes")).alias("past_word"), F.col("x.classes").alias("cls"))
     classes = materialize(each.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("lo"), F.max("key").alias("hi")), "paragraph-classes")
     banded = units.select(F.explode(F.arrays_zip("classes", "bands")).alias("x")).select(F.explode("x.bands").alias("band"), F.col("x.classes").alias("cls"))
-    # Bands of two classes or more, and the classes that collide in one.
+    # Bands of two classes or more, and the classes that collide in them.
     met = materialize(banded.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("band"), "bands")
-    colliding = materialize(banded.join(small_or_shuffled(met), "band", "left_semi").select("cls").distinct(), "colliding")
+    hits = materialize(banded.join(small_or_shuffled(met), "band", "left_semi").distinct(), "collisions")
+    colliding = materialize(hits.select("cls").distinct(), "colliding")
+    sizes = materialize(hits.groupBy("band").count(), "band-sizes")
     ids = materialize(classes.join(small_or_shuffled(colliding), "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct(), "fetch")
     held = texts.join(small_or_shuffled(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi").select("text")
     sets = held.mapInArrow(_paragraph_sets, "cls long, tokens array<long>").join(small_or_shuffled(colliding), "cls", "left_semi")
     sets = materialize(sets.groupBy("cls").agg(F.first("tokens").alias("tokens")), "paragraph-sets")
     discard(met, colliding, ids)
 
-    keys = materialize(prefix_keys(sets, PERCENT), "prefix-keys")
+    # A small band's classes are paired; those of larger ones are dealt anew by their rarest shingles.
+    small = hits.join(small_or_shuffled(sizes.where(F.col("count") <= SMALL_BAND).select("band")), "band")
+    pairs = materialize(small.select("band", F.col("cls").alias("a")).join(small.select("band", F.col("cls").alias("b")), "band").where("a < b").select("a", "b").distinct(), "pairs")
+    large = materialize(hits.join(small_or_shuffled(sizes.where(F.col("count") > SMALL_BAND).select("band")), "band", "left_semi").select("cls").distinct(), "large")
+    keys = materialize(prefix_keys(sets.join(small_or_shuffled(large), "cls", "left_semi"), PERCENT), "prefix-keys")
     linked = link_classes(keys, lambda wanted: sets.join(wanted, "cls", "left_semi"), PERCENT)
+    links = confirm(pairs, sets, PERCENT).union(linked.select(F.col("root").alias("a"), F.col("id").alias("b")))
+    linked = materialize(connected_components(links), "linked")
+    discard(hits, sizes, pairs, large, keys, sets)
     shared = classes.join(linked.withColumnRenamed("id", "cls"), "cls", "left").where("root is not null or lo < hi")
     shared = small_or_shuffled(materialize(shared.select("cls", F.coalesce("root", "cls").alias("cluster")), "paragraph-clusters"))
     return each.join(shared, "cls").select("key", "doc_id", "first_word", "past_word", "cluster")
@@ -215,15 +229,18 @@ def _grown(ends: DataFrame, texts: DataFrame) -> DataFrame:
     on for less than CHOICE words beyond the last window that both have chosen."""
     ends = materialize(ends.distinct(), "ends")
     wanted = ends.select("sig", "at").union(ends.select("keep_sig", "keep_at")).distinct().groupBy("sig").agg(F.collect_list("at").alias("ats"))
-    wanted = small_or_shuffled(materialize(wanted, "wanted-ends"))
-    around = texts.join(wanted, "sig").select("sig", "text", "ats").mapInArrow(_around, "sig long, at int, before array<long>, after array<long>")
-    around = small_or_shuffled(materialize(around.groupBy("sig", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")), "around"))
-    side = lambda x, y: around.select(F.col("sig").alias(x), F.col("at").alias(y), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
+    wanted = materialize(wanted, "wanted-ends")
+    around = texts.join(small_or_shuffled(wanted), "sig").select("sig", "text", "ats").mapInArrow(_around, "sig long, at int, before array<long>, after array<long>")
+    around = materialize(around.groupBy("sig", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")), "around")
+    looked_up = small_or_shuffled(around)
+    side = lambda x, y: looked_up.select(F.col("sig").alias(x), F.col("at").alias(y), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
     both = ends.join(side("sig", "at"), ["sig", "at"]).join(side("keep_sig", "keep_at"), ["keep_sig", "keep_at"])
     own, keepers = (F.when(F.col("later"), F.col(f"after_{x}")).otherwise(F.col(f"before_{x}")) for x in ("sig", "keep_sig"))
     # zip_with pads the shorter one with nulls, which equal no word.
     differs = F.array_position(F.transform(F.zip_with(own, keepers, lambda a, b: a.eqNullSafe(b)), lambda x: F.when(x, 1).otherwise(0)), 0)
-    return materialize(both.select("sig", "at", "keep_sig", "keep_at", "later", F.when(differs > 0, differs - 1).otherwise(F.size(own)).cast("int").alias("more")), "grown")
+    out = materialize(both.select("sig", "at", "keep_sig", "keep_at", "later", F.when(differs > 0, differs - 1).otherwise(F.size(own)).cast("int").alias("more")), "grown")
+    discard(ends, wanted, around)
+    return out
 
 
 def _left(first: int, past: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -310,9 +327,11 @@ def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
     upto = F.lag("at").over(by) + WINDOW
     runs = held.withColumn("run", F.sum(F.when(F.col("at") <= upto + 1, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0)))
     runs = materialize(runs.withColumn("node", F.xxhash64("key", "run")).drop("run"), "passage-windows")
+    discard(common, held)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "at", "sig")
     first = materialize(runs.groupBy(*_SAME).agg(F.min("node").alias("a"), F.min(order).alias("keep")), "keepers")
     windows = materialize(runs.join(small_or_shuffled(first), _SAME).withColumn("kept", (F.col("keep.key") == F.col("key")) & (F.col("keep.at") == F.col("at"))), "kept-windows")
+    discard(runs, first)
     clusters = connected_components(windows.select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "cluster")
 
     apart = F.sum(F.when(F.col("at") <= upto, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
@@ -328,6 +347,7 @@ def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
     gone = materialize(gone.where(F.col("past") - F.col("first") >= LEAST_PASSAGE), "grown-runs")
     # Of the kept windows those count of which a copy is removed.
     needed = materialize(copies.join(gone.select("key", F.col("of").alias("run")), ["key", "run"], "left_semi").select(*_SAME).distinct(), "needed")
+    discard(copies, runs)
     # Runs with a word or two between them, or none, may have grown into each other.
     by_first = W.partitionBy("key").orderBy("first", "past").rowsBetween(W.unboundedPreceding, -1)
     gone = gone.withColumn("new", F.when(F.col("first") <= F.max("past").over(by_first), 0).otherwise(1))
@@ -345,6 +365,7 @@ def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
     # A run may meet its likes in its own text only, where a print also stands in another text by way of another run.
     places = places.join(clusters, places.node == clusters.id, "left").withColumn("cluster", F.coalesce("cluster", "node")).drop("node", "id")
     places = materialize(places, "passages")
+    discard(windows, grown, gone)
     sizes = materialize(places.groupBy("cluster").agg(F.count("*").alias("n_places")), "passage-clusters")
     return places.join(small_or_shuffled(sizes), "cluster")
 
