@@ -37,12 +37,12 @@ QUALITY = f"""
     g AS (SELECT r, pos, array_to_string(w[pos:pos + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS pos FROM d)),
     f AS (SELECT r, pos, count(*) OVER (PARTITION BY r, g) AS n FROM g),
     rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(pos, pos + 5)) AS p FROM f WHERE n > 1) GROUP BY r),
-    l0 AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d),
-    l AS MATERIALIZED (SELECT r, source, line, regexp_extract_all(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[0-9]', '0', 'g'), '{_BLANK}') AS w FROM l0),
-    lw AS MATERIALIZED (SELECT r, source, line, array_to_string(w, ' ') AS plain, len(w) AS n FROM l WHERE len(w) > 0),
+    l0 AS (SELECT r, source, md5(text) AS h, unnest(string_split(text, chr(10))) AS line FROM d),
+    l AS MATERIALIZED (SELECT r, source, h, line, regexp_extract_all(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[0-9]', '0', 'g'), '{_BLANK}') AS w FROM l0),
+    lw AS MATERIALIZED (SELECT r, source, h, line, array_to_string(w, ' ') AS plain, len(w) AS n FROM l WHERE len(w) > 0),
     dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY r),
-    lim AS (SELECT source, greatest({q.LIMIT_DOCS}, {q.LIMIT_SHARE} * count(*)) AS lim FROM d GROUP BY source),
-    fr AS (SELECT lw.source, plain FROM lw JOIN lim ON lim.source IS NOT DISTINCT FROM lw.source GROUP BY lw.source, plain, lim HAVING count(DISTINCT r) > lim),
+    lim AS (SELECT source, greatest({q.LIMIT_DOCS}, {q.LIMIT_SHARE} * count(DISTINCT text)) AS lim FROM d GROUP BY source),
+    fr AS (SELECT lw.source, plain FROM lw JOIN lim ON lim.source IS NOT DISTINCT FROM lw.source GROUP BY lw.source, plain, lim HAVING count(DISTINCT h) > lim),
     lost AS (SELECT r, sum(n) AS n_removed_words FROM lw JOIN fr ON fr.plain = lw.plain AND fr.source IS NOT DISTINCT FROM lw.source GROUP BY r),
     x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
       coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words

@@ -18,8 +18,9 @@ from pyspark.taskcontext import TaskContext
 from . import textscan as ts
 from .storage import materialize, prepare_tasks, small_or_shuffled
 
-#: A line is removed if more documents of its host have it than this many and this share of the host's documents.
-LIMIT_DOCS, LIMIT_SHARE = 20, 0.01
+#: A line is removed if more documents of its host have it than this many and this share of the host's documents: a host
+#: sets its own limit, and a small one is not let off.
+LIMIT_DOCS, LIMIT_SHARE = 4, 0.01
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.3
 #: Base rules.
@@ -30,7 +31,7 @@ _BEGINS = (np.arange(256) & 0xC0) != 0x80
 #: Normalised lines: letters A-Z small, every digit 0, one blank between words.
 _PLAIN = np.where((ts.LOWER >= 0x30) & (ts.LOWER <= 0x39), 0x30, ts.LOWER).astype(np.uint8)
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = "key long, doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<long>, line_words array<int>"
+_SCHEMA = "key long, doc_id long, host string, print long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<long>, line_words array<int>"
 
 
 def _per_text(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -101,30 +102,30 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines += x
             words += y
         table = np.concatenate(counts, 1) if counts else np.zeros((len(_COUNTS), 0), np.int64)
-        columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("host"), *(pa.array(c.astype(np.int64)) for c in table), ts.list_array(lines), pa.array(words, pa.list_(pa.int32()))]
+        columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("host"), batch.column("print"), *(pa.array(c.astype(np.int64)) for c in table), ts.list_array(lines), pa.array(words, pa.list_(pa.int32()))]
         key += batch.num_rows
-        yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "host", *_COUNTS, "lines", "line_words"])
+        yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "host", "print", *_COUNTS, "lines", "line_words"])
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per row of ``docs`` (doc_id, text and the host column; others are ignored): doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words.
 
-    Each row counts as one document of its host, so repeated rows count each. A null host is a host of its own. Null
+    Rows of one host with equal texts count as one document: a copied text is not boilerplate of its host. A null host is a host of its own. Null
     and blank texts have no words and fail. Lines without words are never counted. A document whose words left are
     fewer than LEAST_LEFT of all is rejected. Counts are pre-aggregated, so a host or line of a third of all rows
     costs a row for each task.
     """
     prepare_tasks(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), "text")
     rows = materialize(texts.mapInArrow(_rows, _SCHEMA), "quality")
-    each = rows.select("key", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("key", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    limits = rows.groupBy("host").agg(F.greatest(F.lit(LIMIT_DOCS), LIMIT_SHARE * F.count("*")).alias("limit"))
-    frequent = each.groupBy("host", "line").count().where(F.col("count") > LIMIT_DOCS).withColumnRenamed("host", "of")
+    each = rows.select("key", "host", "print", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("key", "host", "print", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    limits = rows.groupBy("host").agg(F.greatest(F.lit(LIMIT_DOCS), LIMIT_SHARE * F.count_distinct("print")).alias("limit"))
+    frequent = each.groupBy("host", "line").agg(F.count_distinct("print").alias("count")).where(F.col("count") > LIMIT_DOCS).withColumnRenamed("host", "of")
     frequent = frequent.join(limits, frequent["of"].eqNullSafe(limits["host"])).where("count > limit").select("of", F.col("line").alias("above"))
     frequent = small_or_shuffled(materialize(frequent, "frequent-lines"))
     lost = each.join(frequent, (each.line == frequent.above) & each.host.eqNullSafe(frequent["of"])).groupBy("key").agg(F.sum("words").alias("n_removed_words"))
-    out = rows.drop("lines", "line_words").join(lost, "key", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    out = rows.drop("lines", "line_words", "print").join(lost, "key", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words") >= LEAST_LEFT * F.col("n_words")
     return out.select("doc_id", *_COUNTS, failed.alias("base_failed"), (~failed & left).alias("kept"), "n_removed_words")
