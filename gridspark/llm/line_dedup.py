@@ -11,36 +11,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, small_or_shuffled
+from .storage import discard, free_names, materialize, small_or_shuffled
 
 #: A line on at least this many distinct sites is boilerplate.
 SITES = 5
-#: Lines of fewer characters, without blanks at their ends, are left alone.
-LEAST_CHARS = 10
-#: A document of which boilerplate lines would take more than this share of the characters is a copy of a text that
-#: many sites carry, not a page with boilerplate: it stays as it is, for near-duplicate removal to decide.
-MOST_REMOVED = 0.5
+#: Lines of fewer characters, without blanks at their ends, are left alone: blank ones only.
+LEAST_CHARS = 1
 #: log2 of the sketch's registers; its relative standard error is about 1.04 / sqrt(2 ** LG_K), 1.6 %.
 LG_K = 12
 #: Estimates within this share of the limit (six standard errors), and at least one site, are counted exactly.
 NEAR = 0.1
 
-_KEY = ["__k1", "__k2"]
+_KEY = ["k1", "k2"]
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """A row for each line of enough characters: the text's key, the line's place and length, site and hash."""
+def _lines(docs: DataFrame, site: str, text: str) -> DataFrame:
+    """A row for each line of enough characters: the text's key, the line's place, site and hash."""
     # Lines are equal if they differ in case and in blanks at their ends only.
     plain = F.lower(F.trim("line"))
-    each = docs.select(*_KEY, F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode_outer("__lines").alias("at", "line"))
-    return each.where(F.length(plain) >= LEAST_CHARS).select(*_KEY, "site", "at", F.length("line").alias("chars"), F.xxhash64(plain).alias("line_hash"))
+    each = docs.select(*_keys(text), F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
+    return each.where(F.length(plain) >= LEAST_CHARS).select(*_KEY, "site", "at", F.xxhash64(plain).alias("line_hash"))
+
+
+def _keys(text: str) -> list[Column]:
+    return [F.xxhash64(F.lit(i), text).alias(k) for i, k in enumerate(_KEY, 1)]
 
 
 def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(line_hash) of those on ``sites`` or more distinct sites, from (site, line_hash) rows. A null site is one site."""
-    # A line of one site alone, as most are, needs no sketch.
-    spread = lines.groupBy("line_hash").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo < hi").select("line_hash")
-    pairs = materialize(lines.select("site", "line_hash").join(spread, "line_hash", "left_semi"), "site-lines")
+    # Each site counts a line once, however many documents have it; a line of one site alone, as most are, needs no sketch.
+    held = materialize(lines.select("site", "line_hash").distinct(), "all-site-lines")
+    spread = materialize(held.groupBy("line_hash").agg(F.count("*").alias("n")).where("n > 1").select("line_hash"), "spread-lines")
+    pairs = materialize(held.join(small_or_shuffled(spread), "line_hash", "left_semi"), "site-lines")
+    discard(held, spread)
     margin = max(1.0, NEAR * sites)
     sketched = pairs.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"))
     sketched = materialize(sketched.where(F.col("estimate") >= sites - margin), "line-sketches")
@@ -50,30 +53,30 @@ def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     return materialize(sure.union(exact.where(F.col("n") >= sites).select("line_hash")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES, most_removed: float | None = MOST_REMOVED) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """``docs``, with all its columns, plus n_lines and n_removed_lines; ``text`` is without its boilerplate lines.
 
     A line is what stands between \\n. No row is dropped. A null text stays null with no lines, an empty one has one
-    line. Where boilerplate takes over ``most_removed`` of the characters a text stays whole; if that is None, only a text
-    stays whole of which nothing but blanks would be left. Null sites are one site; doc_id is of no account; repeated rows all stay and change alike. Rows are keyed by
-    their texts' hashes, so a group of copies is one case and a null text is none.
+    line. A text of which nothing but blanks would be left stays whole: it is a copy of something, for near-duplicate
+    removal to decide. Null sites are one site; doc_id is of no account; repeated rows all stay and change alike. Rows
+    are keyed by their texts' hashes, so a group of copies is one case and a null text is none. Columns of docs named
+    n_lines or n_removed_lines are replaced.
     """
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.lit(1), "text"), "__k2": F.xxhash64(F.lit(2), "text"), "__lines": F.split("text", "\n")})
-    lines = materialize(_lines(keyed, site), "lines")
+    lines = materialize(_lines(docs, site, "text"), "lines")
     boilerplate = small_or_shuffled(boilerplate_lines(lines, sites))
-    gone = lines.join(boilerplate, "line_hash", "left_semi").groupBy(*_KEY, "at").agg(F.first("chars").alias("chars"))
-    gone = gone.groupBy(*_KEY).agg(F.sort_array(F.collect_list("at")).alias("__gone"), F.sum("chars").alias("__chars"))
-    gone = small_or_shuffled(materialize(gone, "removed-lines"))
+    gone = lines.join(boilerplate, "line_hash", "left_semi").select(*_KEY, "at").distinct().groupBy(*_KEY).agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    k1, k2, at, parts = free_names(docs, *_KEY, "gone", "lines")
+    gone = materialize(gone.toDF(k1, k2, at), "removed-lines")
+    discard(lines)
     # The join stands between the split and its uses, so a text is split once. Unchanged texts are put together again.
-    out = keyed.drop("text").join(gone, _KEY, "left")
-    total = F.length(F.array_join("__lines", ""))
-    before, after = F.concat(F.array(F.lit(-1)), "__gone"), F.concat("__gone", F.array(F.size("__lines")))
-    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("__lines", a + 2, b - a - 1)))
-    enough = F.exists(kept, lambda line: F.trim(line) != "") if most_removed is None else F.col("__chars") <= most_removed * total
-    apply = F.col("__gone").isNotNull() & enough
-    text = F.array_join(F.when(apply, kept).otherwise(F.col("__lines")), "\n")
-    removed = F.when(apply, F.size("__gone").cast("long")).otherwise(F.lit(0))
-    counts = [F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines").cast("long")), F.lit(0)).alias("n_lines"), removed.alias("n_removed_lines")]
+    keys = dict(zip((k1, k2), _keys("text"), strict=True))
+    out = docs.withColumns({**keys, parts: F.split("text", "\n")}).drop("text").join(small_or_shuffled(gone), [k1, k2], "left")
+    before, after = F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(parts)))
+    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice(parts, a + 2, b - a - 1)))
+    apply = F.col(at).isNotNull() & F.exists(kept, lambda line: F.trim(line) != "")
+    text = F.array_join(F.when(apply, kept).otherwise(F.col(parts)), "\n")
+    removed = F.when(apply, F.size(at).cast("long")).otherwise(F.lit(0))
+    counts = [F.coalesce(F.when(F.col(parts).isNotNull(), F.size(parts).cast("long")), F.lit(0)).alias("n_lines"), removed.alias("n_removed_lines")]
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed_lines")], *counts)
 
 
@@ -86,7 +89,7 @@ def sql(sites: int = SITES) -> str:
     b AS (SELECT plain FROM l WHERE length(plain) >= {LEAST_CHARS} GROUP BY plain HAVING count(DISTINCT site) >= {sites}),
     m AS (SELECT l.*, b.plain IS NOT NULL AS gone FROM l LEFT JOIN b USING (plain)),
     g AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone,
-      coalesce(sum(length(line)) FILTER (gone), 0) <= {MOST_REMOVED} * sum(length(line)) AS apply,
+      count(*) FILTER (NOT gone AND trim(line, ' ') <> '') > 0 AS apply,
       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM m GROUP BY r)
     SELECT doc_id, CASE WHEN n_gone > 0 AND apply THEN kept ELSE text END AS text,
       coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN n_gone > 0 AND apply THEN n_gone ELSE 0 END)::BIGINT AS n_removed_lines
