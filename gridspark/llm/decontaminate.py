@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .storage import prepare_tasks
+from .storage import discard, materialize, prepare_tasks
 
 WINDOW = 10
 #: Item words in one broadcast block of patterns, about 30 MB of tables. A larger benchmark takes several passes.
 BLOCK_WORDS = 200_000
+#: Blocks that tasks hold at once. After so many the rows are written, and these blocks are freed everywhere.
+BLOCKS_AT_ONCE = 4
 #: Search positions in one of the stretches that advance together.
 STRETCH = 512
 
@@ -119,13 +121,13 @@ def patterns(items: list[tuple[str | None, str | None]], window: int) -> list[Pa
     return [Patterns(n, words, [owners[w] for w in words]) for n, words in sorted(by_length.items())]
 
 
-def _search(tables, window: int):
+def _search(tables):
     """Task: adds the occurrences of one block of patterns to (doc_id, text, spans, items). A span is its first word
     times 64 plus its length; lengths are at most 63."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            spans, items = batch.column("spans").to_pylist(), [set(x) for x in batch.column("items").to_pylist()]
             for first, _, raw, off in ts.slices(batch.column("text")):
                 w = ts.scan(raw, off, ts.ALPHANUMERIC)
                 h = w.hashes()
@@ -134,8 +136,8 @@ def _search(tables, window: int):
                     doc = np.searchsorted(w.ptr, at, side="right") - 1
                     for d, p, k in zip(doc.tolist(), at.tolist(), which.tolist(), strict=True):
                         spans[first + d].append((p - int(w.ptr[d])) * 64 + table.length)
-                        items[first + d].extend(table.owners[k].difference(items[first + d]))
-            columns = [batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                        items[first + d] |= table.owners[k]
+            columns = [batch.column("doc_id"), batch.column("text"), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "spans", "items"])
 
     return run
@@ -153,7 +155,7 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit += max(0, past - max(first, upto))
                 upto = max(upto, past)
             n_hit.append(hit)
-        items = [sorted(set(x)) for x in batch.column("items").to_pylist()]
+        items = [sorted(x) for x in batch.column("items").to_pylist()]
         digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
         columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_hit]), pa.array(items, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
@@ -171,6 +173,22 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Bro
         yield benchmark.sparkSession.sparkContext.broadcast(patterns([(r.item_id, r.text) for r in part.toLocalIterator()], window))
 
 
+def _through(df: DataFrame, blocks: Iterator[Broadcast], step: Callable[[DataFrame, Broadcast], DataFrame]) -> DataFrame:
+    """``df`` after ``step`` with every block. The driver and the tasks hold a few blocks at a time, however large the
+    benchmark is."""
+    held, last = [], None
+    for tables in blocks:
+        if len(held) == BLOCKS_AT_ONCE:
+            done = materialize(df, "searched")
+            discard(last)
+            for x in held:
+                x.destroy()
+            df, held, last = done, [], done
+        held.append(tables)
+        df = step(df, tables)
+    return df
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_words, n_hit (words inside an
     occurrence of a window), n_items, items_sha256, contaminated (n_hit > 0), items (array of the item ids found).
@@ -181,8 +199,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     prepare_tasks(docs.sparkSession)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for tables in _blocks(benchmark, window, block_words):
-        out = out.mapInArrow(_search(tables, window), "doc_id long, text string, spans array<long>, items array<string>")
+    search = lambda df, tables: df.mapInArrow(_search(tables), "doc_id long, text string, spans array<long>, items array<string>")
+    out = _through(out, _blocks(benchmark, window, block_words), search)
     return out.mapInArrow(_verdicts, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
@@ -206,7 +224,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """``docs``, with all its columns, without the rows whose text holds a window of the benchmark. Each block of
     patterns filters what the one before has left; nothing is shuffled."""
     prepare_tasks(docs.sparkSession)
-    out = docs
-    for tables in _blocks(benchmark, window, block_words):
-        out = out.mapInArrow(_without_hits(tables, docs.columns.index("text")), docs.schema)
-    return out
+    return _through(docs, _blocks(benchmark, window, block_words), lambda df, tables: df.mapInArrow(_without_hits(tables, docs.columns.index("text")), docs.schema))
