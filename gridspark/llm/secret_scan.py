@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import free_names
+
 #: Fixed patterns, in the order of their kinds: name, expression, group whose length counts, least characters of it.
 BASE = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -48,25 +50,40 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results of ``step`` over an array of integers, each place's value included: in stretches of about the
+    root of their number, since an array that grows in a fold is copied at every step."""
+
+    def stretch(x: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.aggregate(x, none, lambda acc, v: F.concat(acc, F.array(F.when(F.size(acc) == 0, v).otherwise(step(F.element_at(acc, -1), v)))))
+
+    def joined(parts: Column) -> Column:
+        lasts = stretch(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return _let(lasts, lambda t: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda v: step(F.get(t, i - 1), v))))))
+
+    def cut(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / size).cast("int") - 1), lambda i: stretch(F.slice(x, i * size + 1, size))), joined)
+
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(_let(values.cast("array<bigint>"), cut))
+
+
 def _places(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, value, before>> of the leftmost non-overlapping matches, in code points.
 
-    The parts between matches and the matches alternate, so lengths add up to places."""
+    The parts between matches and the matches alternate, so running sums of lengths are places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), hits.alias("hit"), values.alias("value"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["upto"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"))
-        return F.struct(end.alias("upto"), F.concat(acc["found"], F.array(found)).alias("found"))
+    def placed(x: Column) -> Column:
+        ends = _running(F.transform(x, lambda p: F.length(p["before"]) + F.length(p["hit"])), lambda a, b: a + b)
+        return _let(ends, lambda e: F.transform(x, lambda p, i: F.struct((F.get(e, i).cast("int") - F.length(p["hit"])).alias("start"), F.get(e, i).cast("int").alias("end"), p["value"].alias("value"), p["before"].alias("before"))))
 
     # The last part has no match.
-    matched = F.filter(parts, lambda x: x["hit"].isNotNull())
-    folded = F.aggregate(matched, F.struct(F.lit(0).alias("upto"), empty.alias("found")), step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(F.filter(parts, lambda x: x["hit"].isNotNull()), placed)).otherwise(empty)
 
 
 def _base_spans(text: Column, rank: int) -> Column:
@@ -139,14 +156,22 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     kind> by start, then kind; places are code points, ends exclusive.
 
     spans adds to base_spans the entropy spans that no base span contains. A null or empty text has no spans; repeated
-    rows each keep theirs; an empty table gives none. Cost grows with a text's length; a candidate of any length is
-    one fold over its characters.
+    rows each keep theirs; an empty table gives none. Cost grows with a text's length, and with the root of its matches
+    more; a candidate of any length is one fold over its characters. Columns of docs named base_spans or spans are
+    replaced.
     """
     text = F.coalesce("text", F.lit(""))
     base = F.sort_array(F.concat(*[_base_spans(text, i) for i in range(len(BASE))]).cast(_SPAN))
     more = _entropy_spans(text).cast(_SPAN)
-    added = _let(base, lambda b: F.struct(b.alias("base_spans"), F.sort_array(F.concat(b, F.filter(more, lambda s: ~F.exists(b, lambda x: (x["start"] <= s["start"]) & (x["end"] >= s["end"]))))).alias("spans")))
-    return docs.withColumn("__found", added).select(*[c for c in docs.columns if c not in ("base_spans", "spans")], "__found.base_spans", "__found.spans")
+
+    def fresh(spans: Column) -> Column:
+        """Without the entropy spans inside a base span; by start, base spans of one start come first."""
+        reach = _running(F.transform(spans, lambda s: F.when(s["rank"] < len(BASE), s["end"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b))
+        return _let(reach, lambda r: F.filter(spans, lambda s, i: (s["rank"] < len(BASE)) | (F.get(r, i) < s["end"])))
+
+    added = _let(base, lambda b: F.struct(b.alias("base_spans"), _let(F.sort_array(F.concat(b, more)), fresh).alias("spans")))
+    (found,) = free_names(docs, "found")
+    return docs.withColumn(found, added).select(*[c for c in docs.columns if c not in ("base_spans", "spans")], f"{found}.base_spans", f"{found}.spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -155,11 +180,11 @@ def span_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span replaced by ``mark``; overlapping spans are one."""
-    zero = F.struct(F.lit(0).alias("upto"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["upto"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["upto"] + 1, s["start"] - acc["upto"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), out.alias("out"))
+    def cut(upto: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(upto, i - 1)).cast("int")
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(upto, -1).cast("int") + 1, F.length(text)))
 
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["upto"] + 1, F.length(text))))
+    ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) == 0, text).otherwise(_let(ends, cut))
