@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from .notices import NOTICES
+
 # Phrases whose places are always reported, with their labels.
 BASE_PHRASES = {
     "gnu general public license": "gpl",
@@ -21,22 +23,6 @@ BASE_PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Wording of public license notices. The table is bounded, so it is broadcast.
-NOTICES = (
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-
 GRAM = 3
 #: Diagonals at most this far apart belong to one alignment.
 DRIFT = 3
@@ -45,15 +31,20 @@ LEAST_COVER, MOST_LENGTH = 0.6, 2.0
 #: Score of a text with base phrases alone; a verified span scores the share of the notice that it covers.
 BASE_SCORE = 0.5
 
-_SEPARATORS = "".join(chr(c) for c in range(128) if not (chr(c).isalnum() and chr(c) == chr(c).lower()))
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SEPARATORS = "".join(chr(c) for c in range(128) if not (chr(c).isalnum() and chr(c) not in _UPPER))
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _KEY = ["__k1", "__k2"]
 
 
+def _small(text: Column) -> Column:
+    """A-Z small; other letters stay as they are (lower() would make a k of the Kelvin sign)."""
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+
+
 def _words(text: Column) -> Column:
-    """Words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the small-lettered text. lower() also changes letters beyond
-    A-Z, but only to such letters, or to a k or i that no phrase or notice could gain a word by."""
-    plain = F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(_SEPARATORS))
+    """Words of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the small-lettered text."""
+    plain = F.trim(_small(text), F.lit(_SEPARATORS))
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, _SPLIT))
 
 
@@ -66,9 +57,10 @@ def _notice_grams(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, schema).withColumn("gram", F.xxhash64(*[f"n{j}" for j in range(GRAM)]))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """The text's key and words, and ``more`` columns; other columns of docs are left out."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"__k1": F.xxhash64(F.lit(1), text), "__k2": F.xxhash64(F.lit(2), text), "__words": _words(F.col("text"))})
+    return docs.select(F.xxhash64(F.lit(1), text).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2"), _words(F.col("text")).alias("__words"), *more)
 
 
 def notice_spans(docs: DataFrame) -> DataFrame:
@@ -117,9 +109,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     a third of all rows share is one.
     """
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("label", T.StringType())])))
-    small = F.lower(F.coalesce("text", F.lit("")))
+    small = _small(F.col("text"))
     maybe = small.contains("license") | (small.contains("cc") & small.contains("by"))
-    base = _keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_KEY, F.size("__words").cast("long").alias("n_words"), F.when(maybe, _base_places(F.col("__words"))).otherwise(none).alias("places"))
+    base = _keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *_KEY, F.size("__words").cast("long").alias("n_words"), F.when(maybe, _base_places(F.col("__words"))).otherwise(none).alias("places"))
     spans = notice_spans(docs).groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("label", "first_word", "past_word", "cover"))).alias("spans"))
     out = base.join(spans, _KEY, "left")
     at = F.transform("places", lambda x: x["at"].cast("long"))
