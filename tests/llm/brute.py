@@ -45,6 +45,23 @@ def components(rows, percent=90):
     return [(len(sets[i]), (min(least[find(i)]) if least[find(i)] else None) if sets[i] else rows[i][0]) for i in range(len(rows))]
 
 
+def groups(ids, sets, percent):
+    """id -> smallest id of its component of links at ``percent``."""
+    root = {d: d for d in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                x, y = find(a), find(ids[j])
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
 def contamination(rows, items, window=10):
     windows = collections.defaultdict(set)
     for item, text in items:

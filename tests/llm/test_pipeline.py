@@ -35,12 +35,60 @@ def test_toxic_documents_go(spark):
     assert len(wrong) <= 0.03 * len(toxic)
 
 
+def test_line_dedup_stage(stages):
+    """Against plain sets of lines and sites."""
+    from tests.llm.test_operators import plain_line_dedup
+
+    want = plain_line_dedup([(r.doc_id, r.text, r.source) for r in stages[1].collect()])
+    assert sorted((r.doc_id, r.text) for r in stages[2].collect()) == [(d, t) for d, t, _, _ in want]
+
+
 def test_near_duplicates(stages):
-    before = [(r.doc_id, r.text) for r in stages[2].collect()]
-    want = {c for (d, _), (n, c) in zip(before, brute.components(before), strict=True)}
+    """Of each component at a Jaccard of 0.8 on five words the smallest id stays; texts without words all stay."""
+    before = {r.doc_id: brute.shingle_set(r.text, 5) for r in stages[2].collect()}
+    want = {root for d, root in brute.groups(list(before), list(before.values()), 80).items()}
     assert {r.doc_id for r in stages[3].collect()} == want
 
 
+def test_mixing_stage(stages):
+    """Against the mix by its definition: weights by temperature, budgets, and blocks in the order of md5."""
+    import collections
+    import hashlib
+    import math
+
+    rows = [(r.doc_id, r.source, len(brute.BLANK.findall(r.text or ""))) for r in stages[4].collect()]
+    total, blank = collections.Counter(), collections.Counter()
+    for _, s, n in rows:
+        total[s] += n
+        blank[s] += n == 0
+    lo, hi = min(x for x in total.values() if x), max(total.values())
+    a = 0.0 if hi <= 4 * lo else 1 - math.log(4) / math.log(hi / lo)
+    z = sum(x**a for x in total.values() if x)
+    whole = max(x ** (1 - a) for x in total.values() if x) * z
+    n_blocks = max(1, math.ceil(whole / 200_000), math.ceil(sum(blank.values()) / 10_000))
+    want = []
+    for s in total:
+        budget = round(total[s] ** a / z * whole) if total[s] else 0
+        parts = max(1, math.ceil(total[s] / 200_000), math.ceil(blank[s] / 10_000))
+        start = 0
+        for epoch in range(math.ceil(budget / total[s]) if total[s] else 1):
+            turns = sorted((int((t := int(hashlib.md5(f"1|{epoch}|{d}|{n}".encode()).hexdigest()[:13], 16) / 16**13) * parts), t, d, n) for d, of, n in rows if of == s and (n or not epoch))
+            for _, t, d, n in turns:
+                if start < budget or not n:
+                    share = min(start / max(1, budget), 1.0) if n else t
+                    want.append((d, s, epoch, min(math.floor(share * n_blocks), n_blocks - 1)))
+                start += n
+    assert sorted((r.doc_id, r.source, r.epoch, r.block) for r in stages[5].collect()) == sorted(want)
+
+
+def test_stages_on_an_empty_table_and_null_ids(spark):
+    sf = SF
+    docs = read_table(spark, sf, "documents")
+    for df, n in ((docs.limit(0), 0), (docs.limit(3).selectExpr("cast(null as bigint) AS doc_id", "cast(null as string) AS text", "lang", "source", "n_chars"), 3)):
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, df, sf).count() == n, name
+
+
 def test_contaminated_documents_go(spark, stages):
     items = [(r.item_id, r.text) for r in read_table(spark, SF, "benchmark").collect()]
     want = {w[0] for w in brute.contamination([(r.doc_id, r.text) for r in stages[3].collect()], items) if not w[5]}
