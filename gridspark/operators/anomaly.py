@@ -44,9 +44,31 @@ def drift(facts: DataFrame, forecast: DataFrame, alpha: float = ALPHA, limit: fl
     return found.where(F.col("n") >= sustained).select("series_id", "ts", F.lit("drift").alias("type"), F.lit("warning").alias("severity"), "end_ts", "value")
 
 
-def detect(facts: DataFrame, forecast: DataFrame, breach: tuple = (WARNING_BREACH, CRITICAL_BREACH), limit: float = DRIFT_MW) -> DataFrame:
-    """All three kinds; nothing is merged, an hour may have several."""
-    return reserve_risk(facts).unionByName(spike_drop(facts, forecast, *breach)).unionByName(drift(facts, forecast, limit=limit))
+def detect(facts: DataFrame, forecast: DataFrame, breach: tuple = (WARNING_BREACH, CRITICAL_BREACH), limit: float = DRIFT_MW, alpha: float = ALPHA, sustained: int = SUSTAINED) -> DataFrame:
+    """All three kinds from one join of facts and forecast; nothing is merged, an hour may have several."""
+    c = F.col
+    j = facts.join(forecast, ["series_id", "ts"], "left").withColumns({"day": F.to_date("ts"), "residual": c("actual_mw") - c("forecast_mw")})
+    above, below = c("actual_mw") - c("p99_upper_mw"), c("p99_lower_mw") - c("actual_mw")
+    out = F.when(above > 0, above).when(below > 0, below)
+    share = F.when(c("actual_mw") > 0, out / c("actual_mw") * 100).otherwise(F.lit(0.0))
+    over = lambda x: (out >= x[0]) | (share >= x[1])
+    day = W.partitionBy("series_id", "day", c("residual").isNull()).orderBy("ts")
+    upto = day.rowsBetween(W.unboundedPreceding, 0)
+    held = F.collect_list("residual").over(upto)
+    smooth = F.aggregate(F.slice(held, 2, 10_000), F.get(held, F.lit(0)), lambda acc, x: alpha * x + (1 - alpha) * acc)
+    j = j.withColumn("ewma", smooth).withColumn("side", F.when(c("ewma") > limit, 1).when(c("ewma") < -limit, -1).otherwise(0))
+    j = j.withColumn("new", F.coalesce((c("side") != F.lag("side").over(day)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(upto))
+    run = W.partitionBy("series_id", "day", c("residual").isNull(), "run")
+    j = j.withColumns({"first_ts": F.min("ts").over(run), "last_ts": F.max("ts").over(run), "mean": F.avg("residual").over(run), "hours": F.count("residual").over(run)})
+    alert = lambda on, kind, severity, end, value: F.when(on, F.struct(kind.alias("type"), severity.alias("severity"), end.alias("end_ts"), value.alias("value")))
+    alerts = F.array_compact(
+        F.array(
+            alert(c("usage_pct") >= WARNING_PCT, F.lit("reserve_risk"), F.when(c("usage_pct") >= CRITICAL_PCT, "critical").otherwise("warning"), c("ts"), c("usage_pct")),
+            alert(over(breach[1]) | over(breach[0]), F.when(above > 0, "spike").otherwise("drop"), F.when(over(breach[1]), "critical").otherwise("warning"), c("ts"), out),
+            alert((c("side") != 0) & (c("ts") == c("first_ts")) & (c("hours") >= sustained), F.lit("drift"), F.lit("warning"), c("last_ts"), c("mean")),
+        )
+    )
+    return j.select("series_id", "ts", F.explode(alerts).alias("x")).select("series_id", "ts", "x.*")
 
 
 def severity_rollup(alerts: DataFrame) -> DataFrame:

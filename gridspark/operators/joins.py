@@ -28,18 +28,20 @@ def mask_unknown(facts: DataFrame, origins: DataFrame) -> DataFrame:
 
 
 def nearest_within(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, seconds: int) -> DataFrame:
-    """For each left row the right row of the same keys nearest in time, at most ``seconds`` apart (earlier wins a tie).
+    """Each left row with the right row of the same keys nearest in time, at most ``seconds`` apart (earlier wins a tie),
+    and apart_s; nulls where there is none. Repeated left rows each keep theirs.
 
     Right rows are keyed by buckets of that width and met in the left row's bucket and its two neighbours, so the join
     stays an equi-join of bounded fan-out."""
     epoch = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    keyed = left.withColumns({"__row": F.xxhash64(*left.columns), "__at": epoch(left_at)})
-    probe = keyed.withColumn("__slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("__at") / seconds) + k)))
+    times = left.select(*by, left_at).distinct().withColumn("__at", epoch(left_at))
+    probe = times.withColumn("__slot", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("__at") / seconds) + k)))
     held = right.withColumns({"__to": epoch(right_at), "__slot": F.floor(epoch(right_at) / seconds)})
     apart = F.abs(F.col("__at") - F.col("__to"))
     met = probe.join(held, [*by, "__slot"]).where(apart <= seconds)
-    best = met.withColumn("__i", F.row_number().over(W.partitionBy("__row", *by).orderBy(apart, "__to")))
-    return best.where("__i = 1").withColumn("apart_s", apart).drop("__i", "__row", "__at", "__to", "__slot")
+    others = [c for c in right.columns if c not in by]
+    best = met.groupBy(*by, left_at).agg(F.min_by(F.struct(*others, apart.alias("apart_s")), F.struct(apart, "__to")).alias("__x"))
+    return left.join(best.select(*by, left_at, "__x.*"), [*by, left_at], "left")
 
 
 def latest_before(rows: DataFrame, by: list[str], order: str, *columns: str) -> DataFrame:

@@ -103,7 +103,7 @@ def paired_bootstrap(rows: DataFrame, model: str, reference: str, draws: int = 2
     day = rows.groupBy("series_id", F.to_date("ts").alias("day")).agg((F.avg(m) - F.avg(r)).alias("diff"))
     day = day.withColumns({"k": F.row_number().over(W.partitionBy("series_id").orderBy("day")) - 1, "days": F.count("*").over(W.partitionBy("series_id"))})
     picks = day.select("series_id", "days", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "draw", "k"), F.col("days")).cast("int"))
+    picks = picks.withColumn("k", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("k").cast("string"))), 1, 13), 16, 10).cast("long") % F.col("days")).cast("int"))
     means = picks.join(day.select("series_id", "k", "diff"), ["series_id", "k"]).groupBy("series_id", "draw").agg(F.avg("diff").alias("mean"))
     ends = means.groupBy("series_id").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
     return day.groupBy("series_id").agg(F.count("*").alias("days"), F.avg("diff").alias("mean_difference")).where("days >= 7").join(ends, "series_id")

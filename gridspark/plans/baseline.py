@@ -19,24 +19,29 @@ def seasonal_baseline(hourly: DataFrame, targets: DataFrame, calendar: DataFrame
 
     A working target uses the same weekday of the last weeks and of the same season in the years before, without
     holidays. A holiday uses holidays of the season in the years before, if they are on enough days, else the former.
-    History is joined by (series, weekday) or (series, holiday), never by a cross of days, and only rows before the
-    target count.
+    A target is exploded to the days it may read - at most 12 and 5 x 9 of its weekday, or 5 x 61 around a holiday - and
+    meets history by (series, day), so cost grows with the targets and no series is one group.
     """
     off = calendar.select("day", "is_holiday")
-    h = hourly.where("actual_mw is not null").withColumns({"day": F.to_date("ts"), "hour": F.hour("ts"), "weekday": F.weekday("ts")}).join(F.broadcast(off), "day")
+    h = hourly.where("actual_mw is not null").withColumns({"day": F.to_date("ts"), "hour": F.hour("ts")}).join(F.broadcast(off), "day")
     t = targets.join(F.broadcast(off.withColumnRenamed("day", "target").withColumnRenamed("is_holiday", "target_holiday")), "target")
-    t = t.withColumns({"weekday": F.weekday("target"), "doy": F.dayofyear("target")})
-    age = F.year("target") - F.year("day")
-
-    def season(days: int, last: int):
-        start = F.date_add(F.trunc("day", "year"), F.greatest(F.lit(0), F.col("doy") - days - 1))
-        end = F.date_add(F.trunc("day", "year"), F.least(F.lit(last), F.col("doy") + days - 1))
-        return age.between(1, YEARS) & F.col("day").between(start, end)
-
-    past = F.col("day") < F.col("target")
-    recent = F.col("day") >= F.date_sub("target", 7 * weeks)
-    usual = t.join(h.where(~F.col("is_holiday")), ["series_id", "weekday"]).where(past & (recent | season(SEASON_DAYS, 364)))
-    rest = t.where("target_holiday").join(h.where("is_holiday").drop("weekday"), "series_id").where(past & season(HOLIDAY_DAYS, 364))
+
+    def season(days: int, step: int):
+        """Days around the target's place in the year, of each of the years before; with step 7 of its weekday."""
+
+        def of_year(age):
+            start = F.make_date(F.year("target") - age, F.lit(1), F.lit(1))
+            first = F.date_add(start, F.greatest(F.lit(0), F.dayofyear("target") - days - 1))
+            last = F.date_add(start, F.least(F.lit(364), F.dayofyear("target") + days - 1))
+            first = F.date_add(first, F.pmod(F.weekday("target") - F.weekday(first), F.lit(step)))
+            return F.filter(F.sequence(first, F.greatest(first, last), F.expr(f"INTERVAL {step} DAYS")), lambda day: day <= last)
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(YEARS)), of_year))
+
+    recent = F.sequence(F.date_sub("target", 7 * weeks), F.date_sub("target", 7), F.expr("INTERVAL 7 DAYS"))
+    reads = lambda df, days: df.select("series_id", "target", F.explode(days).alias("day"))
+    usual = reads(t, F.array_distinct(F.concat(recent, season(SEASON_DAYS, 7)))).join(h.where(~F.col("is_holiday")), ["series_id", "day"])
+    rest = reads(t.where("target_holiday"), season(HOLIDAY_DAYS, 1)).join(h.where("is_holiday"), ["series_id", "day"])
     enough = rest.groupBy("series_id", "target").agg(F.count_distinct("day").alias("days")).where(F.col("days") >= least).select("series_id", "target")
     columns = ["series_id", "target", "hour", "actual_mw"]
     rows = usual.join(enough, ["series_id", "target"], "left_anti").select(columns).unionByName(rest.join(enough, ["series_id", "target"], "left_semi").select(columns))

@@ -93,15 +93,15 @@ def m01_baseline_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(_forecast(spark, sf_dir)[1])
 
 
-_DAILY_FC = tb.with_ctes("daily", more=f"dts AS (SELECT series_id, CAST(day AS TIMESTAMP) AS ts, actual_mw FROM daily), {tb.calendar_ctes('SELECT day FROM daily')}, targets AS (SELECT series_id, day AS target FROM daily WHERE year(day) >= 2000), {_baseline_cte('dts', 'targets')}")
+_DAILY_FC = tb.with_ctes("daily", more=f"dts AS (SELECT series_id, CAST(day AS TIMESTAMP) AS ts, actual_mw FROM daily), {tb.calendar_ctes('SELECT day FROM daily')}, targets AS (SELECT series_id, day AS target FROM daily), {_baseline_cte('dts', 'targets')}")
 
 
 @_register(_DAILY_FC + f"SELECT series_id, CAST(ts AS VARCHAR) AS ts, {_r(*_BANDS)}, n FROM fc")
 def m02_baseline_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years of days: same-season weekdays, and holidays from holidays; targets are the days from 2000 on."""
+    """Years of days: same-season weekdays, and holidays from holidays."""
     d = tb.daily(spark, sf_dir)
     h = d.select("series_id", F.col("day").cast("timestamp_ntz").alias("ts"), "actual_mw")
-    targets = d.where(F.year("day") >= 2000).select("series_id", F.col("day").alias("target"))
+    targets = d.select("series_id", F.col("day").alias("target"))
     return _out(baseline.seasonal_baseline(h, targets, tb.calendar(d)))
 
 
@@ -314,7 +314,14 @@ def a15_conformal_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(metrics.conformal_quantile(p, F.abs(F.col("model_mw") - F.col("actual_mw")), 0.95, "series_id", "band"))
 
 
-@_register()
+_DRAWS = """dy AS (SELECT series_id, CAST(ts AS DATE) AS day, avg(abs(model_mw - actual_mw)) - avg(abs(reference_mw - actual_mw)) AS diff FROM pairs GROUP BY 1, 2),
+    dk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS k, count(*) OVER (PARTITION BY series_id) AS days FROM dy),
+    pk AS (SELECT series_id, draw, ('0x' || substr(md5('42|' || draw || '|' || k), 1, 13))::BIGINT % days AS k FROM dk, (SELECT unnest(range(2000)) AS draw)),
+    me AS (SELECT series_id, draw, avg(diff) AS mean FROM pk JOIN dk USING (series_id, k) GROUP BY 1, 2),
+    en AS (SELECT series_id, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM me GROUP BY 1)"""
+
+
+@_register(tb.with_ctes("pairs", more=_DRAWS) + f"SELECT series_id, count(*) AS days, {_r('avg(diff) AS mean_difference', 'any_value(low) AS low', 'any_value(high) AS high')} FROM dy JOIN en USING (series_id) GROUP BY series_id HAVING count(*) >= 7")
 def a23_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(metrics.paired_bootstrap(tb.pairs(spark, sf_dir), "model_mw", "reference_mw"))
 
