@@ -94,3 +94,88 @@ def analogous_days(days: DataFrame, targets: DataFrame, most: int = 5, run_toler
     met = t.join(days, ["series_id", "is_off"]).where(near)
     rank = F.row_number().over(W.partitionBy("series_id", "target").orderBy(F.desc("day")))
     return met.withColumn("rank", rank).where(F.col("rank") <= most).select("series_id", "target", "day", "rank")
+
+
+# Rules on business days after a change of day type, and on the shift that analogous days have given (forecast - raw).
+
+
+def _warming(*columns: str) -> Column:
+    return F.greatest(F.lit(0.0), *[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])
+
+
+def _returns(hours: tuple[int, ...]) -> Column:
+    """Hours of a working day whose day before was of the other type."""
+    return F.hour("ts").isin(*hours) & (F.col("is_non_business_day") == 0) & (F.col("lag_24h_business_type_mismatch") > 0)
+
+
+def warm_day_offset(rows: DataFrame, upward: float = 250.0, anomaly: float = 1.0, lag_rise: float = 500.0, scale: float = 1.0) -> DataFrame:
+    """Daytime (10-19) of warm working days is lifted a little; not in late hours (15-19) where both yesterday and the
+    recent mean of the day type fall."""
+    declining = F.hour("ts").between(15, 19) & (F.col("recent_same_business_type_delta_mean") <= 0) & (F.col("lag_24h_hourly_delta") <= lag_rise * scale)
+    active = F.hour("ts").between(10, 19) & (F.col("is_non_business_day") == 0) & (F.col("temp_anomaly_doy") >= anomaly)
+    return shift(rows, F.when(active & ~F.coalesce(declining, F.lit(False)), F.lit(upward * scale)))
+
+
+def limit_analog_fall(rows: DataFrame, raw: str = "raw_mw", support_least: float = 500.0, slack: float = 900.0, scale: float = 1.0) -> DataFrame:
+    """Off days (7-15): a fall from the raw forecast is taken back where the change before it rises, or the raw forecast
+    is not far above the mean of its day type."""
+    backed = F.coalesce(support() >= support_least * scale, F.lit(False)) | F.coalesce(F.col(raw) <= F.col("recent_same_business_type_mean") + slack * scale, F.lit(False))
+    fall = F.col(raw) - F.col("forecast_mw")
+    return shift(rows, F.when(F.hour("ts").between(7, 15) & (F.col("is_non_business_day") == 1) & (fall > scale) & backed, fall))
+
+
+#: Share of a shortfall that is made up, by hour of the return.
+RETURN_SHARES = {6: 0.25, 7: 0.35, 8: 0.45, 9: 0.50, 10: 0.30, 11: 0.20}
+
+
+def lift_return_shortfall(rows: DataFrame, gap: float = 6000.0, slack: float = 1000.0, most: float = 1000.0, shape: float = 800.0, veto_from: int = 7, veto_lead: int = 3, veto: float = 1200.0, scale: float = 1.0) -> DataFrame:
+    """Mornings (6-11) of a return to work where the usual level is far over yesterday's: a forecast under that level is
+    lifted part of the way, unless its own rise is as steep as usual, or an hour observed shortly before has shown the
+    forecast to be too high."""
+    usual = F.col("recent_same_business_type_mean")
+    steep = F.col("recent_same_business_type_delta_mean") - (F.col("forecast_mw") - F.lag("forecast_mw").over(_day()))
+    seen = F.col("same_day_latest_actual_hour")
+    then = F.filter(F.collect_list(F.struct(F.hour("ts").alias("h"), F.col("forecast_mw").alias("f"))).over(_day().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), lambda x: x["h"] == seen)
+    lead = F.hour("ts") - seen
+    vetoed = F.coalesce((seen >= veto_from) & lead.between(1, veto_lead) & (F.get(then, F.lit(0))["f"] - F.col("same_day_latest_actual_mw") >= veto * scale), F.lit(False))
+    share = F.element_at(F.create_map(*[F.lit(x) for kv in RETURN_SHARES.items() for x in kv]), F.hour("ts"))
+    short = usual - slack * scale - F.col("forecast_mw")
+    active = _returns(tuple(RETURN_SHARES)) & (usual - F.col("lag_24h") >= gap * scale) & F.coalesce(steep >= shape * scale, F.lit(True)) & ~vetoed & (short > 0)
+    return shift(rows, F.when(active, F.least(short * share, F.lit(most * scale))))
+
+
+def cap_return_excess(rows: DataFrame, gap: float = 1000.0, slack: float = 500.0, per_degree: float = 100.0, most_degrees: float = 300.0, share: float = 0.6, most: float = 900.0, strong: float = 700.0, shape_share: float = 0.35, most_shape: float = 650.0, strong_share: float = 0.25, scale: float = 1.0) -> DataFrame:
+    """Mornings (8-11) of a return to work: a forecast over the usual level and its allowances for warming and, from 9
+    on, for a strong rise is lowered part of the way; less of it where the rise is strong."""
+    usual = F.col("recent_same_business_type_mean")
+    warm = F.least(_warming("temp_delta_24h", "cooling_delta_24h", "temp_anomaly_doy") * per_degree * scale, F.lit(most_degrees * scale))
+    rises = F.coalesce((F.hour("ts") >= 9) & (support() >= strong * scale), F.lit(False))
+    shape = F.when(rises, F.least(support() * shape_share, F.lit(most_shape * scale))).otherwise(0.0)
+    over = F.col("forecast_mw") - (usual + slack * scale + warm + shape)
+    active = _returns((8, 9, 10, 11)) & (usual - F.col("lag_24h") >= gap * scale) & (over > 0)
+    return shift(rows, F.when(active, -F.least(over * F.when(rises, strong_share).otherwise(share), F.lit(most * scale))))
+
+
+def cap_afternoon_analog(rows: DataFrame, raw: str = "raw_mw", least: float = 600.0, support_most: float = 900.0, allowed: float = 300.0, degrees: float = 0.5, per_degree: float = 120.0, most_degrees: float = 300.0, scale: float = 1.0) -> DataFrame:
+    """Afternoons (13-16) of warming working days: a rise over the raw forecast without support keeps an allowance."""
+    warm, rise = _warming("temp_delta_24h", "cooling_delta_24h"), F.col("forecast_mw") - F.col(raw)
+    keep = allowed * scale + F.least(warm * per_degree * scale, F.lit(most_degrees * scale))
+    active = F.hour("ts").between(13, 16) & (F.col("is_non_business_day") == 0) & (rise >= least * scale) & (warm >= degrees) & F.coalesce(support() <= support_most * scale, F.lit(True)) & (rise > keep)
+    return shift(rows, F.when(active, keep - rise))
+
+
+def cap_declining_analog(rows: DataFrame, raw: str = "raw_mw", least: float = 300.0, allowed: float = 100.0, support_most: float = 200.0, degrees: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """Afternoons and evenings (13-20) of working days like the day before, without warming or support: a rise over the
+    raw forecast keeps a small allowance."""
+    rise = F.col("forecast_mw") - F.col(raw)
+    active = F.hour("ts").between(13, 20) & (F.col("is_non_business_day") == 0) & (F.col("lag_24h_business_type_mismatch") == 0) & (rise >= least * scale) & (_warming("temp_delta_24h", "cooling_delta_24h") <= degrees) & (support() <= support_most * scale)
+    return shift(rows, F.when(active & (rise > allowed * scale), allowed * scale - rise))
+
+
+def limit_afternoon_fall(rows: DataFrame, raw: str = "raw_mw", least: float = 600.0, allowed: float = 300.0, degrees: float = 0.5, support_least: float = -700.0, slack: float = 900.0, scale: float = 1.0) -> DataFrame:
+    """Afternoons (13-16) of warming working days: a fall from the raw forecast is limited, unless the changes before it
+    fall steeply or the raw forecast is far over the mean of its day type."""
+    fall = F.col(raw) - F.col("forecast_mw")
+    backed = F.coalesce(support() >= support_least * scale, F.lit(True)) & F.coalesce(F.col(raw) <= F.col("recent_same_business_type_mean") + slack * scale, F.lit(True))
+    active = F.hour("ts").between(13, 16) & (F.col("is_non_business_day") == 0) & (fall > least * scale) & (_warming("temp_delta_24h", "cooling_delta_24h") >= degrees) & backed
+    return shift(rows, F.when(active & (fall > allowed * scale), fall - allowed * scale))
