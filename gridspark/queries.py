@@ -434,7 +434,17 @@ def w_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(weather_prep.interpolate_hours(tb.weather(spark, sf_dir).where(F.hour("ts") % 3 == 0)))
 
 
-@_register()
+_INTRADAY = f"""px AS (SELECT series_id, ts, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INT) AS hour, CASE WHEN hour(ts) < 12 THEN actual_mw END AS actual_mw, model_mw AS f FROM pairs),
+    ob AS (SELECT *, actual_mw - f AS r, row_number() OVER w AS i, actual_mw - lead(actual_mw) OVER w AS sl FROM px WHERE actual_mw IS NOT NULL WINDOW w AS (PARTITION BY series_id, day ORDER BY hour DESC)),
+    ct AS (SELECT series_id, day, count(*) AS n, max(hour) AS lh, arg_max(actual_mw, hour) AS lm, arg_max(r, hour) AS lr, avg(r) FILTER (i <= 3) AS mr, abs(sum(sign(r))) AS ss, avg(r) AS ar, max(sl) FILTER (i = 1) AS s1, max(sl) FILTER (i = 2) AS s0 FROM ob GROUP BY 1, 2),
+    ix AS (SELECT p.*, coalesce(c.n, 0) AS n, p.hour - coalesce(c.lh, -1) AS ld, c.lh, c.lm, c.mr, c.ss, c.ar, c.s1, c.s0, y.lr AS yr, p.hour + 24 - y.lh AS age FROM px p LEFT JOIN ct c ON c.series_id = p.series_id AND c.day = p.day LEFT JOIN ct y ON y.series_id = p.series_id AND y.day = p.day - 1),
+    iy AS (SELECT *, CASE WHEN mr IS NOT NULL THEN greatest(-1200, least(1200, mr * 0.6)) END * pow(0.92, ld - 1) AS base, CASE WHEN ss = 2 AND abs(ar) >= 500 THEN greatest(-700, least(700, ar * 0.5)) * pow(0.92, ld - 1) END AS early,
+      CASE WHEN age <= 8 AND yr IS NOT NULL THEN greatest(-500, least(500, yr * 0.5 * pow(0.75, age))) END AS carry, coalesce(-(coalesce(s0, 0) + s1) >= 500, false) AS relaxed, CAST(least(greatest(ld, 1), 3) AS INT) AS k FROM ix),
+    iz AS (SELECT *, CASE WHEN n >= 3 THEN base WHEN n = 2 THEN early ELSE carry END AS shift, CASE WHEN n >= 3 THEN 'residual_mean' WHEN n = 2 AND early IS NOT NULL THEN 'early_carryover' WHEN n < 2 AND carry IS NOT NULL THEN 'day_boundary' END AS rule, lm - CASE WHEN relaxed THEN [1600, 2800, 4200][k] ELSE [1600, 2600, 3600][k] END AS low, lm + [1800, 2400, 3000][k] AS high FROM iy),
+    fi AS (SELECT *, f + coalesce(shift, 0) AS moved, CASE WHEN ld > 0 AND ld <= 3 AND coalesce(lh >= 10, false) THEN greatest(low, least(high, f + coalesce(shift, 0))) WHEN ld > 0 THEN f + coalesce(shift, 0) ELSE f END AS final FROM iz)"""
+
+
+@_register(tb.with_ctes("pairs", more=_INTRADAY) + f"SELECT series_id, CAST(ts AS VARCHAR) AS ts, {_r('actual_mw', 'f AS forecast_mw', 'final - f AS adjustment_mw', 'final AS corrected_mw')}, array_to_string(list_filter([CASE WHEN ld > 0 AND coalesce(shift, 0) <> 0 THEN rule END, CASE WHEN ld > 0 AND abs(final - moved) > 1e-9 THEN 'ramp_guard' END], lambda x: x IS NOT NULL), ',') AS reasons FROM fi")
 def ic_intraday_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline corrected as at noon of every day: actuals of later hours are hidden."""
     p = tb.pairs(spark, sf_dir).select("series_id", "ts", F.when(F.hour("ts") < 12, F.col("actual_mw")).alias("actual_mw"), F.col("model_mw").alias("forecast_mw"))
@@ -442,16 +452,33 @@ def ic_intraday_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@_register()
+_CAPPED = lambda own, other: f"greatest(least({own}, greatest(500, least(3000, greatest({other}, 900) * 2.5))), 500)"
+_BANDED = f"""b0 AS (SELECT series_id, ts, model_mw * 100 AS forecast_mw, least(model_mw, reference_mw) * 100 AS q025, greatest(actual_mw, reference_mw) * 130 AS q975 FROM pairs),
+    b1 AS (SELECT *, greatest(500, forecast_mw - least(q025, forecast_mw)) AS l1, greatest(500, greatest(q975, forecast_mw) - forecast_mw) AS h1 FROM b0),
+    b2 AS (SELECT *, {_CAPPED('l1', 'h1')} AS l2, {_CAPPED('h1', 'l1')} AS h2 FROM b1),
+    b3 AS (SELECT *, greatest(500, (l2 + h2) / 2.6) AS s, greatest(l2, h2) > least(l2, h2) * 1.6 AS uneven FROM b2),
+    b4 AS (SELECT *, least(s, 3000) AS ns, least(least(greatest(500, l2 + h2 - s), s * 1.6), 3000) AS nl FROM b3),
+    b5 AS (SELECT *, CASE WHEN uneven THEN CASE WHEN l2 >= h2 THEN nl ELSE ns END ELSE l2 END * 1.25 AS lo, CASE WHEN uneven THEN CASE WHEN h2 >= l2 THEN nl ELSE ns END ELSE h2 END * 1.25 AS hi FROM b4)"""
+
+
+@_register(tb.with_ctes("pairs", more=_BANDED) + f"SELECT series_id, CAST(ts AS VARCHAR) AS ts, {_r('forecast_mw', 'q025', 'q975', 'forecast_mw - lo AS p95_lower_mw', 'forecast_mw + hi AS p95_upper_mw', 'forecast_mw - 2 * lo AS p99_lower_mw', 'forecast_mw + 2 * hi AS p99_upper_mw')} FROM b5")
 def i01_calibrated_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tb.pairs(spark, sf_dir)
     r = p.select("series_id", "ts", (F.col("model_mw") * 100).alias("forecast_mw"), (F.least("model_mw", "reference_mw") * 100).alias("q025"), (F.greatest("actual_mw", "reference_mw") * 130).alias("q975"))
     return _out(intervals.assemble_bands(r))
 
 
-@_register()
+_FLOORS = f"""{tb.calendar_ctes('SELECT CAST(ts AS DATE) AS day FROM pairs')},
+    fx AS (SELECT series_id, CAST(ts AS DATE) AS day, hour(ts) AS hour, {_BAND_SQL} AS band, abs(model_mw - actual_mw) * 100 AS e FROM pairs), fd AS (SELECT series_id, day FROM fx GROUP BY 1, 2 HAVING count(DISTINCT hour) = 24),
+    nr AS (SELECT t.series_id, t.day AS target, d.day, c.is_off AS off, tc.is_off AS target_off, row_number() OVER (PARTITION BY t.series_id, t.day ORDER BY d.day DESC) AS i FROM (SELECT DISTINCT series_id, day FROM fx) t JOIN fd d ON d.series_id = t.series_id AND d.day < t.day JOIN calendar c ON c.day = d.day JOIN calendar tc ON tc.day = t.day),
+    fq AS (SELECT n.series_id, n.target, x.band, x.e, row_number() OVER (PARTITION BY n.series_id, n.target, x.band ORDER BY x.e) AS i, count(*) OVER (PARTITION BY n.series_id, n.target, x.band) AS n FROM nr n JOIN fx x ON x.series_id = n.series_id AND x.day = n.day WHERE n.i <= 28 AND n.off = n.target_off)"""
+
+
+@_register(tb.with_ctes("pairs", more=_FLOORS) + f"SELECT series_id, CAST(target AS VARCHAR) AS target, band, n, {_r('greatest(500, least(3000, e)) AS floor_mw')} FROM fq WHERE n >= 3 AND i = least(n, CAST(ceil((n + 1) * 0.95::DOUBLE) AS BIGINT))")
 def i02_conformal_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors at a hundred times their size, so that floors differ."""
     p = tb.pairs(spark, sf_dir)
+    p = p.withColumns({c: F.col(c) * 100 for c in ("actual_mw", "model_mw")})
     targets = p.select("series_id", F.to_date("ts").alias("target")).distinct()
     return _out(intervals.conformal_floors(p, targets, tb.calendar(_days(p)), least=3))
 
@@ -483,6 +510,20 @@ def rp02_peak_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(reports.peak_summary(tb.pairs(spark, sf_dir)))
 
 
-@_register()
+_INSIGHTS = f"""mc AS (SELECT *, abs(model_mw - actual_mw) AS m, abs(reference_mw - actual_mw) AS r, CAST(ts AS DATE) AS day FROM pairs),
+    sc AS (SELECT series_id, day, avg(m) AS mm, avg(r) AS rm, sum(m) / sum(actual_mw) * 100 AS mw, sum(r) / sum(actual_mw) * 100 AS rw, sqrt(avg(m * m)) AS mq, sqrt(avg(r * r)) AS rq, max(m) AS miss FROM mc GROUP BY 1, 2),
+    sv AS (SELECT *, CASE WHEN abs(mm - rm) <= {100.0 * SCALE} AND abs(mw - rw) <= 0.2 THEN 'close' WHEN mm < rm AND mw < rw AND mq - rq <= {300.0 * SCALE} THEN 'model_better' WHEN mm > rm AND mw > rw AND mq - rq >= -{300.0 * SCALE} THEN 'reference_better' ELSE 'mixed' END AS verdict FROM sc),
+    bb AS (SELECT series_id, day, {_BAND_SQL} AS band, avg(model_mw - actual_mw) AS bias FROM mc GROUP BY ALL),
+    pk AS (SELECT series_id, day, first(hour(ts) ORDER BY model_mw DESC, ts) - first(hour(ts) ORDER BY actual_mw DESC, ts) AS te, first(model_mw - actual_mw ORDER BY actual_mw DESC, ts) AS pe FROM mc GROUP BY 1, 2),
+    {_SHAPE}, bk AS (SELECT * FROM (SELECT *, model_delta - actual_delta AS de, row_number() OVER (PARTITION BY series_id, day ORDER BY round(abs(model_delta - actual_delta), 6) DESC, to_hour) AS i FROM st WHERE abs(model_delta - actual_delta) >= {reports.LARGE_BREAK * SCALE}) WHERE i = 1),
+    al AS (SELECT series_id, day, CASE verdict WHEN 'model_better' THEN 1 WHEN 'reference_better' THEN 2 ELSE 3 END AS o, CASE verdict WHEN 'model_better' THEN 'model_closer_overall' WHEN 'reference_better' THEN 'reference_closer_overall' ELSE 'mixed_assessment' END AS code, CASE verdict WHEN 'reference_better' THEN 'warning' ELSE 'info' END AS severity, mm - rm AS value FROM sv WHERE verdict <> 'close'
+      UNION ALL SELECT series_id, day, 4, 'morning_ramp_underestimated', 'warning', bias FROM bb WHERE band = 'morning' AND bias <= {-500 * SCALE} UNION ALL SELECT series_id, day, 5, 'morning_ramp_overestimated', 'info', bias FROM bb WHERE band = 'morning' AND bias >= {500 * SCALE}
+      UNION ALL SELECT series_id, day, 6, 'daytime_level_underestimated', 'warning', bias FROM bb WHERE band = 'daytime' AND bias <= {-700 * SCALE} UNION ALL SELECT series_id, day, 7, 'afternoon_plateau_underestimated', 'warning', bias FROM bb WHERE band = 'late_afternoon' AND bias <= {-500 * SCALE}
+      UNION ALL SELECT series_id, day, 8, 'large_single_hour_miss', 'warning', miss FROM sc WHERE miss >= {reports.LARGE_MISS * SCALE} UNION ALL SELECT series_id, day, CASE WHEN de < 0 THEN 9 ELSE 10 END, CASE WHEN de < 0 THEN 'sharp_model_drop_mismatch' ELSE 'sharp_model_rise_mismatch' END, 'warning', de FROM bk WHERE de <> 0
+      UNION ALL SELECT series_id, day, 11, 'peak_timing_miss', 'warning', CAST(te AS DOUBLE) FROM pk WHERE abs(te) >= {reports.PEAK_HOURS} UNION ALL SELECT series_id, day, 12, 'peak_level_underestimated', 'warning', pe FROM pk WHERE pe <= {-reports.PEAK_LEVEL * SCALE} UNION ALL SELECT series_id, day, 13, 'peak_level_overestimated', 'info', pe FROM pk WHERE pe >= {reports.PEAK_LEVEL * SCALE}),
+    ar AS (SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY o) AS rank FROM al)"""
+
+
+@_register(tb.with_ctes("pairs", more=_INSIGHTS) + f"SELECT series_id, CAST(day AS VARCHAR) AS day, rank, code, severity, {_r('value')} FROM ar WHERE rank <= {reports.INSIGHTS}")
 def rp05_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(reports.insights(tb.pairs(spark, sf_dir), scale=SCALE))
