@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import tables as tb
 from .functions import constants as C
 from .functions import scalars as S
-from .operators import diagnostics, features, guards, history
+from .operators import diagnostics, features, guards, history, intraday_rules, joins
 from .queries import _BAND_SQL, _CALENDAR_SQL, _DAYS, _HOURLY_FC, _days, _forecast, _out, _r, _register, _weather_sql
 
 _DAY = "CAST(ts AS DATE)"
@@ -222,8 +222,6 @@ _FOCUS = f"""pe AS (SELECT series_id, {_DAY} AS day, hour(ts) AS hour, actual_mw
 
 @_register(tb.with_ctes("pairs", more=_FOCUS) + "SELECT series_id, CAST(day AS VARCHAR) AS day, hour, CAST(score AS BIGINT) AS score, array_to_string(list_filter([CASE WHEN ke <= 3 THEN 'miss' END, CASE WHEN km = 1 THEN 'model_peak' END, CASE WHEN ka = 1 THEN 'peak' END], lambda x: x IS NOT NULL), ',') AS kinds FROM fr WHERE i <= 4")
 def tk05_focus_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators import joins
-
     p = tb.pairs(spark, sf_dir).select("series_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "actual_mw", "model_mw", F.round(F.abs(F.col("model_mw") - F.col("actual_mw")), 6).alias("e"))
     top = lambda n, c: joins.top_rows(p, ["series_id", "day"], n, F.desc(c), F.col("hour"))
     return _out(diagnostics.focus_hours({"miss": (4, top(3, "e")), "peak": (3, top(1, "actual_mw")), "model_peak": (2, top(1, "model_mw"))}, 4))
@@ -309,3 +307,51 @@ _guard("g11_cap_afternoon_analog", f"CASE WHEN hour BETWEEN 13 AND 16 AND off =
 _guard("g11b_cap_declining_analog", f"CASE WHEN hour BETWEEN 13 AND 20 AND off = 0 AND mm = 0 AND f - raw >= {300 * _G} AND warm <= 0 AND sup <= {200 * _G} AND f - raw > {100 * _G} THEN {100 * _G} - (f - raw) END", lambda r: guards.cap_declining_analog(r, scale=_G))
 _guard("g12_limit_afternoon_fall", f"CASE WHEN hour BETWEEN 13 AND 16 AND off = 0 AND raw - f > {600 * _G} AND warm >= 0.5 AND coalesce(sup >= {-700 * _G}, true) AND coalesce(raw <= um + {900 * _G}, true) THEN raw - f - {300 * _G} END", lambda r: guards.limit_afternoon_fall(r, scale=_G))
 _guard("g13_pull_midday", f"CASE WHEN hour = 12 AND off = 0 AND low <= {-500 * _G} AND f > before + low THEN -least((f - before - low) * 0.75, {900 * _G}) END", lambda r: guards.pull_midday(r, -500 * _G, 0.75, 900 * _G))
+
+
+# Intraday rules ----------------------------------------------------------------------------------------------------------
+
+# Every day is looked at as of another hour, from which on its actuals are hidden.
+_IC_SQL = _GUARD_SQL + f""", ih AS (SELECT g.*, CASE WHEN g.hour < (CAST(day(g.ts) AS INT) * 5) % 20 THEN h.actual_mw END AS a, wf.temp_anomaly_7d AS t7, wf.cooling_degree AS cool, wf.heating_degree AS heat FROM gr g JOIN hourly h ON h.series_id = g.series_id AND h.ts = g.ts LEFT JOIN wf ON wf.series_id = g.series_id AND wf.ts = g.ts),
+    il AS (SELECT series_id, day, list(hour ORDER BY hour) AS hs, list(a ORDER BY hour) AS xs, list(a - f ORDER BY hour) AS rs FROM ih WHERE a IS NOT NULL GROUP BY 1, 2),
+    im AS (SELECT series_id, day, len(hs) AS n, hs[-1] AS lh, list_avg(rs[-3:]) AS mr, coalesce(len(hs) >= 3 AND hs[-1] - hs[-2] = 1 AND hs[-2] - hs[-3] = 1, false) AS ok, xs, rs FROM il),
+    io AS (SELECT i.*, coalesce(m.n, 0) AS n, m.lh, i.hour - coalesce(m.lh, -1) AS lead, m.mr, CASE WHEN ok THEN xs[-3] END AS a1, CASE WHEN ok THEN xs[-2] END AS a2, CASE WHEN ok THEN xs[-1] END AS a3, CASE WHEN ok THEN rs[-3] END AS r1, CASE WHEN ok THEN rs[-2] END AS r2, CASE WHEN ok THEN rs[-1] END AS r3,
+      t.off AS off_then, t.mm AS mm_then, t.um AS um_then, t.lag_24h AS lag_then FROM ih i LEFT JOIN im m ON m.series_id = i.series_id AND m.day = i.day LEFT JOIN ih t ON t.series_id = i.series_id AND t.day = i.day AND t.hour = m.lh)"""
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _guarded(spark, sf_dir)
+    return intraday_rules.observed(rows.withColumn("actual_mw", F.when(F.hour("ts") < (F.dayofmonth("ts") * 5) % 20, F.col("actual_mw"))))
+
+
+def _ic(name: str, value: str, rule) -> None:
+    """Register a rule's value for every hour; ``value`` is its SQL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return _out(_observed(spark, sf_dir).withColumn("shift_mw", F.coalesce(rule(intraday_rules).cast("double"), F.lit(0.0))), "series_id", "ts", "forecast_mw", "n_observed", "lead", "shift_mw")
+
+    query.__name__ = name
+    _register(_IC_SQL + f", iv AS (SELECT *, coalesce(CAST({value} AS DOUBLE), 0) AS shift_mw FROM io) SELECT series_id, {_TS}, {_r('f AS forecast_mw')}, CAST(n AS BIGINT) AS n_observed, CAST(lead AS BIGINT) AS lead, {_r('shift_mw')} FROM iv")(query)
+
+
+_FADE = "greatest(0, 1 - n / 3)"
+_HOT = f"lead > 0 AND mm > 0 AND off = 1 AND lag_24h - um > {1500 * _G}"
+_BIAS = f"(f - (um + {900 * _G} + least({900 * _G}, (greatest(0, coalesce(t7, 0)) * 120 + greatest(0, coalesce(cool, 0)) * 160) * {_G})))"
+_MEAN = "((a3 - a1) / 2)"
+_FLOOR = f"least(a3 - {500 * _G} + least(greatest({_MEAN}, 0) * 0.25, {300 * _G}) - f, {900 * _G})"
+_ic("ic07_day_level_scale", f"CASE WHEN lag_24h - um > {600 * _G} AND -td > 1.5 AND coalesce(heat, 0) <= 7 AND {_FADE} > 0 THEN greatest({-700 * _G}, least({700 * _G}, -(lag_24h - um - {600 * _G}) * 0.25 * least(1, -td / 5) * {_FADE})) END", lambda x: x.day_level_scale(scale=_G))
+_ic("ic08_transition_bias", f"CASE WHEN lh >= 6 AND mr <= {-300 * _G} AND {_HOT} AND {_BIAS} > 0 THEN -least({1200 * _G}, {_BIAS} * 0.55) END", lambda x: x.transition_bias(scale=_G))
+_ic("ic09_transition_prior", f"CASE WHEN coalesce(lh < 6, true) AND {_HOT} AND f > um + {900 * _G} THEN -least({500 * _G}, (f - um - {900 * _G}) * 0.25) END", lambda x: x.transition_prior(scale=_G))
+_ic("ic10_positive_multiplier", f"CASE WHEN coalesce(lh < 6 AND hour BETWEEN 6 AND 11 AND {_HOT} AND f > um + {900 * _G}, false) THEN 0.0 ELSE 1.0 END", lambda x: x.positive_multiplier(scale=_G))
+_ic("ic11_capped_stack", f"CASE WHEN n <= 1 AND lead > 0 AND lag_24h < f - {900 * _G} THEN f - {900 * _G} ELSE lag_24h END - f", lambda x: x.capped_stack(F.col("forecast_mw"), F.col("lag_24h"), scale=_G) - F.col("forecast_mw"))
+_ic(
+    "ic13_recovery_factor",
+    f"CASE WHEN coalesce(mr < 0 AND {_MEAN} > 0 AND greatest(a2 - a1, a3 - a2) >= {1000 * _G} AND off_then = 1 AND mm_then > 0 AND lag_then > um_then AND a3 >= um_then - {1200 * _G} AND r3 < 0 AND r1 < r2 AND r2 < r3, false) THEN CASE WHEN {_MEAN} >= {500 * _G} AND a3 >= um_then THEN 0.2 ELSE 0.4 END ELSE 1.0 END",
+    lambda x: x.recovery_factor(scale=_G),
+)
+_ic(
+    "ic14_slope_factor",
+    f"CASE WHEN coalesce(mr * 0.6 > {300 * _G} AND lh >= 12 AND (a3 - a2 <= {-300 * _G} OR (a2 - a1 - (a3 - a2) >= {500 * _G} AND a3 - a2 <= {400 * _G})) AND least(r1, r2, r3) >= {300 * _G} AND r2 - r3 >= {300 * _G} AND (um_then IS NULL OR a3 >= um_then - {1200 * _G}), false) THEN 0.4 ELSE 1.0 END",
+    lambda x: x.slope_factor(F.col("mean_residual") * 0.6, scale=_G),
+)
+_ic("ic20_continuity_restore", f"CASE WHEN lh >= 10 AND hour BETWEEN 10 AND 17 AND lead BETWEEN 1 AND 2 AND off = 1 AND a3 - a2 >= {-300 * _G} AND {_MEAN} >= {-300 * _G} AND {_FLOOR} >= {100 * _G} THEN {_FLOOR} END", lambda x: x.continuity_restore(F.col("forecast_mw"), scale=_G))
