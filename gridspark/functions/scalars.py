@@ -100,3 +100,37 @@ def decay(rate: float, lead: Column) -> Column:
 def local_timestamp(day: Column, time: Column) -> Column:
     """From 'Y/M/D' and 'H:MM' without zero padding, null where that fails."""
     return F.try_to_timestamp(F.concat_ws(" ", day, time), F.lit("y/M/d H:mm"))
+
+
+def to_local(ts: Column, zone: str = "Asia/Tokyo", source: str = "UTC") -> Column:
+    """A time of one zone as the clock of another shows it."""
+    return F.convert_timezone(F.lit(source), F.lit(zone), ts.cast("timestamp_ntz"))
+
+
+def first_number(*values: Column) -> Column:
+    """The first value that is a finite number."""
+    return F.coalesce(*[finite(v.cast("double")) for v in values])
+
+
+def compact_json(*fields: Column) -> Column:
+    """A JSON object of the fields that are not null."""
+    return F.to_json(F.struct(*fields))
+
+
+def event_id(kind: Column, ts: Column) -> Column:
+    """An event's id: its kind and the minute it begins."""
+    return F.format_string("%s-%s", kind, F.date_format(ts, "yyyyMMddHHmm"))
+
+
+def round_tenth(x: Column) -> Column:
+    """To one decimal; a tie goes to the even digit."""
+    return F.bround(x, 1)
+
+
+def prefixed(values: Column, *prefixes: str) -> Column:
+    """Of a map of named values the first one whose name begins with a prefix, prefixes in their order."""
+    def of(prefix: str) -> Column:
+        held = F.map_filter(values, lambda k, v: k.startswith(prefix) & v.isNotNull())
+        return F.get(F.map_values(held), F.lit(0))
+
+    return F.coalesce(*[of(p) for p in prefixes])

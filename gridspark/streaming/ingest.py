@@ -38,11 +38,13 @@ def upsert_stream(feed: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
         exists = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
         if exists:
-            old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(new.select("date").distinct()), "date", "left_semi")
+            old = spark.read.schema(new.schema).parquet(path).join(new.select("date").distinct(), "date", "left_semi")
             new = old.select(new.columns).unionByName(new)
         staged = f"{checkpoint}/staged/{epoch}"
         best_source(new).write.mode("overwrite").parquet(staged)
         spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        staged_path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        staged_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged_path, True)
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
