@@ -9,7 +9,8 @@ from . import tables as tb
 from .functions import constants as C
 from .functions import scalars as S
 from .operators import diagnostics, features, guards, history, intraday_rules, joins
-from .queries import _BAND_SQL, _CALENDAR_SQL, _DAYS, _HOURLY_FC, _days, _forecast, _out, _r, _register, _weather_sql
+from .plans import replay
+from .queries import _BAND_SQL, _BUNDLE, _CALENDAR_SQL, _DAYS, _HOURLY_FC, _bundle, _days, _forecast, _out, _r, _register, _weather_sql
 
 _DAY = "CAST(ts AS DATE)"
 _TS = "CAST(ts AS VARCHAR) AS ts"
@@ -355,3 +356,35 @@ _ic(
     lambda x: x.slope_factor(F.col("mean_residual") * 0.6, scale=_G),
 )
 _ic("ic20_continuity_restore", f"CASE WHEN lh >= 10 AND hour BETWEEN 10 AND 17 AND lead BETWEEN 1 AND 2 AND off = 1 AND a3 - a2 >= {-300 * _G} AND {_MEAN} >= {-300 * _G} AND {_FLOOR} >= {100 * _G} THEN {_FLOOR} END", lambda x: x.continuity_restore(F.col("forecast_mw"), scale=_G))
+
+
+# Replays and gates -------------------------------------------------------------------------------------------------------
+
+_ORIGINS = f"og AS (SELECT series_id, {_DAY} AS target, min(captured_at) AS captured_at FROM vintages WHERE CAST(captured_at AS DATE) = {_DAY} GROUP BY 1, 2)"
+
+
+@_register(tb.with_ctes("vintages", more=_ORIGINS) + f"SELECT p.series_id, CAST(o.target AS VARCHAR) AS target, CAST(o.captured_at AS VARCHAR) AS captured_at, count(*) AS n, {_r('avg(abs(model_mw - actual_mw)) AS model_mw_mae', 'avg(abs(reference_mw - actual_mw)) AS reference_mw_mae')} FROM pairs p JOIN og o ON o.series_id = p.series_id AND o.target = CAST(p.ts AS DATE) WHERE p.ts > o.captured_at GROUP BY p.series_id, o.target, o.captured_at")
+def ev12_origin_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(replay.origin_replay(tb.pairs(spark, sf_dir), history.first_origins(tb.vintages(spark, sf_dir)), ["model_mw", "reference_mw"]))
+
+
+@_register(_HOURLY_FC[:-1] + f", pairs AS ({tb.CTES['pairs']}), bt AS (SELECT p.series_id, p.ts, p.actual_mw, p.model_mw, f.forecast_mw FROM pairs p JOIN fc f ON f.series_id = p.series_id AND f.ts = p.ts), bm AS (SELECT series_id, count(DISTINCT {_DAY}) AS days, count(*) AS n, avg(abs(forecast_mw - actual_mw)) AS baseline_mae, avg(abs(model_mw - actual_mw)) AS model_mae FROM bt GROUP BY 1) SELECT series_id, days, n, {_r('baseline_mae', 'model_mae', '(baseline_mae - model_mae) / nullif(baseline_mae, 0) * 100 AS improvement_pct')} FROM bm")
+def ev05_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(replay.backtest(tb.pairs(spark, sf_dir), _forecast(spark, sf_dir)[1], "model_mw"))
+
+
+_OLD = _BUNDLE.split("er AS", 1)[1].join(["er2 AS", ""]).replace("model_mw", "reference_mw").replace("FROM er GROUP", "FROM er2 GROUP").replace("mb AS", "mb2 AS")
+_IMPROVED = {c: f"(b.{c} - a.{c}) / nullif(b.{c}, 0) * 100" for c in ("mae", "rmse", "max_error", "shape_mae")}
+_GATE = f"""{_BUNDLE}, {_OLD}, cc AS (SELECT a.series_id, {', '.join(f"max({x}) FILTER (a.regime IS NULL AND a.band IS NULL) AS {c}" for c, x in _IMPROVED.items())}, max(-({_IMPROVED['mae']})) FILTER (NOT (a.regime IS NULL AND a.band IS NULL) AND a.n >= 24) AS worst
+    FROM mb a JOIN mb2 b ON a.series_id = b.series_id AND a.regime IS NOT DISTINCT FROM b.regime AND a.band IS NOT DISTINCT FROM b.band GROUP BY 1)"""
+_MODE = "CASE " + " ".join(f"WHEN coalesce(worst, 0) <= {m['worst']} AND " + " AND ".join(f"{k} >= {v}" for k, v in m.items() if k != "worst") + f" THEN '{name}'" for name, m in replay.MODES.items()) + " ELSE 'rejected' END"
+
+
+@_register(tb.with_ctes("pairs", more=_GATE) + f"SELECT series_id, {_r('mae', 'rmse', 'max_error', 'shape_mae', 'worst')}, {_MODE} AS mode FROM cc")
+def ev09_ev13_replay_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(replay.replay_gate(replay.contract_comparison(_bundle(spark, sf_dir), _bundle(spark, sf_dir, "reference_mw"))))
+
+
+@_register(tb.with_ctes("pairs") + f"SELECT series_id, count(*) AS hours, count(DISTINCT {_DAY}) AS days, avg(abs(model_mw - actual_mw)) <= avg(abs(reference_mw - actual_mw)) AS not_worse, CASE WHEN count(*) < 480 OR count(DISTINCT {_DAY}) < 2 THEN 'collecting' WHEN avg(abs(model_mw - actual_mw)) <= avg(abs(reference_mw - actual_mw)) THEN 'ready' ELSE 'worse' END AS status FROM pairs GROUP BY series_id")
+def ev17_shadow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(replay.shadow_evidence(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", hours=480))
