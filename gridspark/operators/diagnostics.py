@@ -133,3 +133,33 @@ def area_benchmark(rows: DataFrame, served: DataFrame | None = None) -> DataFram
 def first_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Of rows with equal keys the first in ``order``."""
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), order).alias("x")).select("x.*")
+
+
+def band_quality(rows: DataFrame, forecast: str, miss: float = 1000.0) -> DataFrame:
+    """(series_id, day, hours, inside95, inside99, outside95_hours, width95, width99, covered_misses) of a day's bands:
+    hours inside, the hours outside, median half widths, and large errors that the 95 % band still held."""
+    inside = lambda p: F.col("actual_mw").between(F.col(f"p{p}_lower_mw"), F.col(f"p{p}_upper_mw"))
+    width = lambda p: F.median((F.col(f"p{p}_upper_mw") - F.col(f"p{p}_lower_mw")) / 2)
+    outside = F.array_join(F.array_sort(F.collect_list(F.when(~inside(95), F.hour("ts")))), ",")
+    return rows.groupBy("series_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("hours"), F.count_if(inside(95)).alias("inside95"), F.count_if(inside(99)).alias("inside99"), outside.alias("outside95_hours"), width(95).alias("width95"), width(99).alias("width99"), F.count_if((F.abs(F.col(forecast) - F.col("actual_mw")) >= miss) & inside(95)).alias("covered_misses"))
+
+
+def freeze_gaps(rows: DataFrame, published: str, recalculated: str, least: float = 300.0, most: int = 3) -> DataFrame:
+    """(series_id, day, hour, gap, rank): the hours of a day whose published forecast is farthest from the one that would
+    be made now."""
+    gap = F.col(published) - F.col(recalculated)
+    g = rows.select("series_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), gap.alias("gap")).where(F.abs("gap") >= least)
+    return g.withColumn("rank", F.row_number().over(W.partitionBy("series_id", "day").orderBy(F.round(F.abs("gap"), 6).desc(), "hour"))).where(F.col("rank") <= most)
+
+
+def day_context(calendar: DataFrame, run: int = 3, since: int = 1) -> DataFrame:
+    """(day, post_holiday_early_morning): the first days after a long run of days off."""
+    return calendar.select("day", ((F.col("run_before") >= run) & (F.col("days_since_off") <= since)).alias("post_holiday_early_morning"))
+
+
+def regime_ledger(rows: DataFrame, forecast: str, calendar: DataFrame, last: int = 60) -> DataFrame:
+    """(series_id, regime, day, residual, rank): mean residuals of complete days by day type, the latest ``last`` of each."""
+    off = calendar.select("day", F.when(F.col("is_off"), "non_business").otherwise("business").alias("regime"))
+    d = rows.groupBy("series_id", F.to_date("ts").alias("day")).agg(F.avg(F.col("actual_mw") - F.col(forecast)).alias("residual"), F.count_distinct(F.hour("ts")).alias("hours")).where("hours = 24").drop("hours")
+    d = d.join(F.broadcast(off), "day")
+    return d.withColumn("rank", F.row_number().over(W.partitionBy("series_id", "regime").orderBy(F.desc("day")))).where(F.col("rank") <= last)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -63,3 +63,41 @@ def continuity_bias(observed: DataFrame, forecast: DataFrame, hours: int = 3, le
     first = F.first(gap).over(W.partitionBy("series_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
     shift = F.when((F.abs(first) >= least) & (F.col("step") < hours), S.clip(first * share, -cap, cap) * F.pow(F.lit(fade), F.col("step"))).otherwise(0.0)
     return f.withColumns({"shift_c": shift}).withColumn("temp_c", F.col("temp_c") + F.coalesce("shift_c", F.lit(0.0))).drop("slope", "last_c", "last_ts", "step")
+
+
+def enrich_weather(facts: DataFrame, weather: DataFrame, official: str = "observed") -> DataFrame:
+    """Facts with demand take what they lack from ``weather``, and all of it where it is an official observation; each of
+    the columns by itself. Both: (series_id, ts, temp_c, humidity_pct, weather_source)."""
+    new = weather.select("series_id", "ts", *[F.col(c).alias(f"new_{c}") for c in ("temp_c", "humidity_pct", "weather_source")])
+    j = facts.join(new, ["series_id", "ts"], "left")
+    fresh = F.coalesce(F.col("new_weather_source").contains(official), F.lit(False))
+    take = lambda c: F.when(F.col("actual_mw").isNotNull() & (F.col(c).isNull() | fresh), F.col(f"new_{c}")).otherwise(F.col(c))
+    return j.select(*[take(c).alias(c) if c in ("temp_c", "humidity_pct", "weather_source") else F.col(c) for c in facts.columns])
+
+
+def prefer_station(first: Column, last: Column, today: Column, most_days: int = 3, age: int = 2) -> Column:
+    """Whether station data are asked for first: short ranges that end lately."""
+    return (F.datediff(last, first) <= most_days) & (last >= F.date_sub(today, age))
+
+
+def humidity_ladder(forecast: DataFrame, observed: DataFrame, fallback: DataFrame, hours: int = 3) -> DataFrame:
+    """Forecast rows (series_id, ts, temp_c, humidity_pct) with a humidity each, and humidity_source: their own, the last
+    observation for a few hours after it, the fallback's, or the month's constant."""
+    last = observed.where("humidity_pct is not null").groupBy("series_id").agg(F.max("ts").alias("seen_ts"), F.max_by("humidity_pct", "ts").alias("seen"))
+    j = forecast.join(last, "series_id", "left").join(fallback.select("series_id", "ts", F.col("humidity_pct").alias("other")), ["series_id", "ts"], "left")
+    held = F.when((F.col("ts") > F.col("seen_ts")) & (F.col("ts") <= F.col("seen_ts") + F.make_dt_interval(hours=F.lit(hours))), F.col("seen"))
+    steps = (("own", F.col("humidity_pct")), ("forward_fill", held), ("fallback", F.col("other")), ("seasonal", S.seasonal_humidity(F.to_date("ts"))))
+    source = F.coalesce(*[F.when(v.isNotNull(), F.lit(n)) for n, v in steps])
+    return j.select(*[F.coalesce(*[v for _, v in steps]).alias(c) if c == "humidity_pct" else F.col(c) for c in forecast.columns], source.alias("humidity_source"))
+
+
+def median_bias(rows: DataFrame, observed: DataFrame, now: Column, lookback: int = 4, horizon: int = 3, least: float = 1.5, most: float = 2.5, decay: float = 0.6) -> DataFrame:
+    """rows (series_id, ts, actual_mw, temp_c) whose next few hours of today without demand are moved by the median of
+    observed less forecast temperature of the last hours, clipped and fading; small biases are let be."""
+    o = observed.select("series_id", "ts", F.col("temp_c").alias("seen_c")).where((F.col("ts") <= now) & (F.col("ts") >= now - F.make_dt_interval(hours=F.lit(lookback))))
+    bias = rows.join(o, ["series_id", "ts"]).groupBy("series_id").agg(S.clip(F.median(F.col("seen_c") - F.col("temp_c")), -most, most).alias("bias")).where(F.abs("bias") >= least)
+    j = rows.join(F.broadcast(bias), "series_id", "left")
+    ahead = (F.to_date("ts") == F.to_date(now)) & (F.col("ts") > now) & F.col("actual_mw").isNull()
+    step = F.row_number().over(W.partitionBy("series_id", ahead).orderBy("ts")) - 1
+    moved = F.when(ahead & (step < horizon), F.col("temp_c") + F.coalesce("bias", F.lit(0.0)) * F.pow(F.lit(decay), step)).otherwise(F.col("temp_c"))
+    return j.select(*[moved.alias(c) if c == "temp_c" else F.col(c) for c in rows.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import tables as tb
 from .functions import constants as C
 from .functions import scalars as S
-from .operators import diagnostics, features, guards, history, intraday_rules, joins
+from .operators import diagnostics, features, guards, history, intraday_rules, joins, weather_prep
 from .plans import replay
 from .queries import _BAND_SQL, _BUNDLE, _CALENDAR_SQL, _DAYS, _HOURLY_FC, _bundle, _days, _forecast, _out, _r, _register, _weather_sql
 
@@ -388,3 +388,67 @@ def ev09_ev13_replay_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(tb.with_ctes("pairs") + f"SELECT series_id, count(*) AS hours, count(DISTINCT {_DAY}) AS days, avg(abs(model_mw - actual_mw)) <= avg(abs(reference_mw - actual_mw)) AS not_worse, CASE WHEN count(*) < 480 OR count(DISTINCT {_DAY}) < 2 THEN 'collecting' WHEN avg(abs(model_mw - actual_mw)) <= avg(abs(reference_mw - actual_mw)) THEN 'ready' ELSE 'worse' END AS status FROM pairs GROUP BY series_id")
 def ev17_shadow_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(replay.shadow_evidence(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", hours=480))
+
+
+# Weather and more diagnostics --------------------------------------------------------------------------------------------
+
+_FACTS2 = "f2 AS (SELECT series_id, ts, CASE WHEN hour(ts) % 5 <> 0 THEN 1.0::DOUBLE END AS actual_mw, CASE WHEN hour(ts) % 3 <> 0 THEN temp_c END AS temp_c, CASE WHEN hour(ts) % 4 <> 0 THEN humidity_pct END AS humidity_pct, CASE WHEN hour(ts) % 3 <> 0 THEN 'forecast' END AS weather_source FROM weather), w2 AS (SELECT series_id, ts, temp_c + 1 AS nt, humidity_pct + 1 AS nh, CASE WHEN hour(ts) % 2 = 0 THEN 'station_observed' ELSE 'archive' END AS ns FROM weather WHERE hour(ts) < 20)"
+_TAKE = lambda c, n: f"CASE WHEN actual_mw IS NOT NULL AND ({c} IS NULL OR coalesce(contains(ns, 'observed'), false)) THEN {n} ELSE {c} END AS {c}"
+
+
+@_register(tb.with_ctes("weather", more=_FACTS2) + f"SELECT series_id, {_TS}, {_r(_TAKE('temp_c', 'nt'), _TAKE('humidity_pct', 'nh'))}, {_TAKE('weather_source', 'ns')} FROM f2 LEFT JOIN w2 USING (series_id, ts)")
+def j07_w_enrich_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, hour = tb.weather(spark, sf_dir), F.hour("ts")
+    facts = w.select("series_id", "ts", F.when(hour % 5 != 0, 1.0).alias("actual_mw"), F.when(hour % 3 != 0, F.col("temp_c")).alias("temp_c"), F.when(hour % 4 != 0, F.col("humidity_pct")).alias("humidity_pct"), F.when(hour % 3 != 0, "forecast").alias("weather_source"))
+    new = w.where(hour < 20).select("series_id", "ts", (F.col("temp_c") + 1).alias("temp_c"), (F.col("humidity_pct") + 1).alias("humidity_pct"), F.when(hour % 2 == 0, "station_observed").otherwise("archive").alias("weather_source"))
+    return _out(weather_prep.enrich_weather(facts, new), "series_id", "ts", "temp_c", "humidity_pct", "weather_source")
+
+
+_LADDER = f"""fh AS (SELECT series_id, ts, CASE WHEN hour(ts) % 6 = 0 THEN humidity_pct END AS h FROM weather), ob AS (SELECT series_id, max(ts) AS st, arg_max(humidity_pct, ts) AS seen FROM weather WHERE ts <= TIMESTAMP '{_NOW}' GROUP BY 1), fb AS (SELECT series_id, ts, humidity_pct - 2 AS other FROM weather WHERE hour(ts) % 2 = 0),
+    la AS (SELECT fh.*, CASE WHEN ts > st AND ts <= st + INTERVAL 3 HOURS THEN seen END AS held, other, CAST(MAP {{{', '.join(f'{m}: {v}' for m, v in C.SEASONAL_HUMIDITY.items())}}}[month(ts)] AS DOUBLE) AS sea FROM fh LEFT JOIN ob USING (series_id) LEFT JOIN fb USING (series_id, ts))"""
+
+
+@_register(tb.with_ctes("weather", more=_LADDER) + f"SELECT series_id, {_TS}, {_r('coalesce(h, held, other, sea) AS humidity_pct')}, CASE WHEN h IS NOT NULL THEN 'own' WHEN held IS NOT NULL THEN 'forward_fill' WHEN other IS NOT NULL THEN 'fallback' ELSE 'seasonal' END AS humidity_source FROM la")
+def w_humidity_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, hour = tb.weather(spark, sf_dir), F.hour("ts")
+    forecast = w.select("series_id", "ts", "temp_c", F.when(hour % 6 == 0, F.col("humidity_pct")).alias("humidity_pct"))
+    seen = w.where(F.col("ts") <= F.lit(_NOW).cast("timestamp_ntz"))
+    other = w.where(hour % 2 == 0).select("series_id", "ts", (F.col("humidity_pct") - 2).alias("humidity_pct"))
+    return _out(weather_prep.humidity_ladder(forecast, seen, other), "series_id", "ts", "humidity_pct", "humidity_source")
+
+
+_MEDIAN = f"""wt AS (SELECT series_id, ts, temp_c + hour(ts) % 3 AS seen_c, temp_c FROM weather), mb3 AS (SELECT series_id, greatest(-2.5, least(2.5, median(seen_c - temp_c))) AS bias FROM wt WHERE ts <= TIMESTAMP '{_NOW}' AND ts >= TIMESTAMP '{_NOW}' - INTERVAL 40 HOURS GROUP BY 1 HAVING abs(greatest(-2.5, least(2.5, median(seen_c - temp_c)))) >= 0.5),
+    wa AS (SELECT wt.*, bias, ts > TIMESTAMP '{_NOW}' AND {_DAY} = DATE '{_NOW[:10]}' AS ahead FROM wt LEFT JOIN mb3 USING (series_id)), ws AS (SELECT *, row_number() OVER (PARTITION BY series_id, ahead ORDER BY ts) - 1 AS step FROM wa)"""
+
+
+@_register(tb.with_ctes("weather", more=_MEDIAN) + f"SELECT series_id, {_TS}, {_r('CASE WHEN ahead AND step < 3 THEN temp_c + coalesce(bias, 0) * pow(0.6, step) ELSE temp_c END AS temp_c')} FROM ws")
+def w_bias2_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, now = tb.weather(spark, sf_dir), F.lit(_NOW).cast("timestamp_ntz")
+    rows = w.select("series_id", "ts", F.when(F.col("ts") <= now, 1.0).alias("actual_mw"), "temp_c")
+    return _out(weather_prep.median_bias(rows, w.withColumn("temp_c", F.col("temp_c") + F.hour("ts") % 3), now, lookback=40, least=0.5), "series_id", "ts", "temp_c")
+
+
+@_register(_HOURLY_FC[:-1] + f", bq AS (SELECT h.*, fc.* EXCLUDE (series_id, ts) FROM hourly h JOIN fc USING (series_id, ts)) SELECT series_id, CAST({_DAY} AS VARCHAR) AS day, count(*) AS hours, count(*) FILTER (actual_mw BETWEEN p95_lower_mw AND p95_upper_mw) AS inside95, count(*) FILTER (actual_mw BETWEEN p99_lower_mw AND p99_upper_mw) AS inside99, coalesce(string_agg(hour(ts)::VARCHAR, ',' ORDER BY hour(ts)) FILTER (NOT actual_mw BETWEEN p95_lower_mw AND p95_upper_mw), '') AS outside95_hours, {_r('median((p95_upper_mw - p95_lower_mw) / 2) AS width95', 'median((p99_upper_mw - p99_lower_mw) / 2) AS width99')}, count(*) FILTER (abs(forecast_mw - actual_mw) >= 10 AND actual_mw BETWEEN p95_lower_mw AND p95_upper_mw) AS covered_misses FROM bq GROUP BY series_id, {_DAY}")
+def rp16_band_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, f = _forecast(spark, sf_dir)
+    return _out(diagnostics.band_quality(h.join(f, ["series_id", "ts"]), "forecast_mw", 10.0))
+
+
+@_register(tb.with_ctes("pairs", more=f"fg AS (SELECT series_id, {_DAY} AS day, hour(ts) AS hour, model_mw - reference_mw AS gap, row_number() OVER (PARTITION BY series_id, {_DAY} ORDER BY round(abs(model_mw - reference_mw), 6) DESC, ts) AS rank FROM pairs WHERE abs(model_mw - reference_mw) >= 5)") + f"SELECT series_id, CAST(day AS VARCHAR) AS day, hour, {_r('gap')}, rank FROM fg WHERE rank <= 3")
+def rp12_freeze_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(diagnostics.freeze_gaps(tb.pairs(spark, sf_dir), "model_mw", "reference_mw", 5.0))
+
+
+@_register(f"WITH {tb.calendar_ctes('SELECT CAST(o_orderdate AS DATE) AS day FROM orders')} SELECT CAST(day AS VARCHAR) AS day, run_before >= 3 AND days_since_off <= 1 AS post_holiday_early_morning FROM calendar")
+def an07_day_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(diagnostics.day_context(tb.calendar(tb.daily(spark, sf_dir))))
+
+
+_LEDGER = f"""{tb.calendar_ctes('SELECT CAST(ts AS DATE) AS day FROM pairs')}, rl AS (SELECT series_id, CAST(ts AS DATE) AS day, avg(actual_mw - model_mw) AS residual FROM pairs GROUP BY 1, 2 HAVING count(DISTINCT hour(ts)) = 24),
+    rg AS (SELECT rl.*, CASE WHEN c.is_off THEN 'non_business' ELSE 'business' END AS regime FROM rl JOIN calendar c ON c.day = rl.day), rr2 AS (SELECT *, row_number() OVER (PARTITION BY series_id, regime ORDER BY day DESC) AS rank FROM rg)"""
+
+
+@_register(tb.with_ctes("pairs", more=_LEDGER) + f"SELECT series_id, regime, CAST(day AS VARCHAR) AS day, {_r('residual')}, rank FROM rr2 WHERE rank <= 5")
+def st12_regime_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tb.pairs(spark, sf_dir)
+    return _out(diagnostics.regime_ledger(p, "model_mw", tb.calendar(_days(p)), 5))
