@@ -201,8 +201,7 @@ def train(bags: Bags, noise: float, bits: int = SLOT_BITS, seed: int = 7) -> Mod
             weights -= rate * grad_w / np.sqrt(g_weights)
             bias -= rate * grad_b / np.sqrt(g_bias)
     model = Model(np.where(used, _say(table, weights), 0).astype(np.float32), float(bias[1] - bias[0]), bits)
-    if n:
-        model.bias = -_cut(_sums(model, bags), bags.labels)
+    model.bias = -_cut(_sums(model, bags), bags.labels) if n else -1.0
     return model
 
 
@@ -256,7 +255,7 @@ def _logits(texts: pa.Array, model: Model) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
     """Train on a bounded sample of labelled rows outside the held-out fold: at most ``sample_rows`` of each class.
-    Without any usable label the model is that of untrained weights; null texts train as empty ones. The sample's bags
+    Without any usable label nothing is called toxic; null texts train as empty ones. The sample's bags
     meet in one task, a few kilobytes for each text whatever the size of the table; the driver gets the model."""
     prepare_tasks(docs.sparkSession)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
