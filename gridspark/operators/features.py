@@ -22,16 +22,24 @@ def _clock() -> Column:
     return (F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")).cast("long")
 
 
-def lag_hours(value: Column, hours: int) -> Column:
+#: Hours of a stretch of a series that one task holds for lags by the clock.
+STRETCH_HOURS = 4096
+
+
+def lag_hours(value: Column, hours: int, *by: str) -> Column:
     """The value exactly ``hours`` before; needs the column ``clock``. One row for each series and hour."""
-    at = W.partitionBy("series_id").orderBy("clock").rangeBetween(-hours, -hours)
+    at = W.partitionBy("series_id", *by).orderBy("clock").rangeBetween(-hours, -hours)
     return F.first(value).over(at)
 
 
 def lag_features(hourly: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
-    """hourly plus clock and lag_<n>h columns, and hour-to-hour deltas of today, yesterday and last week."""
-    out = hourly.withColumn("clock", _clock())
-    out = out.select("*", *[lag_hours(F.col("actual_mw"), n).alias(f"lag_{n}h") for n in lags])
+    """hourly plus clock and lag_<n>h columns, and hour-to-hour deltas of today, yesterday and last week.
+
+    A series is cut into stretches, and the hours that the next stretch looks back to stand in both, so that a long
+    history is many groups."""
+    stretch, late = F.floor(F.col("clock") / STRETCH_HOURS), F.pmod(F.col("clock"), F.lit(STRETCH_HOURS)) >= STRETCH_HOURS - max(lags)
+    out = hourly.withColumn("clock", _clock()).withColumn("stretch", F.explode(F.when(late, F.array(stretch, stretch + 1)).otherwise(F.array(stretch))))
+    out = out.select("*", *[lag_hours(F.col("actual_mw"), n, "stretch").alias(f"lag_{n}h") for n in lags]).where(F.col("stretch") == stretch).drop("stretch")
     return out.withColumns({"hourly_delta": F.col("actual_mw") - F.col("lag_1h"), "lag_24h_hourly_delta": F.col("lag_24h") - F.col("lag_25h"), "lag_168h_hourly_delta": F.col("lag_168h") - F.col("lag_169h")})
 
 

@@ -172,3 +172,14 @@ def test_retention_and_vintages(spark):
     ledger = frame(spark, [("a", DAY, hours(2)[1])], "series_id string, captured_at timestamp_ntz, ts timestamp_ntz")
     new = frame(spark, [("a", DAY, hours(3)[2]), ("a", hours(2)[1], hours(3)[2]), ("a", hours(4)[3], hours(3)[2])], "series_id string, captured_at timestamp_ntz, ts timestamp_ntz")
     assert [r.captured_at for r in sinks.append_vintages(ledger, new).collect()] == [hours(2)[1]]
+
+
+def test_lags_across_stretches(spark, monkeypatch):
+    """Cutting a series into stretches changes nothing, gaps included."""
+    from gridspark.operators import features
+
+    rows = [("a", DAY + dt.timedelta(hours=h), float(h)) for h in range(1500) if h % 97 and not 500 <= h < 530]
+    hourly = frame(spark, rows, "series_id string, ts timestamp_ntz, actual_mw double")
+    whole = sorted(features.lag_features(hourly).collect(), key=lambda r: r.ts)
+    monkeypatch.setattr(features, "STRETCH_HOURS", 400)
+    assert sorted(features.lag_features(hourly).collect(), key=lambda r: r.ts) == whole and len(whole) == len(rows)
