@@ -100,3 +100,48 @@ def continuity_restore(before: Column, from_hour: int = 10, hours: tuple[int, in
     lift = F.least(floor - before, F.lit(most * scale))
     on = (c("last_hour") >= from_hour) & c("hour").between(*hours) & c("lead").between(1, leads) & (c("is_non_business_day") == 1) & (latest >= slope_least * scale) & (mean >= slope_least * scale) & (lift >= least * scale)
     return F.when(on, lift)
+
+
+def _support() -> Column:
+    return F.greatest("lag_24h_hourly_delta", "recent_same_business_type_delta_mean")
+
+
+def base_adjustment(share: float = 0.6, most: float = 1200.0, scale: float = 1.0) -> Column:
+    """The correction that a day's last residuals ask for before it fades with the lead."""
+    return S.clip(F.col("mean_residual") * share, -most * scale, most * scale)
+
+
+def faded(base: Column, decay: float = 0.92) -> Column:
+    return base * F.pow(F.lit(decay), F.col("lead") - 1)
+
+
+def _positive_damping(base: Column, off: int, seen: tuple[int, int], hours: tuple[int, int], leads: tuple[int, int], base_least: float, weak: float, factor: float, least: float, scale: float) -> Column:
+    """A positive correction without the support of yesterday's or the recent change keeps a share of itself."""
+    gone = faded(base) * (1 - factor)
+    day = F.coalesce(F.col("is_non_business_day") == 1, F.lit(False)) == bool(off)
+    on = day & (base >= base_least * scale) & F.col("last_hour").between(*seen) & F.col("hour").between(*hours) & F.col("lead").between(*leads) & (_support() <= weak * scale) & (gone >= least * scale)
+    return F.when(on, -gone)
+
+
+def morning_damping(base: Column, ramp: float = 1000.0, scale: float = 1.0) -> Column:
+    """Working mornings with a steep ramp so far: hours 10 to 13, two to four ahead."""
+    steep = F.greatest(F.col("a2") - F.col("a1"), F.col("a3") - F.col("a2")) >= ramp * scale
+    return F.when(steep, _positive_damping(base, 0, (7, 10), (10, 13), (2, 4), 300.0, 1800.0, 0.4, 100.0, scale))
+
+
+def afternoon_damping(base: Column, scale: float = 1.0) -> Column:
+    """Working days from 13 h on, up to six hours ahead."""
+    return _positive_damping(base, 0, (11, 20), (13, 23), (1, 6), 250.0, 900.0, 0.4, 100.0, scale)
+
+
+def evening_damping(base: Column, scale: float = 1.0) -> Column:
+    """Evenings (17 to 20) of off days."""
+    return _positive_damping(base, 1, (12, 23), (17, 20), (2, 6), 350.0, 600.0, 0.45, 120.0, scale)
+
+
+def evening_negative_damping(base: Column, base_least: float = 500.0, latest: float = 600.0, mean: float = 300.0, factor: float = 0.45, least: float = 120.0, scale: float = 1.0) -> Column:
+    """Evenings (18 to 20) of off days whose demand rises: a negative correction keeps a share where yesterday or the
+    recent mean does not fall."""
+    c, gone = F.col, -faded(base) * (1 - factor)
+    on = (c("is_non_business_day") == 1) & (base <= -base_least * scale) & (c("last_hour") >= 16) & c("hour").between(18, 20) & c("lead").between(1, 3) & (c("a3") - c("a2") >= latest * scale) & ((c("a3") - c("a1")) / 2 >= mean * scale) & (_support() >= 0) & (gone >= least * scale)
+    return F.when(on, gone)

@@ -452,3 +452,21 @@ _LEDGER = f"""{tb.calendar_ctes('SELECT CAST(ts AS DATE) AS day FROM pairs')}, r
 def st12_regime_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tb.pairs(spark, sf_dir)
     return _out(diagnostics.regime_ledger(p, "model_mw", tb.calendar(_days(p)), 5))
+
+
+_BASE = f"greatest({-1200 * _G}, least({1200 * _G}, mr * 0.6))"
+_FADED = f"({_BASE} * pow(0.92, lead - 1))"
+
+
+def _damped(off: str, seen: str, hours: str, leads: str, base: float, weak: float, factor: float, least: float, more: str = "true") -> str:
+    return f"CASE WHEN mr IS NOT NULL AND {more} AND {off} AND {_BASE} >= {base * _G} AND lh BETWEEN {seen} AND hour BETWEEN {hours} AND lead BETWEEN {leads} AND sup <= {weak * _G} AND {_FADED} * (1 - {factor}) >= {least * _G} THEN -({_FADED} * (1 - {factor})) END"
+
+
+_ic("ic15_morning_damping", _damped("off <> 1", "7 AND 10", "10 AND 13", "2 AND 4", 300, 1800, 0.4, 100, f"greatest(a2 - a1, a3 - a2) >= {1000 * _G}"), lambda x: x.morning_damping(x.base_adjustment(scale=_G), scale=_G))
+_ic("ic16_afternoon_damping", _damped("off <> 1", "11 AND 20", "13 AND 23", "1 AND 6", 250, 900, 0.4, 100), lambda x: x.afternoon_damping(x.base_adjustment(scale=_G), scale=_G))
+_ic("ic17_evening_damping", _damped("off = 1", "12 AND 23", "17 AND 20", "2 AND 6", 350, 600, 0.45, 120), lambda x: x.evening_damping(x.base_adjustment(scale=_G), scale=_G))
+_ic(
+    "ic18_evening_negative_damping",
+    f"CASE WHEN mr IS NOT NULL AND off = 1 AND {_BASE} <= {-500 * _G} AND lh >= 16 AND hour BETWEEN 18 AND 20 AND lead BETWEEN 1 AND 3 AND a3 - a2 >= {600 * _G} AND {_MEAN} >= {300 * _G} AND sup >= 0 AND -{_FADED} * 0.55 >= {120 * _G} THEN -{_FADED} * 0.55 END",
+    lambda x: x.evening_negative_damping(x.base_adjustment(scale=_G), scale=_G),
+)
