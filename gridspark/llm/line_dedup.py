@@ -65,19 +65,22 @@ def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITE
     lines = materialize(_lines(docs, site, "text"), "lines")
     boilerplate = small_or_shuffled(boilerplate_lines(lines, sites))
     gone = lines.join(boilerplate, "line_hash", "left_semi").select(*_KEY, "at").distinct().groupBy(*_KEY).agg(F.sort_array(F.collect_list("at")).alias("gone"))
-    k1, k2, at, parts = free_names(docs, *_KEY, "gone", "lines")
+    k1, k2, at, new = free_names(docs, *_KEY, "gone", "new")
     gone = materialize(gone.toDF(k1, k2, at), "removed-lines")
     discard(lines)
-    # The join stands between the split and its uses, so a text is split once. Unchanged texts are put together again.
-    keys = dict(zip((k1, k2), _keys("text"), strict=True))
-    out = docs.withColumns({**keys, parts: F.split("text", "\n")}).drop("text").join(small_or_shuffled(gone), [k1, k2], "left")
-    before, after = F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(parts)))
-    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice(parts, a + 2, b - a - 1)))
-    apply = F.col(at).isNotNull() & F.exists(kept, lambda line: F.trim(line) != "")
-    text = F.array_join(F.when(apply, kept).otherwise(F.col(parts)), "\n")
-    removed = F.when(apply, F.size(at).cast("long")).otherwise(F.lit(0))
-    counts = [F.coalesce(F.when(F.col(parts).isNotNull(), F.size(parts).cast("long")), F.lit(0)).alias("n_lines"), removed.alias("n_removed_lines")]
-    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed_lines")], *counts)
+    out = docs.withColumns(dict(zip((k1, k2), _keys("text"), strict=True))).join(small_or_shuffled(gone), [k1, k2], "left")
+
+    def kept(parts: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(parts)))
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(parts, a + 2, b - a - 1)))
+
+    # Only texts that lose lines are split, once; the others are handed on as they are.
+    left = F.transform(F.transform(F.array(F.split("text", "\n")), kept), lambda k: F.when(F.exists(k, lambda line: F.trim(line) != ""), F.array_join(k, "\n")))[0]
+    out = out.withColumn(new, F.when(F.col(at).isNotNull(), left))
+    n_lines = F.coalesce((F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long"), F.lit(0))
+    removed = F.when(F.col(new).isNotNull(), F.size(at).cast("long")).otherwise(F.lit(0))
+    counts = [n_lines.alias("n_lines"), removed.alias("n_removed_lines")]
+    return out.select(*[F.coalesce(F.col(new), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed_lines")], *counts)
 
 
 def sql(sites: int = SITES) -> str:
