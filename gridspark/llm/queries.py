@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, oracles, quality_rules, secret_scan, substring_dedup, toxicity, warc_revisits
+from . import decontaminate, license_scan, line_dedup, mixing, ngram_join, oracles, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, vector_codes, warc_revisits, whitening
 from .storage import read_table
 
 
@@ -62,6 +62,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.with_label_errors(*vector_codes.compress(read_table(spark, sf_dir, "embeddings")))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_model.scores(docs, quality_model.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -73,6 +86,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_revisits": warc_revisits.sql(),
@@ -81,4 +97,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": line_dedup.sql(),
     "op9_benchmark_decontamination": oracles.CONTAMINATION,
     "op10_source_mixing": mixing.sql(),
+    "op12_vector_codes": vector_codes.sql(),
 }
