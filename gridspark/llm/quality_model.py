@@ -22,8 +22,9 @@ from .storage import prepare_tasks
 
 PASSAGE_WORDS = 64
 #: Bound of the training sample: so many labelled rows of quality 0, 1, the first by a hash of their ids, and so many
-#: passages in all: documents beyond that, in the order of a hash of their texts, are not learned from.
-SAMPLE_ROWS, SAMPLE_PASSAGES = (2000, 4000), 200_000
+#: passages in all: documents beyond that, in the order of a hash of their texts, are not learned from. Nor are those
+#: of more passages than the last number; they are scored as all others.
+SAMPLE_ROWS, SAMPLE_PASSAGES, LEARNED_PASSAGES = (2000, 4000), 200_000, 500
 #: Word windows whose repetition inside the text counts.
 WINDOW = 5
 HIDDEN, GATE = 24, 12
@@ -137,15 +138,18 @@ def passages(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: (label, hash of the text, its passages one after the other) of each text."""
+    """Task: (label, hash of the text, its passages one after the other) of each text that is not too long."""
     for batch in batches:
-        bags, prints = [], []
+        bags, prints, labels, at = [], [], batch.column("label").to_pylist(), 0
+        kept = []
         for _, _, raw, off in ts.slices(batch.column("text")):
             found, ptr, _ = passages(raw, off)
-            for d in range(len(off) - 1):
+            for d in np.flatnonzero(np.diff(ptr) <= LEARNED_PASSAGES):
                 bags.append(found[ptr[d] : ptr[d + 1]].ravel())
                 prints.append(xxhash.xxh64_intdigest(raw[off[d] : off[d + 1]].tobytes()) >> 1)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(prints, pa.int64()), pa.array(bags, pa.list_(pa.float32()))], schema=_BAG)
+                kept.append(labels[at + d])
+            at += len(off) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int32()), pa.array(prints, pa.int64()), pa.array(bags, pa.list_(pa.float32()))], schema=_BAG)
 
 
 def _sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:

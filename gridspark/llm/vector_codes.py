@@ -125,11 +125,10 @@ def assign(tree: Tree, weights: np.ndarray, book: np.ndarray) -> tuple[np.ndarra
     weighted = np.hstack([weights[:, None], tree.points * weights[:, None]])
     running = np.vstack([np.zeros((1, weighted.shape[1]), np.int64), np.cumsum(weighted, 0)])
     code, total = np.empty(len(tree.points), np.int64), np.zeros((len(book), weighted.shape[1]), np.int64)
-    single, at, compared = [np.empty(0, np.int64)], np.zeros(1, np.int64), 0
+    single, at, compared = [np.empty(0, np.int64)], np.zeros(1, np.int64), 1
+    away = _distances(tree.points[tree.nodes[at, 0]], entries)
     while len(at):
         centre, start, end, child, past = tree.nodes[at].T
-        away = _distances(tree.points[centre], entries)
-        compared += len(at)
         best = away.argmin(1)
         if len(entries) > 1:
             two = np.sqrt(np.partition(away, 1, axis=1)[:, :2].astype(np.float64))
@@ -142,8 +141,14 @@ def assign(tree: Tree, weights: np.ndarray, book: np.ndarray) -> tuple[np.ndarra
         np.add.at(total, given, running[end[whole]] - running[start[whole]])
         leaf = ~whole & (child == past)
         single.append(_ranges(start[leaf], end[leaf]))
-        inner = ~whole & (child < past)
+        inner = np.flatnonzero(~whole & (child < past))
         at = _ranges(child[inner], past[inner])
+        of = np.repeat(inner, past[inner] - child[inner])
+        own = tree.nodes[at, 0] == centre[of]  # a node's last child has its centre: the distances are known
+        known, away = away, np.empty((len(at), len(entries)), away.dtype)
+        away[own] = known[of[own]]
+        away[~own] = _distances(tree.points[tree.nodes[at[~own], 0]], entries)
+        compared += int((~own).sum())
     alone = np.concatenate(single)
     if len(alone):
         given = first[_distances(tree.points[alone], entries).argmin(1)]
