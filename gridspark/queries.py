@@ -16,7 +16,7 @@ from .sources import files, sinks
 
 DIGITS = 4
 #: Added before rounding: means of a few cents end in a 5 at the digit after the last, where engines differ.
-OFF_TIES = 1.37e-8
+OFF_TIES = tb.OFF_TIES
 #: Alert limits at the scale of these tables: MW and percent for a warning and a critical breach, MW for drift.
 BREACH, DRIFT = ((3.0, 1.0), (5.0, 2.0)), 8.0
 #: And of the reports' limits in MW.
