@@ -257,34 +257,43 @@ def ev15_j19_area_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Guards ----------------------------------------------------------------------------------------------------------------
 
-#: Limits of the rules in MW at the scale of these tables.
-_G = 0.002
+#: Rules have their own limits in MW; the tables are derived demand.
+_G = 1
 _GUARD_CTES = f"""{_CALENDAR_SQL}, {_weather_sql(True)},
     gj AS (SELECT cm.series_id, cm.ts, cm.day, CAST(cm.hour AS INT) AS hour, cm.off, cm.mm, cm.lag_24h, cm.lag_24h_hourly_delta AS ld, cm.recent_same_business_type_mean AS um, cm.recent_same_business_type_delta_mean AS ud, cm.consec_holiday_len AS len, cm.days_since_holiday_end AS since,
-      wf.temp_delta_24h AS td, wf.cooling_delta_24h AS cd, wf.temp_anomaly_doy AS ta, cm.roll_4w_mean AS raw, (cm.roll_4w_mean + cm.lag_24h) / 2 AS f,
+      cm.actual_mw AS act, c7.is_off AS off7, wf.temp_anomaly_7d AS t7, wf.discomfort_delta_24h AS dd, last_value(cm.hourly_delta IGNORE NULLS) OVER d AS sd, list(cm.hourly_delta) FILTER (cm.hourly_delta IS NOT NULL) OVER d AS dl, list(cm.hourly_delta) FILTER (cm.hourly_delta IS NOT NULL) OVER k AS kl, wf.temp_delta_24h AS td, wf.cooling_delta_24h AS cd, wf.temp_anomaly_doy AS ta, cm.roll_4w_mean AS raw, (cm.roll_4w_mean + cm.lag_24h) / 2 AS f,
       last_value(cm.hour IGNORE NULLS) OVER d AS seen, last_value(cm.actual_mw IGNORE NULLS) OVER d AS seen_mw
-      FROM cm LEFT JOIN wf ON wf.series_id = cm.series_id AND wf.ts = cm.ts WINDOW d AS (PARTITION BY cm.series_id, cm.day ORDER BY cm.hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    gx AS (SELECT *, greatest(ld, ud) AS sup, least(ld, ud) AS low, greatest(0, coalesce(td, 0), coalesce(cd, 0)) AS warm, greatest(0, coalesce(td, 0), coalesce(cd, 0), coalesce(ta, 0)) AS warmer FROM gj WHERE raw IS NOT NULL AND lag_24h IS NOT NULL),
+      FROM cm LEFT JOIN wf ON wf.series_id = cm.series_id AND wf.ts = cm.ts LEFT JOIN calendar c7 ON c7.day = cm.day - 7 WINDOW d AS (PARTITION BY cm.series_id, cm.day ORDER BY cm.hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), k AS (PARTITION BY cm.series_id, cm.hour, cm.off ORDER BY cm.ts ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
+    gx AS (SELECT *, coalesce(seen >= 10 AND (sd <= -300 OR list_avg(dl[-2:]) <= -300), false) AS softer, CASE WHEN len(kl) >= 3 THEN list_aggregate(kl, 'quantile_cont', 0.25) ELSE list_avg(kl) END AS q25, greatest(ld, ud) AS sup, least(ld, ud) AS low, greatest(0, coalesce(td, 0), coalesce(cd, 0)) AS warm, greatest(0, coalesce(td, 0), coalesce(cd, 0), coalesce(ta, 0)) AS warmer FROM gj WHERE raw IS NOT NULL AND lag_24h IS NOT NULL),
     gr AS (SELECT g.*, lag(g.f) OVER (PARTITION BY g.series_id, g.day ORDER BY g.ts) AS before, s.f AS then_f FROM gx g LEFT JOIN gx s ON s.series_id = g.series_id AND s.day = g.day AND s.hour = g.seen)"""
-_GUARD_SQL = tb.with_ctes("hourly", "weather", more=_GUARD_CTES)
+_GUARD_SQL = "WITH " + tb.DEMAND_CTES + ", " + _GUARD_CTES.replace(tb.calendar_ctes(_DAYS) + ",", "")
 
 
 def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of every hour, the mean of its slot as raw forecast, and that mixed with yesterday as forecast."""
-    h = tb.hourly(spark, sf_dir)
-    rows = features.build_features(h, tb.weather(spark, sf_dir), tb.calendar(_days(h)))
-    return rows.withColumns({"raw_mw": F.col("roll_4w_mean"), "forecast_mw": (F.col("roll_4w_mean") + F.col("lag_24h")) / 2}).where("roll_4w_mean is not null and lag_24h is not null")
+    """Features of every hour of demand, the mean of its slot as raw forecast, and that mixed with yesterday as
+    forecast."""
+    h = tb.demand(spark, sf_dir)
+    rows = features.build_features(h, tb.weather(spark, sf_dir), tb.calendar(_days(h), tb.DEMAND_HOLIDAYS))
+    return tb.written(rows.withColumns({"raw_mw": F.col("roll_4w_mean"), "forecast_mw": (F.col("roll_4w_mean") + F.col("lag_24h")) / 2}).where("roll_4w_mean is not null and lag_24h is not null"), "guard-rows")
+
 
+_SHIFTS: dict[str, str] = {}
 
-def _guard(name: str, shift: str, rule) -> None:
-    """Register ``rule``, with ``shift`` as the SQL of its move."""
+
+def _guard(name: str, shift: str, rule, over_raw: float | None = None) -> None:
+    """Register ``rule``, with ``shift`` as the SQL of its move; ``over_raw``: over the raw forecast and so
+    many MW more, which stands over yesterday and the usual level where the mixed one does not."""
+    _SHIFTS[name] = shift
+    over = f"(SELECT * REPLACE (raw + {over_raw} AS f) FROM gr)" if over_raw is not None else "gr"
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         before = _guarded(spark, sf_dir)
+        if over_raw is not None:
+            before = before.withColumn("forecast_mw", F.col("raw_mw") + over_raw)
         return _out(rule(before.withColumn("before_mw", F.col("forecast_mw"))).withColumn("shift_mw", F.col("forecast_mw") - F.col("before_mw")), "series_id", "ts", "raw_mw", "forecast_mw", "shift_mw")
 
     query.__name__ = name
-    _register(_GUARD_SQL + f", gs AS (SELECT series_id, ts, raw AS raw_mw, f, coalesce(CAST({shift} AS DOUBLE), 0) AS shift_mw FROM gr) " + f"SELECT series_id, {_TS}, {_r('raw_mw', 'f + shift_mw AS forecast_mw', 'shift_mw')} FROM gs")(query)
+    _register(_GUARD_SQL + f", gs AS (SELECT series_id, ts, raw AS raw_mw, f, coalesce(CAST({shift} AS DOUBLE), 0) AS shift_mw FROM {over}) " + f"SELECT series_id, {_TS}, {_r('raw_mw', 'f + shift_mw AS forecast_mw', 'shift_mw')} FROM gs")(query)
 
 
 _RETURN = "off = 0 AND mm > 0"
@@ -292,28 +301,114 @@ _SHARE = "CASE hour " + " ".join(f"WHEN {h} THEN {s}" for h, s in guards.RETURN_
 _STRONG = f"coalesce(hour >= 9 AND sup >= {700 * _G}, false)"
 _OVER = f"(f - (um + {500 * _G} + least(warmer * {100 * _G}, {300 * _G}) + CASE WHEN {_STRONG} THEN least(sup * 0.35, {650 * _G}) ELSE 0 END))"
 _KEEP = f"({300 * _G} + least(warm * {120 * _G}, {300 * _G}))"
+_HEAT = "((coalesce(len >= 3 AND since <= 1, false) OR coalesce(off = 0 AND off7, false)) AND coalesce(t7 >= 2, false))"
+_WARMDAY = "coalesce(off = 0 AND ta >= 1, false)"
+_LATE = f"({_WARMDAY} AND hour BETWEEN 15 AND 19 AND coalesce(ud <= 0 AND ld <= 500, false))"
+_DAYTIME = f"""CASE WHEN hour BETWEEN 10 AND 19 AND ({_HEAT} OR {_WARMDAY}) THEN least(CASE WHEN f < raw AND NOT {_LATE} THEN raw ELSE f END + least(greatest(CASE WHEN {_HEAT} THEN 300 END, CASE WHEN {_WARMDAY} AND f <= raw THEN CASE WHEN {_LATE} THEN 0 ELSE 250 END END, 0), 900),
+    CASE WHEN NOT coalesce(mm > 0, false) THEN lag_24h + 2500 + least(warm * 1200, 5000) END) - f END"""
+
+
+def _week_before(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows plus lag_168h_off: whether the day a week before was off."""
+    cal = tb.calendar(_days(tb.demand(spark, sf_dir)), tb.DEMAND_HOLIDAYS)
+    before = cal.select(F.date_add("day", 7).alias("day"), F.col("is_off").cast("int").alias("lag_168h_off"))
+    return rows.withColumn("day", F.to_date("ts")).join(F.broadcast(before), "day", "left")
+
+
 _guard("g02_block_post_holiday_rise", "CASE WHEN hour BETWEEN 1 AND 6 AND len >= 3 AND since <= 1 AND f > raw THEN raw - f END", guards.block_post_holiday_rise)
 _guard("g03_block_hot_day_fall", "CASE WHEN hour BETWEEN 10 AND 19 AND ta >= 1 AND raw > f THEN raw - f END", guards.block_hot_day_fall)
-_guard("g04_cap_over_yesterday", f"CASE WHEN hour BETWEEN 10 AND 19 AND ta >= 1 AND mm = 0 AND f > lag_24h + {2500 * _G} + least({1200 * _G} * greatest(0, coalesce(td, 0)), {5000 * _G}) THEN lag_24h + {2500 * _G} + least({1200 * _G} * greatest(0, coalesce(td, 0)), {5000 * _G}) - f END", lambda r: guards.cap_over_yesterday(r, 2500 * _G, 1200 * _G, 5000 * _G))
+_guard("g04_cap_over_yesterday", f"CASE WHEN hour BETWEEN 10 AND 19 AND ta >= 1 AND mm = 0 AND f > lag_24h + {2500 * _G} + least({1200 * _G} * greatest(0, coalesce(td, 0)), {5000 * _G}) THEN lag_24h + {2500 * _G} + least({1200 * _G} * greatest(0, coalesce(td, 0)), {5000 * _G}) - f END", lambda r: guards.cap_over_yesterday(r, 2500 * _G, 1200 * _G, 5000 * _G), over_raw=0.0)
 _guard("g05_warm_day_offset", f"CASE WHEN hour BETWEEN 10 AND 19 AND off = 0 AND ta >= 1 AND NOT coalesce(hour >= 15 AND ud <= 0 AND ld <= {500 * _G}, false) THEN {250 * _G} END", lambda r: guards.warm_day_offset(r, scale=_G))
 _guard("g06_limit_analog_fall", f"CASE WHEN hour BETWEEN 7 AND 15 AND off = 1 AND raw - f > {_G} AND (coalesce(sup >= {500 * _G}, false) OR coalesce(raw <= um + {900 * _G}, false)) THEN raw - f END", lambda r: guards.limit_analog_fall(r, scale=_G))
-_guard("g07_lift_morning_shape", f"CASE WHEN hour BETWEEN 6 AND 7 AND off = 1 AND (before + sup - {250 * _G} - f) * 0.75 >= {100 * _G} THEN least((before + sup - {250 * _G} - f) * 0.75, {800 * _G}) END", lambda r: guards.lift_morning_shape(r, 0.75, 100 * _G, 800 * _G, 250 * _G))
+_guard("g07_lift_morning_shape", f"CASE WHEN hour BETWEEN 6 AND 7 AND off = 1 AND before + sup - f >= {700 * _G} AND (before + sup - {250 * _G} - f) * 0.75 >= {100 * _G} THEN least((before + sup - {250 * _G} - f) * 0.75, {800 * _G}) END", guards.lift_morning_shape)
 _guard(
     "g08_g09_lift_return_shortfall",
     f"CASE WHEN {_RETURN} AND hour BETWEEN 6 AND 11 AND um - lag_24h >= {6000 * _G} AND coalesce(ud - (f - before) >= {800 * _G}, true) AND NOT coalesce(seen >= 7 AND hour - seen BETWEEN 1 AND 3 AND then_f - seen_mw >= {1200 * _G}, false) AND um - {1000 * _G} > f THEN least((um - {1000 * _G} - f) * {_SHARE}, {1000 * _G}) END",
     lambda r: guards.lift_return_shortfall(r, scale=_G),
 )
-_guard("g10_cap_return_excess", f"CASE WHEN {_RETURN} AND hour BETWEEN 8 AND 11 AND um - lag_24h >= {1000 * _G} AND {_OVER} > 0 THEN -least({_OVER} * CASE WHEN {_STRONG} THEN 0.25 ELSE 0.6 END, {900 * _G}) END", lambda r: guards.cap_return_excess(r, scale=_G))
+_guard("g10_cap_return_excess", f"CASE WHEN {_RETURN} AND hour BETWEEN 8 AND 11 AND um - lag_24h >= {1000 * _G} AND {_OVER} > 0 THEN -least({_OVER} * CASE WHEN {_STRONG} THEN 0.25 ELSE 0.6 END, {900 * _G}) END", lambda r: guards.cap_return_excess(r, scale=_G), over_raw=1500.0)
 _guard("g11_cap_afternoon_analog", f"CASE WHEN hour BETWEEN 13 AND 16 AND off = 0 AND f - raw >= {600 * _G} AND warm >= 0.5 AND coalesce(sup <= {900 * _G}, true) AND f - raw > {_KEEP} THEN {_KEEP} - (f - raw) END", lambda r: guards.cap_afternoon_analog(r, scale=_G))
 _guard("g11b_cap_declining_analog", f"CASE WHEN hour BETWEEN 13 AND 20 AND off = 0 AND mm = 0 AND f - raw >= {300 * _G} AND warm <= 0 AND sup <= {200 * _G} AND f - raw > {100 * _G} THEN {100 * _G} - (f - raw) END", lambda r: guards.cap_declining_analog(r, scale=_G))
 _guard("g12_limit_afternoon_fall", f"CASE WHEN hour BETWEEN 13 AND 16 AND off = 0 AND raw - f > {600 * _G} AND warm >= 0.5 AND coalesce(sup >= {-700 * _G}, true) AND coalesce(raw <= um + {900 * _G}, true) THEN raw - f - {300 * _G} END", lambda r: guards.limit_afternoon_fall(r, scale=_G))
-_guard("g13_pull_midday", f"CASE WHEN hour = 12 AND off = 0 AND low <= {-500 * _G} AND f > before + low THEN -least((f - before - low) * 0.75, {900 * _G}) END", lambda r: guards.pull_midday(r, -500 * _G, 0.75, 900 * _G))
+_FALLS = "list_filter([ld, ud, CASE WHEN softer THEN q25 END], lambda x: x <= -500)"
+_PULL_OVER = f"(f - (before + CASE WHEN softer THEN list_min({_FALLS}) ELSE list_avg({_FALLS}) END))"
+_PULL = f"CASE WHEN hour = 12 AND off = 0 AND {_PULL_OVER} >= 300 THEN -least({_PULL_OVER} * 0.75, CASE WHEN softer THEN 1200 ELSE 900 END) END"
+_guard("g13_pull_midday", _PULL, guards.pull_midday)
+
+
+
+
+_SPIKE = """CASE WHEN e.off = 0 AND e.nxt IS NOT NULL THEN coalesce(
+    CASE WHEN slope AND (e.f - mid - 400) * 0.75 >= 100 THEN least((e.f - mid - 400) * 0.75, 1400) WHEN local AND NOT slope AND (e.f - mid - 700) * 0.75 >= 150 THEN least((e.f - mid - 700) * 0.75, 1400) END,
+    CASE WHEN e.hour BETWEEN 13 AND 17 AND coalesce(e.sup <= 500, true) AND coalesce(wx <= 2, true) AND coalesce(e.sd <= 900, true) AND peak >= 600 AND (e.f - mid - 450) * 0.75 >= 100 THEN least((e.f - mid - 450) * 0.75, 700) END, 0.0) ELSE 0.0 END"""
+_SPIKES = f"""p0 AS MATERIALIZED (SELECT *, lead(f) OVER w AS nxt, row_number() OVER w AS i FROM FROMS WINDOW w AS (PARTITION BY series_id, day ORDER BY hour)),
+    p1 AS (SELECT series_id, day, i, hour, 0.0::DOUBLE AS cut, f AS prev FROM p0 WHERE i = 1 UNION ALL SELECT e.series_id, e.day, e.i, e.hour, z.cut, e.f - z.cut FROM p1 r JOIN p0 e ON e.series_id = r.series_id AND e.day = r.day AND e.i = r.i + 1,
+      LATERAL (SELECT e.f - greatest(r.prev, e.nxt) AS peak, (r.prev + e.nxt) / 2 AS mid, e.f - r.prev - e.sup AS beyond, greatest(e.td, e.cd) AS wx) x,
+      LATERAL (SELECT coalesce(e.hour BETWEEN 8 AND 11 AND peak >= 1000 AND e.f - e.nxt >= 800 AND beyond >= 1000, false) AS sharp) y0,
+      LATERAL (SELECT sharp AND coalesce(wx <= 3.5, true) AS local, coalesce(e.hour BETWEEN 8 AND 10 AND e.f - r.prev >= 4000 AND beyond >= 900 AND (coalesce(wx BETWEEN 1.5 AND 6, false) OR coalesce(e.dd >= 2, false)), false) AND NOT (sharp AND NOT coalesce(wx <= 3.5, true)) AS slope) y,
+      LATERAL (SELECT CAST({_SPIKE} AS DOUBLE) AS cut) z)"""
+
+
+@_register(_GUARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _SPIKES.replace("FROMS", "(SELECT * REPLACE (f + CASE WHEN (hour * 7 + day(ts)) % 5 = 0 THEN 1500 ELSE 0 END AS f) FROM gr)") + f" SELECT p0.series_id, CAST(p0.ts AS VARCHAR) AS ts, {_r('p0.f AS before_mw', 'p1.cut AS shift_mw')} FROM p0 JOIN p1 USING (series_id, day, hour)")
+def g14_flatten_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over forecasts with a spike of 1,500 MW in every fifth hour."""
+    spiky = F.when((F.hour("ts") * 7 + F.dayofmonth("ts")) % 5 == 0, 1500.0).otherwise(0.0)
+    before = _guarded(spark, sf_dir).withColumn("forecast_mw", F.col("forecast_mw") + spiky).withColumn("before_mw", F.col("forecast_mw"))
+    return _out(guards.flatten_spikes(before).withColumn("shift_mw", F.col("before_mw") - F.col("forecast_mw")), "series_id", "ts", "before_mw", "shift_mw")
+
+
+@_register(_GUARD_SQL + f", gs AS (SELECT series_id, ts, raw AS raw_mw, f, coalesce(CAST({_DAYTIME} AS DOUBLE), 0) AS shift_mw FROM gr) SELECT series_id, {_TS}, {_r('raw_mw', 'f + shift_mw AS forecast_mw', 'shift_mw')} FROM gs")
+def g03_g05_guard_daytime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = _week_before(_guarded(spark, sf_dir), spark, sf_dir).withColumn("before_mw", F.col("forecast_mw"))
+    return _out(guards.guard_daytime(before).withColumn("shift_mw", F.col("forecast_mw") - F.col("before_mw")), "series_id", "ts", "raw_mw", "forecast_mw", "shift_mw")
+
+
+_ANALOGS = """wd AS (SELECT series_id, CAST(ts AS DATE) AS day, sum(temp_c) AS t, count(*) AS n FROM weather WHERE hour(ts) BETWEEN 10 AND 17 AND temp_c IS NOT NULL GROUP BY 1, 2),
+    wn AS (SELECT *, sum(t) OVER w AS bt, sum(n) OVER w AS bn FROM wd WINDOW w AS (PARTITION BY series_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)),
+    pf AS (SELECT d.series_id, d.day, d.n_actual, c.is_off, c.run_before AS run, CASE WHEN bn >= 8 THEN t / n - bt / bn END AS anomaly FROM (SELECT series_id, day, count(act) AS n_actual FROM gr GROUP BY 1, 2) d JOIN calendar c ON c.day = d.day LEFT JOIN wn ON wn.series_id = d.series_id AND wn.day = d.day),
+    an0 AS (SELECT t.series_id, t.day AS target, d.day, row_number() OVER (PARTITION BY t.series_id, t.day ORDER BY d.day DESC) AS rank FROM pf t JOIN pf d ON d.series_id = t.series_id AND d.is_off = t.is_off AND d.day < t.day AND d.n_actual >= 12 AND abs(d.run - t.run) <= 2 AND coalesce(abs(d.anomaly - t.anomaly) <= 4, true) AND least(abs(month(d.day) - month(t.day)), 12 - abs(month(d.day) - month(t.day))) <= 1),
+    an AS (SELECT * FROM an0 WHERE rank <= 5)"""
+
+
+def _analogs(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    cal = tb.calendar(_days(tb.demand(spark, sf_dir)), tb.DEMAND_HOLIDAYS)
+    days = tb.written(guards.day_profile(rows, tb.weather(spark, sf_dir), cal), "day-profiles")
+    return guards.analogous_days(days, days)
+
+
+@_register(_GUARD_SQL + f", {_ANALOGS} SELECT series_id, CAST(target AS VARCHAR) AS target, CAST(day AS VARCHAR) AS day, rank FROM an")
+def j20_analogous_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(_analogs(_guarded(spark, sf_dir), spark, sf_dir))
+
+
+def _chain_sql() -> str:
+    sql = _GUARD_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_ANALOGS}, sh AS (SELECT an.series_id, target, hour, avg(act - f) AS r FROM an JOIN gr ON gr.series_id = an.series_id AND gr.day = an.day GROUP BY 1, 2, 3), ns AS (SELECT series_id, target, count(*) AS n FROM an GROUP BY 1, 2),
+    c0 AS (SELECT g.* REPLACE (g.f + CASE WHEN r IS NOT NULL THEN greatest(-2500, least(2500, r * CASE WHEN n = 1 THEN 0.5 ELSE 0.7 END)) ELSE 0 END AS f, g.f AS raw), coalesce(n, 0) AS n_analogs FROM gr g LEFT JOIN sh ON sh.series_id = g.series_id AND sh.target = g.day AND sh.hour = g.hour LEFT JOIN ns ON ns.series_id = g.series_id AND ns.target = g.day),
+    c1 AS (SELECT *, f AS analog_mw FROM c0)"""
+    at = 1
+    daytime = [_SHIFTS[f"{n}"] for n in ("g06_limit_analog_fall", "g07_lift_morning_shape", "g08_g09_lift_return_shortfall", "g10_cap_return_excess", "g11_cap_afternoon_analog", "g11b_cap_declining_analog", "g12_limit_afternoon_fall")]
+    for shift in (_SHIFTS["g02_block_post_holiday_rise"], _DAYTIME, *daytime, "guarded", _SHIFTS["g13_pull_midday"]):
+        if shift == "guarded":
+            sql, at = sql + f", c{at + 1} AS (SELECT *, f AS guarded_mw FROM c{at})", at + 1
+            continue
+        sql += f", h{at} AS (SELECT g.* REPLACE (lag(g.f) OVER (PARTITION BY g.series_id, g.day ORDER BY g.ts) AS before, s.f AS then_f) FROM c{at} g LEFT JOIN c{at} s ON s.series_id = g.series_id AND s.day = g.day AND s.hour = g.seen), c{at + 1} AS (SELECT * REPLACE (f + coalesce(CAST({shift} AS DOUBLE), 0) AS f) FROM h{at})"
+        at += 1
+    return sql + ", " + _SPIKES.replace("FROMS", f"c{at}") + f" SELECT p0.series_id, CAST(p0.ts AS VARCHAR) AS ts, n_analogs, {_r('raw AS raw_mw', 'analog_mw', 'guarded_mw', 'p0.f AS midday_mw', 'p0.f - p1.cut AS shaped_mw')} FROM p0 JOIN p1 USING (series_id, day, hour)"
+
+
+@_register(_chain_sql())
+def g01_g14_guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift of analogous days, then all guards in their order; the forecast after each stage."""
+    rows = _week_before(_guarded(spark, sf_dir), spark, sf_dir).withColumn("raw_mw", F.col("forecast_mw"))
+    rows = tb.written(guards.analog_shift(rows, _analogs(rows, spark, sf_dir)), "analog-rows")
+    return _out(guards.guard_chain(rows), "series_id", "ts", "n_analogs", "raw_mw", "analog_mw", "guarded_mw", "midday_mw", "shaped_mw")
 
 
 # Intraday rules ----------------------------------------------------------------------------------------------------------
 
-# Every day is looked at as of another hour, from which on its actuals are hidden.
-_IC_SQL = _GUARD_SQL + f""", ih AS (SELECT g.*, CASE WHEN g.hour < (CAST(day(g.ts) AS INT) * 5) % 20 THEN h.actual_mw END AS a, wf.temp_anomaly_7d AS t7, wf.cooling_degree AS cool, wf.heating_degree AS heat FROM gr g JOIN hourly h ON h.series_id = g.series_id AND h.ts = g.ts LEFT JOIN wf ON wf.series_id = g.series_id AND wf.ts = g.ts),
+#: Every day is looked at as of these hours, from which on its actuals are hidden: a day for each.
+_ORIGIN_HOURS = (1, 5, 9, 12, 15, 17, 19)
+_IC_SQL = _GUARD_SQL + f""", ih AS (SELECT g.* REPLACE (g.series_id || '@' || o AS series_id), CASE WHEN g.hour < o THEN h.actual_mw END AS a, wf.cooling_degree AS cool, wf.heating_degree AS heat FROM gr g JOIN hourly h ON h.series_id = g.series_id AND h.ts = g.ts LEFT JOIN wf ON wf.series_id = g.series_id AND wf.ts = g.ts, (SELECT unnest({list(_ORIGIN_HOURS)}) AS o) og),
     il AS (SELECT series_id, day, list(hour ORDER BY hour) AS hs, list(a ORDER BY hour) AS xs, list(a - f ORDER BY hour) AS rs FROM ih WHERE a IS NOT NULL GROUP BY 1, 2),
     im AS (SELECT series_id, day, len(hs) AS n, hs[-1] AS lh, list_avg(rs[-3:]) AS mr, coalesce(len(hs) >= 3 AND hs[-1] - hs[-2] = 1 AND hs[-2] - hs[-3] = 1, false) AS ok, xs, rs FROM il),
     io AS (SELECT i.*, coalesce(m.n, 0) AS n, m.lh, i.hour - coalesce(m.lh, -1) AS lead, m.mr, CASE WHEN ok THEN xs[-3] END AS a1, CASE WHEN ok THEN xs[-2] END AS a2, CASE WHEN ok THEN xs[-1] END AS a3, CASE WHEN ok THEN rs[-3] END AS r1, CASE WHEN ok THEN rs[-2] END AS r2, CASE WHEN ok THEN rs[-1] END AS r3,
@@ -321,8 +416,9 @@ _IC_SQL = _GUARD_SQL + f""", ih AS (SELECT g.*, CASE WHEN g.hour < (CAST(day(g.t
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _guarded(spark, sf_dir)
-    return intraday_rules.observed(rows.withColumn("actual_mw", F.when(F.hour("ts") < (F.dayofmonth("ts") * 5) % 20, F.col("actual_mw"))))
+    rows = _guarded(spark, sf_dir).withColumn("origin", F.explode(F.array(*[F.lit(h) for h in _ORIGIN_HOURS])))
+    hidden = {"series_id": F.concat_ws("@", "series_id", "origin"), "actual_mw": F.when(F.hour("ts") < F.col("origin"), F.col("actual_mw"))}
+    return intraday_rules.observed(rows.withColumns(hidden).drop("origin"))
 
 
 def _ic(name: str, value: str, rule) -> None:
