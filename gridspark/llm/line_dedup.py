@@ -1,6 +1,7 @@
 """Line deduplication by distinct-site spread, with DataFrame functions only.
 
-Every line's hash gets a HyperLogLog sketch of the sites that have it; sketches merge in a pre-aggregating shuffle.
+Every line's hash gets a HyperLogLog sketch of the sites that have it; sketches merge in a pre-aggregating shuffle. Only
+hashes with fewer rows than the limit need none.
 Estimates clearly under or over the limit decide at once; hashes near it get exact distinct counts. Lines on too many
 sites are boilerplate and leave every document. Only hashes, sketches and flags are shuffled by line; a text moves at
 most once, and only if too many documents change for the changes to be broadcast.
@@ -39,18 +40,18 @@ def _keys(text: str) -> list[Column]:
 
 def boilerplate_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(line_hash) of those on ``sites`` or more distinct sites, from (site, line_hash) rows. A null site is one site."""
-    # Each site counts a line once, however many documents have it; a line of one site alone, as most are, needs no sketch.
-    held = materialize(lines.select("site", "line_hash").distinct(), "all-site-lines")
-    spread = materialize(held.groupBy("line_hash").agg(F.count("*").alias("n")).where("n > 1").select("line_hash"), "spread-lines")
-    pairs = materialize(held.join(small_or_shuffled(spread), "line_hash", "left_semi"), "site-lines")
-    discard(held, spread)
+    # A line that has fewer rows than the limit cannot be on so many sites; no other count decides for a line.
+    often = materialize(lines.groupBy("line_hash").agg(F.count("*").alias("n")).where(F.col("n") >= sites).select("line_hash"), "frequent-lines")
+    held = materialize(lines.select("site", "line_hash").join(small_or_shuffled(often), "line_hash", "left_semi"), "site-lines")
     margin = max(1.0, NEAR * sites)
-    sketched = pairs.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"))
+    sketched = held.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"))
     sketched = materialize(sketched.where(F.col("estimate") >= sites - margin), "line-sketches")
     sure = sketched.where(F.col("estimate") > sites + margin).select("line_hash")
     near = small_or_shuffled(sketched.where(F.col("estimate") <= sites + margin).select("line_hash"))
-    exact = pairs.join(near, "line_hash", "left_semi").groupBy("line_hash").agg(F.count_distinct("site").alias("n"))
-    return materialize(sure.union(exact.where(F.col("n") >= sites).select("line_hash")), "boilerplate")
+    exact = held.join(near, "line_hash", "left_semi").groupBy("line_hash").agg(F.count_distinct("site").alias("n"))
+    out = materialize(sure.union(exact.where(F.col("n") >= sites).select("line_hash")), "boilerplate")
+    discard(often, held, sketched)
+    return out
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
