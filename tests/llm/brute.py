@@ -99,20 +99,30 @@ def secrets(text):
     for rank, (kind, pattern, group, least) in enumerate(secret_scan.BASE):
         pattern = {"hex": "[0-9a-f]+"}.get(kind, pattern.replace("(?i:", "(?ai:"))
         base += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, x) if len(m.group(group)) >= least]
+    whole = lambda v: any(re.search(p, v) for p in secret_scan.ALLOWED)
     for m in re.finditer(secret_scan.CANDIDATE, x):
-        v = m.group()
-        if any(re.search(p, v) for p in secret_scan.ALLOWED) or re.search(secret_scan.ALLOWED_BEFORE, x[max(0, m.start() - 24) : m.start()]):
+        if whole(m.group()) or re.search(secret_scan.ALLOWED_BEFORE, x[max(0, m.start() - 24) : m.start()]):
             continue
-        rank = next(i for i, c in enumerate(secret_scan.CLASSES) if re.search(c[1], v))
-        n, hot = secret_scan.WINDOW, []
-        for i in range(len(v) - n + 1):
-            w = v[i : i + n]
-            if -sum(w.count(c) / n * math.log2(w.count(c) / n) for c in set(w)) >= secret_scan.CLASSES[rank][2] - 1e-9:
-                hot.append(i)
-        if hot:
-            s = (m.start() + hot[0], rank + len(secret_scan.BASE), m.start() + hot[-1] + n, secret_scan.CLASSES[rank][0])
-            if not any(b[0] <= s[0] and b[2] >= s[2] for b in base):
-                more.append(s)
+        left = m.group()
+        for pattern, _ in secret_scan.FILLER:
+            left = re.sub(pattern, lambda y: " " * len(y.group()), left)
+        for piece in re.finditer(secret_scan.CANDIDATE, left):
+            v, n = piece.group(), secret_scan.WINDOW
+            if whole(v):
+                continue
+            rank, hot = next(i for i, c in enumerate(secret_scan.CLASSES) if re.search(c[1], v)), set()
+            for i in range(len(v) - n + 1):
+                w = v[i : i + n]
+                if -sum(w.count(c) / n * math.log2(w.count(c) / n) for c in set(w)) >= secret_scan.CLASSES[rank][2] - 1e-9:
+                    hot.add(i)
+            ends = sorted({(i, i + n) for i in hot})
+            while ends:
+                a, z = ends.pop(0)
+                while ends and ends[0][0] <= z:
+                    z = max(z, ends.pop(0)[1])
+                s = (m.start() + piece.start() + a, rank + len(secret_scan.BASE), m.start() + piece.start() + z, secret_scan.CLASSES[rank][0])
+                if not any(b[0] <= s[0] and b[2] >= s[2] for b in base):
+                    more.append(s)
     text_of = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
     return text_of(base), text_of(base + more)
 
