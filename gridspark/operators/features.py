@@ -61,6 +61,32 @@ def slot_features(lagged: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
+def inference_slots(hourly: DataFrame, targets: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The columns of ``slot_features`` for hours that may lie ahead: for each target (series_id, ts, as_of) they look
+    at the last 4 or 8 known values of its slot before as_of.
+
+    Each known row holds the figures of its slot up to itself; targets stand among those rows as markers at their as_of,
+    and take the last figures before them. So every slot is sorted once, however many targets ask."""
+    cal = F.broadcast(calendar.select("day", F.col("is_off").cast("int").alias("is_non_business_day")))
+    keyed = lambda df: df.withColumns({"day": F.to_date("ts"), "hour": F.hour("ts"), "dayofweek": F.weekday("ts")}).join(cal, "day")
+    known = keyed(lag_features(hourly, (1, 24, 25, 168, 169)).select("series_id", "ts", "actual_mw", "hourly_delta"))
+    asked = keyed(targets.select("series_id", "ts", "as_of"))
+    slots = (("dayofweek", 4), ("is_non_business_day", 8))
+    out = asked
+    for kind, k in slots:
+        upto = W.partitionBy("series_id", "hour", kind).orderBy("ts").rowsBetween(1 - k, 0)
+        figures = F.struct(F.avg("actual_mw").over(upto).alias("mean"), F.coalesce(F.stddev_samp("actual_mw").over(upto), F.lit(0.0)).alias("std"), F.avg("hourly_delta").over(upto).alias("delta"))
+        facts = known.select("series_id", "hour", kind, F.col("ts").alias("at"), F.lit(1).alias("fact"), figures.alias("figures"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+        marks = asked.select("series_id", "hour", kind, F.col("as_of").alias("at"), F.lit(0).alias("fact"), F.lit(None).cast(facts.schema["figures"].dataType).alias("figures"), "ts")
+        # At equal times the marker comes first: what is known is before as_of.
+        order = W.partitionBy("series_id", "hour", kind).orderBy("at", "fact").rowsBetween(W.unboundedPreceding, 0)
+        last = facts.unionByName(marks).withColumn("figures", F.last("figures", ignorenulls=True).over(order)).where("fact = 0")
+        names = {"dayofweek": {"mean": "roll_4w_mean", "std": "roll_4w_std"}, "is_non_business_day": {"mean": "recent_same_business_type_mean", "delta": "recent_same_business_type_delta_mean"}}[kind]
+        found = last.select("series_id", "ts", F.col("at").alias("as_of"), *[F.col(f"figures.{f}").alias(n) for f, n in names.items()]).distinct()
+        out = out.join(found, ["series_id", "ts", "as_of"], "left")
+    return out.withColumn("roll_4w_std", F.coalesce("roll_4w_std", F.lit(0.0)))
+
+
 def calendar_features(rows: DataFrame, hourly: DataFrame, calendar: DataFrame) -> DataFrame:
     """Columns of the day, of the days one and seven before, and demand at this hour of the last working days."""
     cal = calendar.select("day", "last_biz_day", "last_open_day", F.col("run_before").alias("consec_holiday_len"), F.col("days_since_off").alias("days_since_holiday_end"))
