@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import tables as tb
-from .operators import features
-from .plans import refit
+from .operators import features, quality, weather_prep
+from .plans import experts, refit
+from .corrector_queries import DEMAND_SQL, demand_rows
 from .queries import _CALENDAR_SQL, _DAYS, _days, _out, _r, _register
 
 _TS = "CAST(ts AS VARCHAR) AS ts"
@@ -87,3 +89,57 @@ def ev06_m14_rolling_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m14_refits_in_a_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with fits on the ten days before each cut-off."""
     return _refit(spark, sf_dir, 10)
+
+
+# Experts with fixed coefficients over the features of demand; every eleventh hour knows no lag, every seventh day has
+# lags in part only.
+_EXPERTS = {
+    "full": {"direct": {"roll_4w_mean": 0.6, "recent_same_business_type_mean": 0.4, "humidity_delta_24h": 60.0}, "lag_residual": {"roll_4w_mean": 0.3, "lag_24h": -0.3}, "non_business": {"roll_4w_mean": 1.0}},
+    "no_humidity": {"direct": {"roll_4w_mean": 0.5, "recent_same_business_type_mean": 0.5}, "lag_residual": {"roll_4w_mean": 0.4, "lag_24h": -0.4}, "non_business": {"recent_same_business_type_mean": 1.0}},
+    "robust": {"direct": {"recent_same_business_type_mean": 1.0}, "lag_residual": {"recent_same_business_type_mean": 0.2, "lag_24h": -0.2}, "non_business": {"roll_4w_mean": 0.7, "recent_same_business_type_mean": 0.3}},
+    "unavailable": {"direct": {"roll_4w_mean": 0.98}, "non_business": {"recent_same_business_type_mean": 0.97}},
+}
+_SHORT = {"roll_4w_mean": "raw", "recent_same_business_type_mean": "um", "lag_24h": "lag_24h", "humidity_delta_24h": "hd"}
+_SAID = {f"{v}_{m}": " + ".join(f"{_SHORT[f]} * {w}::DOUBLE" for f, w in of.items()) for v, models in _EXPERTS.items() for m, of in models.items()}
+
+
+def _view_sql(name: str) -> str:
+    direct, lag = _SAID[f"{name}_direct"], _SAID[f"{name}_lag_residual"]
+    both = f"((1 - share) * ({direct}) + share * (lag_24h + ({lag})))"
+    return f"(CASE WHEN off = 0 THEN CASE WHEN NOT part AND {both} IS NOT NULL THEN {both} ELSE {direct} END ELSE 0.5 * ({direct}) + 0.5 * ({_SAID[f'{name}_non_business']}) END)"
+
+
+_LEGACY = f"(CASE WHEN off = 0 AND lag_24h IS NOT NULL AND hd IS NOT NULL THEN 0.5 * ({_SAID['full_direct']}) + 0.5 * (lag_24h + ({_SAID['full_lag_residual']})) ELSE {_SAID['full_direct']} END)"
+_GATED = f""", e0 AS (SELECT cm.series_id, cm.ts, cm.day, cm.off, cm.mm, cm.roll_4w_mean AS raw, cm.recent_same_business_type_mean AS um, humidity_delta_24h AS hd, cooling_delta_24h AS cd, CASE WHEN (day(cm.ts) * 5 + cm.hour) % 11 <> 0 THEN cm.lag_24h END AS lag_24h, lag_last_biz_hour AS lb, lag_last_nonhol_hour AS ln, day(cm.ts) % 7 = 0 AS part
+      FROM cm LEFT JOIN wf ON wf.series_id = cm.series_id AND wf.ts = cm.ts WHERE cm.roll_4w_mean IS NOT NULL AND cm.lag_24h IS NOT NULL),
+    e1 AS (SELECT *, CASE WHEN coalesce(mm > 0 AND off = 0 AND cd IS NOT NULL, false) THEN 0.5 * greatest(0, least(1, (cd + 4) / 4)) ELSE 0.5 END AS share, lag_24h IS NULL OR lb IS NULL OR ln IS NULL AS gone FROM e0),
+    e2 AS (SELECT *, {_LEGACY} AS legacy, 0.5 * {_view_sql('no_humidity')} + 0.5 * {_view_sql('robust')} AS v FROM e1),
+    e3 AS (SELECT *, CASE WHEN v - legacy IS NOT NULL THEN legacy + greatest(-500, least(500, v - legacy)) END AS held FROM e2),
+    e4 AS (SELECT *, CASE WHEN gone THEN CASE WHEN off = 1 THEN {_SAID['unavailable_non_business']} ELSE {_SAID['unavailable_direct']} END WHEN off = 1 THEN 0.4 * legacy + 0.6 * held ELSE held END AS f FROM e3),
+    e5 AS (SELECT *, CASE WHEN count(f) OVER d = 24 THEN greatest(-750, least(750, 0.2 * (avg(um) OVER d - avg(f) OVER d))) ELSE 0 END AS moved FROM e4 WINDOW d AS (PARTITION BY series_id, day))"""
+
+
+@_register(DEMAND_SQL + _GATED + f" SELECT series_id, {_TS}, {_r('legacy AS legacy_mw', 'f + moved AS forecast_mw')}, concat_ws(',', CASE WHEN gone THEN 'lags_unavailable' END, CASE WHEN part AND NOT gone THEN 'partial_lags' END, CASE WHEN share < 0.5 AND NOT part AND NOT gone THEN 'attenuated' END, CASE WHEN off = 1 THEN 'specialist' END, CASE WHEN abs(v - legacy) > 500 AND NOT gone THEN 'trust_region' END, CASE WHEN moved <> 0 THEN 'daily_level' END) AS gates FROM e5")
+def m06_m11_gated_experts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.written(demand_rows(spark, sf_dir), "expert-rows")
+    rows = rows.withColumn("lag_24h", F.when((F.dayofmonth("ts") * 5 + F.col("hour")) % 11 != 0, F.col("lag_24h")))
+    said = {v: {m: experts.linear(of) for m, of in models.items()} for v, models in _EXPERTS.items()}
+    level = F.avg("recent_same_business_type_mean").over(W.partitionBy("series_id", F.to_date("ts")))
+    got = experts.gated(rows.drop("forecast_mw"), said["full"], said["no_humidity"], said["robust"], said["unavailable"], F.dayofmonth("ts") % 7 == 0, level)
+    return _out(got, "series_id", "ts", "legacy_mw", "forecast_mw", "gates")
+
+
+@_register(tb.with_ctes("weather", more="of AS (SELECT series_id, ts, temp_c + 0.3 AS temp_c, CASE WHEN hour(ts) % 4 <> 0 THEN humidity_pct END AS humidity_pct FROM weather WHERE hour(ts) % 3 <> 0), fb AS (SELECT series_id, ts, temp_c, humidity_pct FROM weather WHERE hour(ts) % 5 <> 0)") + f" SELECT series_id, CAST(coalesce(o.ts, f.ts) AS VARCHAR) AS ts, {_r('round_even(coalesce(o.temp_c, f.temp_c) * 10, 0) / 10 AS temp_c', 'round_even(coalesce(o.humidity_pct, f.humidity_pct) * 10, 0) / 10 AS humidity_pct')}, CASE WHEN o.temp_c IS NOT NULL THEN 'official' WHEN f.temp_c IS NOT NULL THEN 'fallback' END AS temp_c_source, CASE WHEN o.humidity_pct IS NOT NULL THEN 'official' WHEN f.humidity_pct IS NOT NULL THEN 'fallback' END AS humidity_pct_source FROM of o FULL JOIN fb f USING (series_id, ts)")
+def w_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, hour = tb.weather(spark, sf_dir), F.hour("ts")
+    official = w.where(hour % 3 != 0).select("series_id", "ts", (F.col("temp_c") + 0.3).alias("temp_c"), F.when(hour % 4 != 0, F.col("humidity_pct")).alias("humidity_pct"))
+    return _out(weather_prep.merge_sources(official, w.where(hour % 5 != 0), ("temp_c", "humidity_pct")))
+
+
+_HEX = "('0x' || substr(md5(concat_ws('|', series_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), name, value)), 1, 15))::BIGINT"
+
+
+@_register("WITH " + tb.DEMAND_CTES + f", cells AS (SELECT series_id, ts, 'actual_mw' AS name, CAST(CAST(actual_mw AS BIGINT) AS VARCHAR) AS value FROM hourly UNION ALL SELECT series_id, ts, 'is_peak', CASE WHEN hour(ts) BETWEEN 9 AND 18 THEN CAST(hour(ts) AS VARCHAR) END FROM hourly) SELECT series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, name AS column_name, count(*) AS n, count(value) AS n_known, CAST(sum(CAST({_HEX.replace(', value)', ', coalesce(value, chr(1)))')} AS HUGEINT)) AS VARCHAR) AS digest FROM cells GROUP BY 1, 2, 3")
+def rp20_snapshot_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = tb.demand(spark, sf_dir).select("series_id", "ts", F.col("actual_mw").cast("long").alias("actual_mw"), F.when(F.hour("ts").between(9, 18), F.hour("ts")).alias("is_peak"))
+    return _out(quality.snapshot_digests(h, ("actual_mw", "is_peak")))

@@ -61,3 +61,22 @@ def hour_sources(facts: DataFrame, fallback: str) -> DataFrame:
     source = F.coalesce("actual_source", F.lit("observed"))
     held = F.col("actual_mw").isNotNull()
     return facts.groupBy("series_id", F.to_date("ts").alias("day")).agg(F.count_if(held & (source != fallback)).alias("observed"), F.count_if(held & (source == fallback)).alias("fallback"), (24 - F.count_if(held)).alias("missing"))
+
+
+def snapshot_digests(rows: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ("series_id", "ts")) -> DataFrame:
+    """(series_id, day, column_name, n, n_known, digest): the digest of a column on a day is the sum of hashes of its
+    cells with their keys. Sums merge, so partitions and order are of no account and nothing is sorted; one changed cell
+    changes its column's digest of its day. Values count by their text; unknown ones count too."""
+    cells = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("cell"))
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("cell.name"), F.coalesce("cell.value", F.lit("\x01")))
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    out = cells.groupBy("series_id", F.to_date("ts").alias("day"), F.col("cell.name").alias("column_name"))
+    return out.agg(F.count("*").alias("n"), F.count("cell.value").alias("n_known"), F.sum(number).cast("string").alias("digest"))
+
+
+def changed_digests(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(series_id, day, column_name, change) of two versions' digests: added, removed or changed."""
+    keys = ["series_id", "day", "column_name"]
+    b, a = (d.select(*keys, F.col("digest").alias(n)) for d, n in ((before, "b"), (after, "a")))
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").otherwise("changed")
+    return b.join(a, keys, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*keys, change.alias("change"))

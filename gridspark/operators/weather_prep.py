@@ -101,3 +101,15 @@ def median_bias(rows: DataFrame, observed: DataFrame, now: Column, lookback: int
     step = F.row_number().over(W.partitionBy("series_id", ahead).orderBy("ts")) - 1
     moved = F.when(ahead & (step < horizon), F.col("temp_c") + F.coalesce("bias", F.lit(0.0)) * F.pow(F.lit(decay), step)).otherwise(F.col("temp_c"))
     return j.select(*[moved.alias(c) if c == "temp_c" else F.col(c) for c in rows.columns])
+
+
+def merge_sources(official: DataFrame, fallback: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ("series_id", "ts")) -> DataFrame:
+    """All keys of either source with, for each column, the official value where there is one, else the fallback's, to
+    a tenth, and <column>_source. Of repeated keys in a source a column's largest value counts, so no row multiplies."""
+    one = lambda df, tag: df.groupBy(*keys).agg(*[F.max(c).alias(f"__{tag}_{c}") for c in columns])
+    both = one(official, "o").join(one(fallback, "f"), list(keys), "full")
+    out = list(keys)
+    for c in columns:
+        o, f = F.col(f"__o_{c}"), F.col(f"__f_{c}")
+        out += [(F.rint(F.coalesce(o, f) * 10) / 10).alias(c), F.when(o.isNotNull(), "official").when(f.isNotNull(), "fallback").alias(f"{c}_source")]
+    return both.select(*out)

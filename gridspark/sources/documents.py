@@ -115,7 +115,7 @@ def status_rows(facts: DataFrame, failed: DataFrame, today: Column) -> DataFrame
     return held.join(bad, "series_id", "left").withColumn("failed_files", F.coalesce("failed_files", F.lit(0))).drop("hours")
 
 
-def append_calibrations(ledger: DataFrame, rows: DataFrame, per_day: int = 14, days: int = 60) -> DataFrame:
+def append_calibrations(ledger: DataFrame, rows: DataFrame, per_day: int = 24, days: int = 14) -> DataFrame:
     """ledger and rows (series_id, day, taken_at, ...) together: a snapshot that stands in both once, the latest
     ``per_day`` of a day, and the last ``days`` days of each series."""
     every = ledger.unionByName(rows).dropDuplicates(["series_id", "day", "taken_at"])

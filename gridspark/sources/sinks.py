@@ -39,7 +39,16 @@ def snapshot_index(snapshots: DataFrame, by: list[str], taken_at: str) -> DataFr
 
 def append_vintages(ledger: DataFrame, captures: DataFrame, most: int = 48) -> DataFrame:
     """The rows of ``captures`` (series_id, captured_at, ts, ...) that a ledger gains: future hours only, captures that
-    it doesn't have, the first ``most`` captures of each target day."""
-    new = captures.where(F.col("ts") > F.col("captured_at")).join(ledger.select("series_id", "captured_at").distinct(), ["series_id", "captured_at"], "left_anti")
-    rank = F.dense_rank().over(W.partitionBy("series_id", F.to_date("ts")).orderBy("captured_at"))
-    return new.withColumn("__i", rank).where(F.col("__i") <= most).drop("__i")
+    it doesn't have, and of each target day no more than make ``most`` with those it has, the first ones."""
+    keys = ["series_id", F.to_date("ts").alias("target")]
+    new = captures.where(F.col("ts") > F.col("captured_at")).withColumn("target", F.to_date("ts"))
+    new = new.join(ledger.select("series_id", "captured_at").distinct(), ["series_id", "captured_at"], "left_anti")
+    held = ledger.groupBy(*keys).agg(F.count_distinct("captured_at").alias("__held"))
+    rank = F.dense_rank().over(W.partitionBy("series_id", "target").orderBy("captured_at"))
+    out = new.withColumn("__i", rank).join(held, ["series_id", "target"], "left")
+    return out.where(F.col("__i") + F.coalesce("__held", F.lit(0)) <= most).select(captures.columns)
+
+
+def retained_vintages(ledger: DataFrame, today: Column, days: int = 120) -> DataFrame:
+    """The ledger without captures older than ``days``."""
+    return ledger.where(F.to_date("captured_at") >= F.date_sub(today, days))
