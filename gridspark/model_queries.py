@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import tables as tb
+from .functions import constants as C
 from .operators import features, quality, weather_prep
-from .plans import experts, refit
+from .plans import experts, priorities, refit
 from .corrector_queries import DEMAND_SQL, demand_rows
 from .queries import _CALENDAR_SQL, _DAYS, _days, _out, _r, _register
 
@@ -143,3 +144,47 @@ _HEX = "('0x' || substr(md5(concat_ws('|', series_id, strftime(ts, '%Y-%m-%d %H:
 def rp20_snapshot_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = tb.demand(spark, sf_dir).select("series_id", "ts", F.col("actual_mw").cast("long").alias("actual_mw"), F.when(F.hour("ts").between(9, 18), F.hour("ts")).alias("is_peak"))
     return _out(quality.snapshot_digests(h, ("actual_mw", "is_peak")))
+
+
+# Priorities and evidence over demand: the mixed forecast against the week before; published is the mixed forecast,
+# recalculated the mean of the slots.
+_BAND_CASE = "CASE " + " ".join(f"WHEN hour BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in C.TIME_BANDS) + " END"
+_BAND_PICK = lambda k: "CASE band " + " ".join(f"WHEN '{b[0]}' THEN {b[k]}" for b in C.TIME_BANDS) + " END"
+_BAND_ORDER = "CASE band " + " ".join(f"WHEN '{b[0]}' THEN {i + 1}" for i, b in enumerate(C.TIME_BANDS)) + " END"
+_EVENTS = f""", pr AS (SELECT series_id, ts, day, CAST(hour AS INT) AS hour, actual_mw AS a, (roll_4w_mean + lag_24h) / 2 AS m, lag_168h AS r, roll_4w_mean AS raw, lag_24h_hourly_delta AS ld, recent_same_business_type_delta_mean AS ud FROM cm WHERE roll_4w_mean IS NOT NULL AND lag_24h IS NOT NULL),
+    ms AS (SELECT *, abs(m - a) AS miss, row_number() OVER (PARTITION BY series_id, day ORDER BY round(abs(m - a), 6) DESC, hour) AS i FROM pr),
+    dt AS (SELECT *, hour - 1 AS from_hour, (m - lag(m) OVER w) - (a - lag(a) OVER w) AS de FROM pr WINDOW w AS (PARTITION BY series_id, day ORDER BY ts)),
+    br AS (SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY round(abs(de), 6) DESC, hour) AS i FROM dt WHERE abs(de) >= 1500),
+    bg AS (SELECT series_id, day, {_BAND_CASE} AS band, avg(abs(m - a)) - avg(abs(r - a)) AS gap FROM pr WHERE r IS NOT NULL GROUP BY 1, 2, 3),
+    fg AS (SELECT *, abs(m - raw) AS gap, row_number() OVER (PARTITION BY series_id, day ORDER BY round(abs(m - raw), 6) DESC, ts) AS i FROM pr WHERE abs(m - raw) >= 500),
+    ev AS (SELECT series_id, day, '{priorities.KINDS[0]}' AS kind, 0 AS ko, i, 'top_miss_h' || hour AS event_id, miss AS score, hour AS fh, hour AS th FROM ms WHERE i <= 3 AND miss >= 1000
+      UNION ALL SELECT series_id, day, '{priorities.KINDS[1]}', 1, i, 'shape_break_' || from_hour || '_' || hour, abs(de), from_hour, hour FROM br WHERE i <= {priorities.reports.BREAKS}
+      UNION ALL SELECT series_id, day, '{priorities.KINDS[2]}', 2, {_BAND_ORDER}, 'band_gap_' || band, gap, {_BAND_PICK(1)}, {_BAND_PICK(2)} FROM bg WHERE gap >= 300
+      UNION ALL SELECT series_id, day, '{priorities.KINDS[3]}', 3, i, 'freeze_gap_h' || hour, gap, hour, hour FROM fg WHERE i <= 3),
+    ek AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, day ORDER BY round(score, 6) DESC, ko, i) AS rank FROM ev) WHERE rank <= 6)"""
+_KEPT = f"series_id, CAST(day AS VARCHAR) AS day, rank, kind, event_id, {_r('score AS score_mw')}, CASE WHEN score >= 1500 THEN 'warning' ELSE 'info' END AS severity, CAST(fh AS BIGINT) AS from_hour, CAST(th AS BIGINT) AS to_hour, rank <= 3 AS must_discuss"
+_PRIORITY_SQL = "WITH " + tb.DEMAND_CTES + ", " + _CALENDAR_SQL.replace(tb.calendar_ctes(_DAYS) + ",", "") + _EVENTS
+
+
+def _priority_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = tb.written(tb.demand(spark, sf_dir), "demand")
+    rows = features.slot_features(features.lag_features(h), tb.calendar(_days(h), tb.DEMAND_HOLIDAYS)).where("roll_4w_mean is not null and lag_24h is not null")
+    mixed = (F.col("roll_4w_mean") + F.col("lag_24h")) / 2
+    return tb.written(rows.withColumns({"model_mw": mixed, "reference_mw": F.col("lag_168h"), "published_mw": mixed, "recalculated_mw": F.col("roll_4w_mean")}), "priority-rows")
+
+
+@_register(_PRIORITY_SQL + f" SELECT {_KEPT} FROM ek")
+def tk04_rp13_priority_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _out(priorities.priority_events(_priority_rows(spark, sf_dir)))
+
+
+@_register(_PRIORITY_SQL + f""", lf AS (SELECT series_id, day, hour, 'error' AS source, a - m AS v FROM pr UNION ALL SELECT series_id, day, hour, 'error', a - r FROM pr UNION ALL SELECT series_id, day, hour, 'shape', ld FROM pr UNION ALL SELECT series_id, day, hour, 'shape', ud FROM pr UNION ALL SELECT series_id, day, hour, 'serving', raw FROM pr),
+    ee AS (SELECT e.series_id, e.day, e.event_id, count(*) AS n, sum(v) AS total, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ek e JOIN lf ON lf.series_id = e.series_id AND lf.day = e.day AND lf.hour BETWEEN e.fh - 1 AND e.th + 1 WHERE v IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT ek.series_id, CAST(ek.day AS VARCHAR) AS day, ek.rank, ek.event_id, ek.rank <= 3 AS must_discuss, coalesce(ee.n, 0) AS n_facts, coalesce(sources, '') AS sources, {_r('coalesce(total, 0) AS facts_sum')} FROM ek LEFT JOIN ee ON ee.series_id = ek.series_id AND ee.day = ek.day AND ee.event_id = ek.event_id""")
+def j21_rp19_evidence_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _priority_rows(spark, sf_dir)
+    errors = rows.withColumns({"model": F.col("actual_mw") - F.col("model_mw"), "reference": F.col("actual_mw") - F.col("reference_mw")})
+    facts = priorities.hourly_facts(errors, "error", "model", "reference").unionByName(priorities.hourly_facts(rows, "shape", "lag_24h_hourly_delta", "recent_same_business_type_delta_mean")).unionByName(priorities.hourly_facts(rows, "serving", "recalculated_mw"))
+    got = priorities.evidence_bundles(priorities.priority_events(rows), facts)
+    total = F.aggregate("evidence", F.lit(0.0), lambda acc, x: acc + x["value"])
+    return _out(got.select("series_id", "day", "rank", "event_id", "must_discuss", F.size("evidence").alias("n_facts"), "sources", total.alias("facts_sum")))
