@@ -139,8 +139,11 @@ def assign(tree: Tree, weights: np.ndarray, book: np.ndarray) -> tuple[np.ndarra
         given = first[best[whole]]
         code[_ranges(start[whole], end[whole])] = np.repeat(given, end[whole] - start[whole])
         np.add.at(total, given, running[end[whole]] - running[start[whole]])
-        leaf = ~whole & (child == past)
-        single.append(_ranges(start[leaf], end[leaf]))
+        leaf = np.flatnonzero(~whole & (child == past))
+        code[centre[leaf]] = first[best[leaf]]  # a leaf's centre has been compared just now
+        np.add.at(total, first[best[leaf]], weighted[centre[leaf]])
+        points = _ranges(start[leaf], end[leaf])
+        single.append(points[points != np.repeat(centre[leaf], end[leaf] - start[leaf])])
         inner = np.flatnonzero(~whole & (child < past))
         at = _ranges(child[inner], past[inner])
         of = np.repeat(inner, past[inner] - child[inner])
