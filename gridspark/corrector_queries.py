@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import tables as tb
 from .functions import scalars as S
 from .operators import corrector, features
-from .queries import _CALENDAR_SQL, _SLOTS, _DAYS, _out, _r, _register, _weather_sql
+from .queries import _CALENDAR_SQL, _DAYS, _out, _r, _register, _weather_sql
 
 _TS = "CAST(ts AS VARCHAR) AS ts"
 

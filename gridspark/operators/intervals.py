@@ -51,10 +51,15 @@ def conformal_floors(rows: DataFrame, targets: DataFrame, calendar: DataFrame, f
     r = rows.withColumns({"day": F.to_date("ts"), "band": S.band(F.hour("ts")), "abs_error": F.abs(F.col(forecast) - F.col("actual_mw"))})
     complete = r.groupBy("series_id", "day").agg(F.count_distinct(F.hour("ts")).alias("h")).where("h = 24").select("series_id", "day").join(F.broadcast(off), "day")
     t = targets.join(F.broadcast(off.withColumnRenamed("day", "target").withColumnRenamed("is_off", "target_off")), "target")
-    # The days of one target: a series' complete days are few, and its targets meet only its own days.
-    near = t.join(complete, "series_id").where(F.col("day") < F.col("target"))
-    ranked = near.withColumn("i", F.row_number().over(W.partitionBy("series_id", "target").orderBy(F.desc("day"))))
-    picked = ranked.where((F.col("i") <= days) & (F.col("is_off") == F.col("target_off"))).select("series_id", "target", "day")
+    # Complete days are numbered; targets stand among them as markers and take the number before, so each meets its
+    # ``days`` numbers by an equi-join, however long the series.
+    numbered = complete.withColumn("k", F.row_number().over(W.partitionBy("series_id").orderBy("day")))
+    facts = numbered.select("series_id", "day", F.lit(1).alias("fact"), "k", F.lit(None).cast("boolean").alias("target_off"))
+    marks = t.select("series_id", F.col("target").alias("day"), F.lit(0).alias("fact"), F.lit(None).cast("int").alias("k"), "target_off").distinct()
+    upto = W.partitionBy("series_id").orderBy("day", "fact").rowsBetween(W.unboundedPreceding, 0)
+    last = facts.unionByName(marks).withColumn("last", F.max("k").over(upto)).where("fact = 0 and last is not null")
+    near = last.select("series_id", F.col("day").alias("target"), "target_off", F.explode(F.sequence(F.greatest(F.lit(1), F.col("last") - days + 1), F.col("last"))).alias("k"))
+    picked = near.join(numbered, ["series_id", "k"]).where(F.col("is_off") == F.col("target_off")).select("series_id", "target", "day")
     q = conformal_quantile(picked.join(r, ["series_id", "day"]), F.col("abs_error"), share, "series_id", "target", "band")
     return q.where(F.col("n") >= least).select("series_id", "target", "band", "n", S.clip(F.col("quantile"), FLOOR, CAP).alias("floor_mw"))
 

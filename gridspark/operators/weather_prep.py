@@ -96,7 +96,7 @@ def median_bias(rows: DataFrame, observed: DataFrame, now: Column, lookback: int
     observed less forecast temperature of the last hours, clipped and fading; small biases are let be."""
     o = observed.select("series_id", "ts", F.col("temp_c").alias("seen_c")).where((F.col("ts") <= now) & (F.col("ts") >= now - F.make_dt_interval(hours=F.lit(lookback))))
     bias = rows.join(o, ["series_id", "ts"]).groupBy("series_id").agg(S.clip(F.median(F.col("seen_c") - F.col("temp_c")), -most, most).alias("bias")).where(F.abs("bias") >= least)
-    j = rows.join(F.broadcast(bias), "series_id", "left")
+    j = rows.join(bias, "series_id", "left")
     ahead = (F.to_date("ts") == F.to_date(now)) & (F.col("ts") > now) & F.col("actual_mw").isNull()
     step = F.row_number().over(W.partitionBy("series_id", ahead).orderBy("ts")) - 1
     moved = F.when(ahead & (step < horizon), F.col("temp_c") + F.coalesce("bias", F.lit(0.0)) * F.pow(F.lit(decay), step)).otherwise(F.col("temp_c"))

@@ -6,7 +6,6 @@ import datetime as dt
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from gridspark import corrector_queries as cq
 from gridspark.operators import corrector
@@ -42,10 +41,6 @@ class Days:
 DAYS, SHAPED = Days(), Days()
 
 
-def day(*args, **kw):
-    return DAYS.add(*args, **kw)
-
-
 @pytest.fixture(scope="module")
 def shaped(spark):
     SHAPED.run(spark, shape_guard=True)
