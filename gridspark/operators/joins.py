@@ -14,15 +14,24 @@ def observed(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("actual_mw").isNotNull() & (F.coalesce("actual_source", F.lit(C.OBSERVED)) != C.FALLBACK))
 
 
-def mask_target_actuals(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """facts once for each of the series' targets (series_id, target), actuals of the target day on as null."""
-    j = facts.join(targets, "series_id")
+def _days_read(facts: DataFrame, asked: DataFrame, day: Column, days: int, ahead: int) -> DataFrame:
+    """Facts once for each asked row of their series whose day is within ``days`` after, or ``ahead`` before, theirs: an
+    equi-join on series and day, so rows grow with what is asked and never with the length of a series besides."""
+    reads = asked.withColumn("__day", F.explode(F.sequence(F.date_sub(day, days), F.date_add(day, ahead))))
+    return facts.withColumn("__day", F.to_date("ts")).join(reads, ["series_id", "__day"]).drop("__day")
+
+
+def mask_target_actuals(facts: DataFrame, targets: DataFrame, days: int = 400) -> DataFrame:
+    """facts of the target day and of ``days`` days before it, once for each of the series' targets (series_id, target);
+    actuals of the target day are null, all else of its rows stays."""
+    j = _days_read(facts, targets, F.col("target"), days, 0)
     return j.withColumn("actual_mw", F.when(F.to_date("ts") < F.col("target"), F.col("actual_mw")))
 
 
-def mask_unknown(facts: DataFrame, origins: DataFrame) -> DataFrame:
-    """facts as known at origins (series_id, captured_at): actuals from the origin's hour on are null."""
-    j = facts.join(origins, "series_id")
+def mask_unknown(facts: DataFrame, origins: DataFrame, days: int = 400, ahead: int = 1) -> DataFrame:
+    """facts as known at origins (series_id, captured_at), from ``days`` days before to ``ahead`` after: actuals from the
+    origin's hour on are null."""
+    j = _days_read(facts, origins, F.to_date("captured_at"), days, ahead)
     known = F.col("ts") < F.date_trunc("hour", "captured_at").cast("timestamp_ntz")
     return j.withColumn("actual_mw", F.when(known, F.col("actual_mw")))
 

@@ -96,14 +96,70 @@ def conformal_quantile(rows: DataFrame, value: Column, share: float, *by: str) -
     return ranked.where(F.col("i") == F.least(F.col("n"), F.ceil((F.col("n") + 1) * share))).select(*by, "n", F.col("v").alias("quantile"))
 
 
+def _daily_errors(rows: DataFrame, model: str, reference: str) -> DataFrame:
+    """(series_id, day, new, old): mean absolute errors of the days on which both forecasts have them."""
+    m, r = F.abs(F.col(model) - F.col("actual_mw")), F.abs(F.col(reference) - F.col("actual_mw"))
+    return rows.groupBy("series_id", F.to_date("ts").alias("day")).agg(F.avg(m).alias("new"), F.avg(r).alias("old")).where("new is not null and old is not null")
+
+
+def _resampled(days: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(series_id, x, n, sums): the days of a series in order, and for each draw the sums of new and old over n days drawn
+    with repetition. Only the daily errors are shuffled, one row a day; a series' days are one row of two doubles a day,
+    and its draws are made inside that row. A pick is a function of seed, draw and place, so reruns agree."""
+    held = days.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("day", "new", "old"))).alias("x"), F.count("*").cast("int").alias("n"))
+    spot = lambda b, k: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), b.cast("string"), k.cast("string"))), 1, 13), 16, 10).cast("long") % F.col("n")).cast("int")
+    zero = F.struct(F.lit(0.0).alias("new"), F.lit(0.0).alias("old"))
+
+    def draw(b: Column) -> Column:
+        picked = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("x", spot(b, k)))
+        return F.aggregate(picked, zero, lambda acc, d: F.struct((acc["new"] + d["new"]).alias("new"), (acc["old"] + d["old"]).alias("old")))
+
+    return held.withColumn("sums", F.when(F.col("n") >= LEAST_DAYS, F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), draw)))
+
+
+def _quantile(values: str, share: float) -> Column:
+    """The quantile of an ordered array, linear between neighbours; null for an empty one."""
+    at = (F.size(values) - 1) * F.lit(share)
+    low = F.floor(at).cast("int")
+    a, b = F.get(values, low), F.get(values, F.ceil(at).cast("int"))
+    return F.when(F.size(values) > 0, a + (b - a) * (at - low))
+
+
+#: Days below which an interval says nothing.
+LEAST_DAYS = 7
+
+
 def paired_bootstrap(rows: DataFrame, model: str, reference: str, draws: int = 2000, seed: int = 42) -> DataFrame:
     """95 % interval of the difference of daily MAEs per series, from hashed draws of whole days: (series_id, days,
-    mean_difference, low, high). Draws are a function of seed, draw and place, so reruns agree."""
-    m, r = F.abs(F.col(model) - F.col("actual_mw")), F.abs(F.col(reference) - F.col("actual_mw"))
-    day = rows.groupBy("series_id", F.to_date("ts").alias("day")).agg((F.avg(m) - F.avg(r)).alias("diff"))
-    day = day.withColumns({"k": F.row_number().over(W.partitionBy("series_id").orderBy("day")) - 1, "days": F.count("*").over(W.partitionBy("series_id"))})
-    picks = day.select("series_id", "days", "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.withColumn("k", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("k").cast("string"))), 1, 13), 16, 10).cast("long") % F.col("days")).cast("int"))
-    means = picks.join(day.select("series_id", "k", "diff"), ["series_id", "k"]).groupBy("series_id", "draw").agg(F.avg("diff").alias("mean"))
-    ends = means.groupBy("series_id").agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-    return day.groupBy("series_id").agg(F.count("*").alias("days"), F.avg("diff").alias("mean_difference")).where("days >= 7").join(ends, "series_id")
+    mean_difference, low, high); series of fewer than 7 days have no row."""
+    drawn = _resampled(_daily_errors(rows, model, reference), draws, seed).where(F.col("n") >= LEAST_DAYS)
+    d = drawn.withColumn("diffs", F.array_sort(F.transform("sums", lambda s: (s["new"] - s["old"]) / F.col("n"))))
+    total = F.aggregate("x", F.lit(0.0), lambda acc, y: acc + y["new"] - y["old"])
+    return d.select("series_id", F.col("n").cast("long").alias("days"), (total / F.col("n")).alias("mean_difference"), _quantile("diffs", 0.025).alias("low"), _quantile("diffs", 0.975).alias("high"))
+
+
+def paired_ratio_bootstrap(rows: DataFrame, model: str, reference: str, draws: int = 20000, seed: int = 20260821) -> DataFrame:
+    """95 % intervals of the ratio and of the difference of daily MAEs per series: (series_id, valid, days, better_days,
+    mae_ratio, ratio_low, ratio_high, mean_difference, low, high).
+
+    With fewer than 7 days, or a daily error that is not finite, valid is false and the intervals are null. A draw whose
+    reference errors are all zero has no ratio and is left out of the ratio's interval, which is null if none is left."""
+    drawn = _resampled(_daily_errors(rows, model, reference), draws, seed)
+    finite = ~F.exists("x", lambda d: F.isnan(d["new"]) | F.isnan(d["old"]) | (F.abs(d["new"]) == float("inf")) | (F.abs(d["old"]) == float("inf")))
+    d = drawn.withColumn("valid", finite & (F.col("n") >= LEAST_DAYS)).withColumn("sums", F.when(F.col("valid"), F.col("sums")))
+    d = d.withColumns({
+        "ratios": F.array_sort(F.filter(F.transform("sums", lambda s: s["new"] / F.nullif(s["old"], F.lit(0.0))), lambda v: v.isNotNull())),
+        "diffs": F.array_sort(F.transform("sums", lambda s: (s["new"] - s["old"]) / F.col("n"))),
+    })
+
+    total = lambda c: F.aggregate("x", F.lit(0.0), lambda acc, y: acc + y[c])
+    parts = {
+        "mae_ratio": total("new") / F.nullif(total("old"), F.lit(0.0)),
+        "ratio_low": _quantile("ratios", 0.025),
+        "ratio_high": _quantile("ratios", 0.975),
+        "mean_difference": (total("new") - total("old")) / F.col("n"),
+        "low": _quantile("diffs", 0.025),
+        "high": _quantile("diffs", 0.975),
+    }
+    better = F.size(F.filter("x", lambda y: y["new"] < y["old"])).cast("long")
+    return d.select("series_id", "valid", F.col("n").cast("long").alias("days"), better.alias("better_days"), *[F.when(F.col("valid"), c).alias(k) for k, c in parts.items()])

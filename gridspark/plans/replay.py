@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Least improvements in percent of MAE, RMSE, largest error and shape, and the most that a segment may get worse, by
 #: mode; the first mode that holds counts.
 MODES = {
-    "strict": {"mae": 8.0, "worst": 5.0},
+    "strict": {"mae": 8.0, "rmse": 0.0, "max_error": 0.0, "shape_mae": 0.0, "worst": 1.0},
     "balanced": {"mae": 7.0, "rmse": 8.0, "max_error": 10.0, "worst": 1.0},
     "conservative": {"mae": 5.0, "rmse": 5.0, "max_error": 5.0, "shape_mae": 2.0, "worst": 0.0},
 }
@@ -61,6 +61,56 @@ def replay_gate(comparison: DataFrame) -> DataFrame:
     return comparison.withColumn("mode", mode)
 
 
+#: Most that the MAE of a day type may grow in each phase, and that of a band in any, as a factor; most that the coverage of the
+#: two bands may fall, in points.
+REGIME_GROWTH, BAND_GROWTH = {"development": 1.05, "holdout": 1.0}, 1.05
+COVERAGE_LOSS = {"p95": 2.0, "p99": 1.0}
+
+
+def recovery_gate(candidate: DataFrame, champion: DataFrame, coverage: DataFrame, interval: DataFrame, phase: str = "holdout") -> DataFrame:
+    """(series_id, mae_pct, rmse_pct, max_error_pct, shape_mae_pct, regressed, mode, failures, passed).
+
+    candidate, champion: metric bundles; coverage: (series_id, champion_p95, candidate_p95, champion_p99, candidate_p99)
+    in percent; interval: ``paired_ratio_bootstrap`` of the two. In the holdout phase one of MODES has to hold - no
+    segment, however few its hours, may get worse by more than the mode's worst - and the upper end of the ratio's
+    interval has to lie below 1; in the development phase neither is asked. A missing coverage or interval fails.
+    regressed and failures are names, sorted and comma-joined; regressed are segments worse than the balanced limit.
+    """
+    names = ["mae", "rmse", "max_error", "shape_mae"]
+    side = lambda df, p: df.select("series_id", F.coalesce("regime", F.lit("")).alias("regime"), F.coalesce("band", F.lit("")).alias("band"), *[F.col(c).alias(f"{p}_{c}") for c in names])
+    j = side(candidate, "new").join(side(champion, "old"), ["series_id", "regime", "band"])
+    whole = (F.col("regime") == "") & (F.col("band") == "")
+    segment = F.when(F.col("regime") != "", F.concat(F.lit("regime."), "regime")).otherwise(F.concat(F.lit("band."), "band"))
+    worse = lambda growth: ~whole & (F.col("new_mae") > F.col("old_mae") * growth)
+    factor = F.when(F.col("regime") != "", REGIME_GROWTH[phase]).otherwise(BAND_GROWTH)
+    limits = sorted({m["worst"] for m in MODES.values()})
+    g = j.groupBy("series_id").agg(
+        *[F.max(F.when(whole, improvement(F.col(f"new_{c}"), F.col(f"old_{c}")))).alias(f"{c}_pct") for c in names],
+        F.bool_or(whole & (F.col("new_mae") >= F.col("old_mae"))).alias("mae_not"),
+        F.bool_or(whole & (F.col("new_rmse") >= F.col("old_rmse"))).alias("rmse_not"),
+        *[F.array_sort(F.collect_list(F.when(worse(1 + x / 100), segment))).alias(f"over_{i}") for i, x in enumerate(limits)],
+        F.collect_list(F.when(worse(factor), F.concat(segment, F.lit("_mae_regressed")))).alias("grown"),
+    )
+    mode = F.lit("failed")
+    for name, least in reversed(MODES.items()):
+        holds = F.size(f"over_{limits.index(least['worst'])}") == 0
+        for metric, value in least.items():
+            if metric != "worst":
+                holds = holds & (F.col(f"{metric}_pct") >= value)
+        mode = F.when(F.coalesce(holds, F.lit(False)), name).otherwise(mode)
+    g = g.join(coverage, "series_id", "left").join(interval.select("series_id", "valid", "ratio_high"), "series_id", "left")
+    g = g.withColumn("mode", mode if phase == "holdout" else F.lit("development"))
+    lost = lambda b: ~F.coalesce(F.col(f"candidate_{b}") >= F.col(f"champion_{b}") - COVERAGE_LOSS[b], F.lit(False))
+    rules = {"overall_mae_not_improved": F.col("mae_not"), "overall_rmse_not_improved": F.col("rmse_not"), **{f"{b}_coverage_regressed": lost(b) for b in COVERAGE_LOSS}}
+    if phase == "holdout":
+        rules["recovery_below_threshold"] = F.col("mode") == "failed"
+        rules["interval_does_not_confirm"] = ~F.coalesce(F.col("valid") & (F.col("ratio_high") < 1), F.lit(False))
+    found = F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))
+    failures = F.array_join(F.array_sort(F.concat(found, "grown")), ",")
+    g = g.withColumns({"failures": failures, "regressed": F.array_join(f"over_{limits.index(MODES['balanced']['worst'])}", ",")})
+    return g.select("series_id", *[f"{c}_pct" for c in names], "regressed", "mode", "failures", (F.col("failures") == "").alias("passed"))
+
+
 def shadow_evidence(rows: DataFrame, candidate: str, champion: str, hours: int = 72, days: int = 2) -> DataFrame:
     """(series_id, hours, days, not_worse, status): whether a candidate that has run beside the champion has evidence
     enough - final hours and days - and is no worse on them."""
