@@ -90,8 +90,8 @@ def next_hours(rows: DataFrame, now: Column, n: int = 3) -> DataFrame:
 
 
 def finalize_fallback(rows: DataFrame, today: Column, days: int = 2, source: str = "reference_forecast_fallback") -> DataFrame:
-    """Hours of the ``days`` days before ``today`` that never got an actual take the reference forecast, marked so."""
-    late = F.to_date("ts").between(F.date_sub(today, days), F.date_sub(today, 1)) & F.col("actual_mw").isNull() & F.col("reference_mw").isNotNull()
+    """Hours of the ``days`` days before ``today`` that never got an actual take a positive reference forecast, marked so."""
+    late = F.to_date("ts").between(F.date_sub(today, days), F.date_sub(today, 1)) & F.col("actual_mw").isNull() & (F.col("reference_mw") > 0)
     return rows.withColumns({"actual_mw": F.when(late, F.col("reference_mw")).otherwise(F.col("actual_mw")), "actual_source": F.when(late, F.lit(source)).otherwise(F.col("actual_source"))})
 
 

@@ -19,18 +19,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the folder that all executors share (``spark.checkpoint.dir``), for what several
-    branches of a query read. Where it is unset, a temporary folder is used with a local master only."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``). Where it is unset, a temporary folder is used with a
+    local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what several branches of a query read."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

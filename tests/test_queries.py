@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from gridspark import queries as grid
-from gridspark import corrector_queries, model_queries, replay_queries, rule_queries  # noqa: F401
+from gridspark import corrector_queries, model_queries, replay_queries, rule_queries, stream_queries  # noqa: F401
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
