@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialize_parts(df: DataFrame, tag: str, by: str, values: Iterable[int]) -> list[DataFrame]:
+    """``materialize`` in one pass as a table for each of ``values`` of the integer column ``by``, which they lack; each
+    can be discarded by itself."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    out = []
+    df.write.partitionBy(by).parquet(path)
+    for value in values:
+        part = f"{path}/{by}={value}"
+        # A part without rows has no folder yet.
+        spark.createDataFrame([], df.drop(by).schema).write.mode("append").parquet(part)
+        held = spark.read.schema(df.drop(by).schema).parquet(part)
+        held.table_path = part
+        out.append(held)
+    return out
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in tables:

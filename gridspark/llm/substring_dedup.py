@@ -26,7 +26,7 @@ from pyspark.taskcontext import TaskContext
 from . import textscan as ts
 from .components import connected_components
 from .near import confirm, link_classes, prefix_keys
-from .storage import discard, materialize, prepare_tasks, small_or_shuffled
+from .storage import discard, materialize, materialize_parts, prepare_tasks, small_or_shuffled
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Paragraphs of fewer words are left to line deduplication.
@@ -43,7 +43,9 @@ LOOKED_UP = 2_000_000
 
 #: What tells windows from each other.
 _SAME = ["print", "proof"]
-_UNITS = "key long, doc_id long, sig long, starts array<int>, sizes array<int>, set_sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>, proofs array<long>"
+_UNITS = "part int, key long, doc_id long, sig long, starts array<int>, sizes array<int>, classes array<long>, bands array<array<long>>, places array<int>, prints array<long>, proofs array<long>"
+#: Columns of the paragraphs' rows of these, part 0, and of the windows' rows, part 1.
+_PARTS = ["key", "doc_id", "starts", "sizes", "classes", "bands"], ["key", "doc_id", "sig", "places", "prints", "proofs"]
 
 
 def tune(similarity: float, recall: float, rows: int = 3) -> tuple[int, int]:
@@ -110,16 +112,17 @@ def _classes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _units(bands: int, rows: int):
+    """Task: for each text a row of its paragraphs and one of its windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(7)]
             for _, _, raw, off in ts.slices(batch.column("text")):
                 w, h, doc, first, size, s = _paragraphs(raw, off)
                 sets = _sets(s, first, size)
                 classes = ts.signed(_classes(sets))
                 keys = ts.signed(_signatures(np.concatenate(sets), np.cumsum([0, *[len(x) for x in sets[:-1]]]), bands, rows)) if sets else np.empty((0, bands), np.int64)
-                lengths = np.array([len(x) for x in sets], np.int32)
                 windows = ts.shingles(h, WINDOW)
                 bounds = np.searchsorted(doc, np.arange(len(off)))
                 ptr = w.ptr.tolist()
@@ -129,12 +132,15 @@ def _units(bands: int, rows: int):
                 prints, proofs = ts.signed(windows[every]), ts.signed(_proofs(h, every))
                 for d, (at, chosen) in enumerate(zip(ptr[:-1], places, strict=True)):
                     a, b, i, j = bounds[d], bounds[d + 1], cuts[d], cuts[d + 1]
-                    for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), lengths[a:b], classes[a:b], list(keys[a:b]), chosen.astype(np.int32), prints[i:j], proofs[i:j]), strict=True):
+                    for column, x in zip(out, ((first[a:b] - at).astype(np.int32), size[a:b].astype(np.int32), classes[a:b], list(keys[a:b]), chosen.astype(np.int32), prints[i:j], proofs[i:j]), strict=True):
                         column.append(x)
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64()]
+            names = ["key", "doc_id", "sig", "starts", "sizes", "classes", "bands", "places", "prints", "proofs"]
             columns = [pa.array(np.arange(key, key + batch.num_rows)), batch.column("doc_id"), batch.column("sig"), *(pa.array(x, pa.list_(t)) for x, t in zip(out, kinds, strict=True))]
             key += batch.num_rows
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "sig", "starts", "sizes", "set_sizes", "classes", "bands", "places", "prints", "proofs"])
+            for part, held in enumerate(_PARTS):
+                own = [x if name in held else pa.nulls(batch.num_rows, x.type) for name, x in zip(names, columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), *own], ["part", *names])
 
     return run
 
@@ -169,14 +175,19 @@ def _near_paragraphs(units: DataFrame, texts: DataFrame) -> DataFrame:
     small = hits.join(small_or_shuffled(sizes.where(F.col("count") <= SMALL_BAND).select("band")), "band")
     pairs = materialize(small.select("band", F.col("cls").alias("a")).join(small.select("band", F.col("cls").alias("b")), "band").where("a < b").select("a", "b").distinct(), "pairs")
     large = materialize(hits.join(small_or_shuffled(sizes.where(F.col("count") > SMALL_BAND).select("band")), "band", "left_semi").select("cls").distinct(), "large")
-    keys = materialize(prefix_keys(sets.join(small_or_shuffled(large), "cls", "left_semi"), PERCENT), "prefix-keys")
-    linked = link_classes(keys, lambda wanted: sets.join(wanted, "cls", "left_semi"), PERCENT)
+    # The few sets that larger bands ask for, by themselves: each round looks among them.
+    large_sets = materialize(sets.join(small_or_shuffled(large), "cls", "left_semi"), "large-sets")
+    keys = materialize(prefix_keys(large_sets, PERCENT), "prefix-keys")
+    linked = link_classes(keys, lambda wanted: large_sets.join(wanted, "cls", "left_semi"), PERCENT)
     links = confirm(pairs, sets, PERCENT).union(linked.select(F.col("root").alias("a"), F.col("id").alias("b")))
     linked = materialize(connected_components(links), "linked")
-    discard(hits, sizes, pairs, large, keys, sets)
+    discard(hits, sizes, pairs, large, large_sets, keys, sets)
     shared = classes.join(linked.withColumnRenamed("id", "cls"), "cls", "left").where("root is not null or lo < hi")
-    shared = small_or_shuffled(materialize(shared.select("cls", F.coalesce("root", "cls").alias("cluster")), "paragraph-clusters"))
-    return each.join(shared, "cls").select("key", "doc_id", "first_word", "past_word", "cluster")
+    shared = materialize(shared.select("cls", F.coalesce("root", "cls").alias("cluster")), "paragraph-clusters")
+    discard(classes, linked)
+    out = materialize(each.join(small_or_shuffled(shared), "cls").select("key", "doc_id", "first_word", "past_word", "cluster"), "paragraphs")
+    discard(shared)
+    return out
 
 
 def _hits(prints):
@@ -205,40 +216,43 @@ def _hits(prints):
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, at, before, after) of the windows in ``ats``: hashes of the words before and after them, the nearest first."""
+    """(sig, at, later, words) of the windows in ``ats``: hashes of the words before a window, or of those after it where
+    it is the later end, the nearest first."""
     reach = CHOICE - 1
     for batch in batches:
         sigs, ats = batch.column("sig").to_pylist(), batch.column("ats").to_pylist()
-        sig, place, before, after = [], [], [], []
+        sig, place, late, words = [], [], [], []
         for begin, _, raw, off in ts.slices(batch.column("text")):
             w = ts.scan(raw, off, ts.ALPHANUMERIC)
             h = w.hashes()
             for d in range(len(off) - 1):
                 own = h[w.ptr[d] : w.ptr[d + 1]]
-                for at in ats[begin + d]:
+                for x in ats[begin + d]:
+                    at, later = x["at"], x["later"]
                     sig.append(sigs[begin + d])
                     place.append(at)
-                    before.append(own[max(at - reach, 0) : at][::-1])
-                    after.append(own[at + WINDOW : at + WINDOW + reach])
-        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(place, pa.int32()), ts.list_array(before), ts.list_array(after)], ["sig", "at", "before", "after"])
+                    late.append(later)
+                    words.append(own[at + WINDOW : at + WINDOW + reach] if later else own[max(at - reach, 0) : at][::-1])
+        yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(place, pa.int32()), pa.array(late, pa.bool_()), ts.list_array(words)], ["sig", "at", "later", "words"])
 
 
 def _grown(ends: DataFrame, texts: DataFrame) -> DataFrame:
     """``ends`` (sig, at, keep_sig, keep_at, later: whether the run ends here, else it begins) with ``more``: the words
     beyond the window in which the text and its keeper agree. Chosen windows are at most CHOICE apart, so a match goes
-    on for less than CHOICE words beyond the last window that both have chosen."""
-    ends = materialize(ends.distinct(), "ends")
-    wanted = ends.select("sig", "at").union(ends.select("keep_sig", "keep_at")).distinct().groupBy("sig").agg(F.collect_list("at").alias("ats"))
-    wanted = materialize(wanted, "wanted-ends")
-    around = texts.join(small_or_shuffled(wanted), "sig").select("sig", "text", "ats").mapInArrow(_around, "sig long, at int, before array<long>, after array<long>")
-    around = materialize(around.groupBy("sig", "at").agg(F.first("before").alias("before"), F.first("after").alias("after")), "around")
+    on for less than CHOICE words beyond the last window that both have chosen. Of equal texts one is read, that of
+    doc_id or keep_doc_id, and of a window the words on the side where the run ends."""
+    both = ends.select("sig", "doc_id", "at", "later").union(ends.select("keep_sig", "keep_doc_id", "keep_at", "later"))
+    wanted = materialize(both.groupBy("sig").agg(F.min("doc_id").alias("of"), F.collect_set(F.struct("at", "later")).alias("ats")), "wanted-ends")
+    ends = materialize(ends.drop("doc_id", "keep_doc_id").distinct(), "ends")
+    read = texts.join(small_or_shuffled(wanted.withColumnRenamed("sig", "own")), (F.col("sig") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    around = read.select("sig", "text", "ats").mapInArrow(_around, "sig long, at int, later boolean, words array<long>")
+    around = materialize(around.groupBy("sig", "at", "later").agg(F.first("words").alias("words")), "around")
     looked_up = small_or_shuffled(around)
-    side = lambda x, y: looked_up.select(F.col("sig").alias(x), F.col("at").alias(y), F.col("before").alias(f"before_{x}"), F.col("after").alias(f"after_{x}"))
-    both = ends.join(side("sig", "at"), ["sig", "at"]).join(side("keep_sig", "keep_at"), ["keep_sig", "keep_at"])
-    own, keepers = (F.when(F.col("later"), F.col(f"after_{x}")).otherwise(F.col(f"before_{x}")) for x in ("sig", "keep_sig"))
+    side = lambda x, y: looked_up.select(F.col("sig").alias(x), F.col("at").alias(y), "later", F.col("words").alias(f"words_{x}"))
+    both = ends.join(side("sig", "at"), ["sig", "at", "later"]).join(side("keep_sig", "keep_at"), ["keep_sig", "keep_at", "later"])
     # zip_with pads the shorter one with nulls, which equal no word.
-    differs = F.array_position(F.transform(F.zip_with(own, keepers, lambda a, b: a.eqNullSafe(b)), lambda x: F.when(x, 1).otherwise(0)), 0)
-    out = materialize(both.select("sig", "at", "keep_sig", "keep_at", "later", F.when(differs > 0, differs - 1).otherwise(F.size(own)).cast("int").alias("more")), "grown")
+    differs = F.array_position(F.transform(F.zip_with("words_sig", "words_keep_sig", lambda a, b: a.eqNullSafe(b)), lambda x: F.when(x, 1).otherwise(0)), 0)
+    out = materialize(both.select("sig", "at", "keep_sig", "keep_at", "later", F.when(differs > 0, differs - 1).otherwise(F.size("words_sig")).cast("int").alias("more")), "grown")
     discard(ends, wanted, around)
     return out
 
@@ -330,15 +344,17 @@ def _equal_passages(units: DataFrame, texts: DataFrame) -> DataFrame:
     discard(common, held)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "at", "sig")
     first = materialize(runs.groupBy(*_SAME).agg(F.min("node").alias("a"), F.min(order).alias("keep")), "keepers")
-    windows = materialize(runs.join(small_or_shuffled(first), _SAME).withColumn("kept", (F.col("keep.key") == F.col("key")) & (F.col("keep.at") == F.col("at"))), "kept-windows")
+    windows = runs.join(small_or_shuffled(first), _SAME).withColumn("kept", (F.col("keep.key") == F.col("key")) & (F.col("keep.at") == F.col("at")))
+    # In the order of texts, which the join loses: what a text's windows have in common is packed then.
+    windows = materialize(windows.sortWithinPartitions("key", "at"), "kept-windows")
     discard(runs, first)
     clusters = connected_components(windows.select("a", F.col("node").alias("b")).distinct()).withColumnRenamed("root", "cluster")
 
     apart = F.sum(F.when(F.col("at") <= upto, 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
     ends = F.struct("at", "keep", "node")
-    copies = materialize(windows.where("not kept").withColumn("run", apart), "copied-windows")
+    copies = materialize(windows.where("not kept").drop("a", "kept").withColumn("run", apart), "copied-windows")
     runs = materialize(copies.groupBy("key", "doc_id", "sig", "run").agg(F.min(ends).alias("head"), F.max(ends).alias("tail")), "removed-runs")
-    end = lambda x, later: runs.select("sig", F.col(f"{x}.at").alias("at"), F.col(f"{x}.keep.sig").alias("keep_sig"), F.col(f"{x}.keep.at").alias("keep_at"), F.lit(later).alias("later"))
+    end = lambda x, later: runs.select("sig", "doc_id", F.col(f"{x}.at").alias("at"), F.col(f"{x}.keep.sig").alias("keep_sig"), F.col(f"{x}.keep.doc_id").alias("keep_doc_id"), F.col(f"{x}.keep.at").alias("keep_at"), F.lit(later).alias("later"))
     grown = _grown(end("head", False).union(end("tail", True)), texts)
     more = lambda x, y, later, name: grown.where(F.col("later") == later).groupBy(F.col(x).alias("sig"), F.col(y).alias("at")).agg(F.max("more").alias(name))
     gone = runs.withColumn("at", F.col("head.at")).join(small_or_shuffled(more("sig", "at", False, "before")), ["sig", "at"])
@@ -384,8 +400,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     prepare_tasks(docs.sparkSession)
     # Equal texts have equal windows at equal places: sig tells texts from each other.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("sig"))
-    units = materialize(texts.mapInArrow(_units(*tune(PERCENT / 100, RECALL)), _UNITS), "units")
-    paragraphs = materialize(_near_paragraphs(units, texts), "paragraphs")
+    parts = materialize_parts(texts.mapInArrow(_units(*tune(PERCENT / 100, RECALL)), _UNITS), "units", "part", range(len(_PARTS)))
+    each, units = (x.select(*held) for x, held in zip(parts, _PARTS, strict=True))
+    paragraphs = _near_paragraphs(each, texts)
+    discard(parts[0])
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "first_word")
     # A line that one text alone repeats, in this or a like form, is not shared by documents.
     clusters = paragraphs.groupBy("cluster").agg(F.min(order).alias("keep"), F.count("*").alias("n_places"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").drop("lo", "hi")

@@ -448,3 +448,28 @@ def test_links_of_long_texts_without_ansi(spark, monkeypatch):
         assert {r.component_id for r in ngram_join.ngram_components(docs).collect()} == {1}
     finally:
         spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
+def test_ends_of_runs_take_the_words_of_their_side_only(spark, monkeypatch):
+    """What is written to grow a run: a hash for each word on the side where it ends, and equal texts are read once."""
+    from pathlib import Path
+
+    rng = random.Random(19)
+    pairs, held = 60, {}
+    texts, ends = [], []
+    for i in range(pairs):
+        own, keeper = words(rng, 160, 10**9).split(), words(rng, 160, 10**9).split()
+        own[60 - i % 5 : 90 + i % 7] = keeper[60 - i % 5 : 90 + i % 7]
+        texts += [(i, " ".join(own), 2 * i), (1000 + i, " ".join(own), 2 * i), (None, " ".join(keeper), 2 * i + 1)]
+        ends += [(2 * i, d, at, 2 * i + 1, None, at, later) for d in (i, 1000 + i) for at, later in ((60, False), (65, True))]
+    write = substring_dedup.materialize
+
+    def written(df, tag):
+        out = write(df, tag)
+        held[tag] = sum(f.stat().st_size for f in Path(out.table_path.removeprefix("file:")).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(substring_dedup, "materialize", written)
+    got = substring_dedup._grown(spark.createDataFrame(ends, "sig long, doc_id long, at int, keep_sig long, keep_doc_id long, keep_at int, later boolean"), spark.createDataFrame(texts, "doc_id long, text string, sig long"))
+    assert sorted((r.sig, r.later, r.more) for r in got.collect()) == sorted((2 * i, later, more) for i in range(pairs) for later, more in ((False, i % 5), (True, i % 7)))
+    assert held["around"] < 1.4 * 2 * 2 * pairs * 25 * 8
